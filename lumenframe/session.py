@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast once it has been counted.
@@ -28,21 +29,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables between stages, which all executors share.
 
-    The folder is the session's spark.checkpoint.dir. A folder of our own is set only for
-    a single-machine session that names none, as in tests.
+    It is the session's spark.checkpoint.dir. A folder of our own is set only for a
+    single-machine session that names none, as in tests.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or "/tmp/checkpoints")
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count proves that it is small, else df as it is (a shuffle join)."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once a row even where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
