@@ -153,6 +153,19 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The one row of each component that stays, as (doc_id, r): r is xxhash64 of the row's text.
+
+    The row of smallest doc_id stays (null ids come last; of several texts under one id, that of least r).
+    """
+    marked = fingerprints(docs.select("doc_id", "text"), words).select("doc_id", F.xxhash64("text").alias("r"), "fp")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "r")
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min(place).alias("least")))
+    roots = connected_components(links(nodes.select("fp")))
+    rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("least", F.coalesce("root", "fp").alias("root"))
+    return rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.r")
+
+
 def op3_near_dup(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

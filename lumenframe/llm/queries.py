@@ -8,8 +8,10 @@ from collections.abc import Callable
 #: Query, module of this subpackage.
 MODULES = {
     "op1_language_id": "language_id",
+    "op2_secret_scan": "secret_scan",
     "op3_near_dup": "near_dup",
     "op4_byte_bpe": "byte_bpe",
+    "op5_decontaminate": "decontaminate",
     "op6_html_text": "html_text",
     "op7_line_dedup": "line_dedup",
     "op8_span_dedup": "span_dedup",
