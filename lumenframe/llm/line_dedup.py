@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.session import checkpointed
+
 MIN_CHARS = 40
 MIN_DOCS = 5
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -40,6 +42,7 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     stripped = lines.where(F.char_length("line") >= min_chars).withColumn("line", F.trim("line", F.lit(_BLANKS)))
     keyed = stripped.where(F.char_length("line") >= min_chars).withColumn("line", F.translate("line", _UPPER, _LOWER))
     hashed = keyed.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "r1", "r2", "pos")
+    hashed = checkpointed(hashed)  # range bounds, counts and decisions all read it: texts are split once
     dealt = hashed.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     firsts = dealt.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))
     shared = firsts.groupBy("h1", "h2").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
