@@ -246,7 +246,7 @@ QUERIES = {
     "recent_per_user": (recent_per_user, f"with {EV} select user_id, event_id, row_number() over (partition by user_id order by t desc, event_id desc) as rank from ev qualify rank <= 3"),
     "recently_played": (recently_played, f"with {EV} select k, max(event_id) as last from ev group by 1 order by 2 desc limit 20"),
     "rolling_mean": (rolling_mean, f"with {EV} select event_id, round(avg(value) over (partition by user_id order by t, event_id rows between 9 preceding and current row), 6) rolling from ev"),
-    "trailing_bandwidth": (trailing_bandwidth, f"with {EV} select event_id, round(sum(value) over (partition by user_id order by t range between {DAY} preceding and current row), 6) as "trailing" from ev"),
+    "trailing_bandwidth": (trailing_bandwidth, f"""with {EV} select event_id, round(sum(value) over (partition by user_id order by t range between {DAY} preceding and current row), 6) as "trailing" from ev"""),
     "half_trend": (half_trend, f"""with {EV}, r as (select user_id, value, row_number() over (partition by user_id order by t, event_id) i, count(*) over (partition by user_id) n from ev),
         a as (select user_id, avg(value) filter (where i <= n // 2) f, avg(value) filter (where i > n // 2) s from r group by 1)
         select user_id, round(f, 6) as first, round(s, 6) as second, case when s > f * (1 + 0.1::double) then 'rising' when s < f * (1 - 0.1::double) then 'falling' else 'stable' end trend from a"""),
