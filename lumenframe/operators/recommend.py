@@ -115,11 +115,11 @@ def cohorts(events: DataFrame, user: str, day: str, length: int) -> DataFrame:
 def funnel(events: DataFrame, user: str, kind: str, at: str, steps: Sequence[str]) -> DataFrame:
     """(step, name, users): users that did the steps in order, each after the one before."""
     rows = events.where(F.col(kind).isin(list(steps))).select(user, kind, at)
-    reached = rows.where(F.col(kind) == steps[0]).groupBy(user).agg(F.min(at).alias("t"))
+    reached = rows.where(F.col(kind) == steps[0]).groupBy(user).agg(F.min(at).alias("_since"))
     out = reached.agg(F.count("*").alias("users")).select(F.lit(1).cast("long").alias("step"), F.lit(steps[0]).alias("name"), "users")
     for i, name in enumerate(steps[1:], 2):
-        later = rows.where(F.col(kind) == name).join(reached, user).where(F.col(at) > F.col("t"))
-        reached = later.groupBy(user).agg(F.min(at).alias("t"))
+        later = rows.where(F.col(kind) == name).join(reached, user).where(F.col(at) > F.col("_since"))
+        reached = later.groupBy(user).agg(F.min(at).alias("_since"))
         out = out.unionAll(reached.agg(F.count("*").alias("users")).select(F.lit(i).cast("long").alias("step"), F.lit(name).alias("name"), "users"))
     return out
 
