@@ -1,0 +1,158 @@
+"""Language ID, tokenizer, HTML, secrets and language model: brute force, round trips and held-out accuracy, with odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import zlib
+from collections import Counter
+
+import pytest
+
+from lumenframe.llm import byte_bpe, class_lm, html_text, language_id, secret_scan
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, blank, long and repeated texts under null and repeated ids, with columns whose names clash."""
+    rows = [
+        (None, "the cat sat on the mat and the dog", "en", "a", 1), (1, None, None, None, None), (2, "", "fr", "a", 0), (3, "12 34 !!", "en", "a", 8), (4, "le chat et le chien sont dans la maison", "fr", "a", 9),
+        (5, "the cat sat on the mat and the dog", "en", "a", 1), (5, "the cat sat on the mat and the dog", "en", "a", 1), (6, "word " * 60_000, "en", "b", 300_000), (7, "éè \U0001f600 \t\n x", "fr", "c", 9),
+    ]
+    extra = "score double, lang_pred string, ids string, n_tokens string, r1 long, fp string, kept_text string"
+    return spark.createDataFrame([r + (0.5, "x", "y", "z", 7, "q", "t") for r in rows], f"{DOC}, {extra}")
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def test_language_of_held_out_documents(spark):
+    rows = language_id.op1_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert rows and sum(r["lang_pred"] == r["lang"] for r in rows) / len(rows) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    assert all((zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) == r["held_out"] for r in rows)
+
+
+def test_language_of_odd_rows(spark, odd):
+    out = {(r["doc_id"], r["text"]): r for r in language_id.predict(odd, language_id.train(odd)).collect()}
+    assert [out[k]["lang_pred"] for k in ((1, None), (2, ""), (3, "12 34 !!"))] == ["und"] * 3
+    assert out[(4, "le chat et le chien sont dans la maison")]["lang_pred"] == "fr"
+    assert language_id.predict(empty(spark), language_id.train(empty(spark))).collect() == []
+    assert {r["lang_pred"] for r in language_id.predict(odd, language_id.train(empty(spark))).collect()} == {"und"}
+
+
+def test_long_texts_score_as_whole(monkeypatch):
+    import numpy as np
+
+    text = "abc déf ghi " * 500
+    whole = np.bincount(next(language_id._segments([text]))[1], minlength=language_id.BUCKETS)
+    monkeypatch.setattr(language_id, "SEGMENT", 64)
+    pieces = sum(np.bincount(b, minlength=language_id.BUCKETS) for _, b in language_id._segments([text]))
+    assert (whole == pieces).all()
+
+
+def tokenizer():
+    tokens = pytest.importorskip("public_tokenizers")
+    return tokens.path("byte_bpe_50k.tiktoken"), tokens.PATTERN
+
+
+def test_pieces_encode_like_the_whole(monkeypatch):
+    ranks, pattern = tokenizer()
+    text = "It's  a   long\n\n text, isn't it?\t  " * 50 + "x" * 300 + "   \n" * 40 + "end"
+    whole = byte_bpe.encoding(ranks, pattern).encode_ordinary(text)
+    monkeypatch.setattr(byte_bpe, "LONG", 16)
+    assert len(list(byte_bpe.pieces(text))) > 20
+    assert byte_bpe.encode(text, ranks, pattern) == whole
+
+
+def test_round_trip_and_digests(spark, odd):
+    ranks, pattern = tokenizer()
+    for r in byte_bpe.tokenize(odd, ranks, pattern).select("text", "ids", "decoded").collect():
+        assert bytes(r["decoded"]) == (r["text"] or "").encode()
+        assert r["ids"] == byte_bpe.encode(r["text"], ranks, pattern)
+    for r, t in zip(byte_bpe.digest(odd, ranks, pattern).collect(), [r["text"] for r in odd.collect()], strict=True):
+        ids = byte_bpe.encode(t, ranks, pattern)
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    assert byte_bpe.digest(empty(spark), ranks, pattern).collect() == []
+
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
+<header class="site"><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies, ok?</div>
+<div class="layout"><div class="sidebar"><p>Read, also, this, other, thing.</p></div>
+<article><header><h1>The   title</h1><p class="byline">By A</p></header><p>First &amp; long paragraph, with commas, of the text.<p>Second <b>bold</b> one,
+over   lines<br>and a break.</p><div class="ad">Buy</div><ul><li>one</li><li>two</li></ul><blockquote>Quote &#233;.</blockquote><form><label>Mail</label></form>
+<section id="comments"><p>Nice, article, indeed, it, was.</p></section></article></div><footer>&copy; x</footer></body></html>"""
+
+
+def test_html_keeps_the_article():
+    assert html_text.main_text(PAGE) == "The title\nFirst & long paragraph, with commas, of the text.\nSecond bold one, over lines and a break.\none\ntwo\nQuote é."
+
+
+def test_html_without_an_article_element():
+    body = "".join(f"<p>Paragraph {i}, which is long enough, and has commas, in it.</p>" for i in range(4))
+    page = f"<body><div id='menu'><a href='x'>a</a></div><div id='wrap'><h1>Head</h1><div id='text'>{body}</div><div><a href='1'>many</a> <a href='2'>links, here, and, there</a></div></div></body>"
+    text = html_text.main_text(page)
+    assert text.splitlines() == ["Head", *[f"Paragraph {i}, which is long enough, and has commas, in it." for i in range(4)]]
+
+
+def test_html_of_odd_pages(spark):
+    assert [html_text.main_text(x) for x in (None, "", "<p>", "<nav>x</nav>", "plain text")] == ["", "", "", "", "plain text"]
+    assert html_text.main_text("<div>" * 5_000 + "deep" + "</div>" * 5_000) == "deep"
+    pages = spark.createDataFrame([(1, None, "<p>a</p>", "clash"), (1, "u", None, "clash")], "page_id long, url string, html string, text string")
+    assert sorted(r["text"] for r in html_text.extract(pages).collect()) == ["", "a"]
+
+
+def test_secrets_of_held_out_findings(spark):
+    model = secret_scan.train(secret_scan.labelled_findings(spark, 3000))
+    rows, _ = secret_scan.featured(secret_scan.labelled_findings(spark, 4000).exceptAll(secret_scan.labelled_findings(spark, 3000)))
+    assert model.transform(rows).selectExpr("avg(int(prediction = label))").first()[0] > 0.95
+    docs = spark.createDataFrame(
+        [
+            (1, 'set token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" now', "src"), (2, "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 by", "src"), (3, None, None), (4, "", "x"), (None, "plain words only here", "x"),
+            (5, "mail me.77@mail6.example.com or https://www.example.com/path/to/page1.html", "x"),
+        ],
+        "doc_id long, text string, source string",
+    )
+    found = {r["doc_id"]: r["is_secret"] for r in secret_scan.scan(docs, model).collect()}
+    assert found[1] is True and found[2] is False and not found.get(5, False)
+    assert not {3, 4, None} & set(found)
+
+
+def test_base_scores_by_brute_force(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionAll(odd.select("doc_id", "text")).withColumn("n_known", class_lm.held_out())
+    training = docs.where(~class_lm.held_out())
+    tokens = lambda t: [*class_lm.words(t), b"\n"]
+    counts = Counter(w for r in training.collect() for w in tokens(r["text"]))
+    n, v = sum(counts.values()), len(counts)
+    out = class_lm.score_texts(docs.withColumn("t", docs["text"]), training).collect()
+    assert len(out) == docs.count()
+    for r in out:
+        found = tokens(r["t"])
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(found), sum(counts[w] > 0 for w in found), n)
+        assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in found), rel_tol=1e-9)
+        assert r["score"] < 0
+
+
+def test_class_model_beats_the_base(spark):
+    rows = class_lm.op10_class_lm(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
+    assert rows["s"] > rows["b"]
+
+
+def test_language_model_without_training_rows(spark, odd):
+    out = class_lm.score_texts(odd.select("doc_id", "text"), odd.where("1 = 0").select("text")).collect()
+    assert len(out) == odd.count() and all(r["n_known"] == 0 and r["base_score"] == 0 for r in out)
+    assert class_lm.score_texts(empty(spark).select("doc_id", "text"), empty(spark).select("text")).collect() == []
+
+
+def test_class_probabilities_sum_to_one(spark, odd):
+    import numpy as np
+
+    pairs = class_lm.count_pairs(odd.select("text"), {b"the": 0, b"word": 1})
+    of, joint = class_lm.exchange(pairs, 2, classes=4)
+    assert len(of) == 2 + class_lm.SHAPES + 1 and (of[:2] < 4).all()
+    assert np.isclose(joint.sum(), sum(r["n"] for r in pairs.collect()))
