@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Endings that the stemmer tries in this order (fixed values).
 SUFFIXES = ("ing", "ed", "ly", "s", "es", "ies")
@@ -150,7 +151,7 @@ def magic_format(content: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def remove_descriptions(text: pd.Series) -> pd.Series:
     """Text without [...] and (...), nested ones too; a bracket that is not closed takes the rest."""
 
@@ -196,7 +197,7 @@ def wrap(width: int, hyphenate: bool = True):
     return wrapped
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def punctuate(text: pd.Series) -> pd.Series:
     """Text with sentence case after . ! ? and a final full stop."""
 
@@ -209,13 +210,13 @@ def punctuate(text: pd.Series) -> pd.Series:
     return text.map(fix, na_action=None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def run_lengths(text: pd.Series) -> pd.Series:
     """Run-length form: each sign with the number of its repeats."""
     return text.map(lambda s: None if s is None else "".join(f"{len(m[0])}{m[1]}" for m in re.finditer(r"(.)\1*", s, re.S)), na_action=None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a(text: pd.Series) -> pd.Series:
     """64-bit FNV-1a of the UTF-8 bytes, as 16 hex digits."""
 
