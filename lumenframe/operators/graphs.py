@@ -52,7 +52,7 @@ def topological_levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         out = marked if out is None else out.unionAll(marked)
         nodes = checkpointed(nodes.join(free, "node", "left_anti"))
         left = checkpointed(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
-    return out if out is not None else nodes.withColumn("level", F.lit(0).cast("long"))
+    return out if out is not None else nodes.where("1 = 0").withColumn("level", F.lit(0).cast("long"))
 
 
 def has_cycle(edges: DataFrame) -> bool:

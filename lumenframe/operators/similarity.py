@@ -74,7 +74,7 @@ def fuzzy_names(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     probe = probe.withColumn("_s", shifts).select("b", "size", "part", F.substr(F.col("b"), F.col("_s") + 1, F.col("len")).alias("piece")).distinct()
     met = probe.join(index, ["size", "part", "piece"]).select("a", "b").distinct()
     d = F.levenshtein("a", "b")
-    return met.where(d <= most).select("a", "b", (1 - d / F.greatest(F.length("a"), F.length("b"))).alias("score"))
+    return met.where(d <= most).select("a", "b", (1 - d / F.greatest(F.length("a"), F.length("b"), F.lit(1))).alias("score"))
 
 
 def duplicate_groups(df: DataFrame, key: Column, ident: str) -> DataFrame:

@@ -35,7 +35,7 @@ def percentile(df: DataFrame, value: str, p: float, rule: str = "nearest", by: S
     frame = Window.partitionBy(*by)
     placed = counts.withColumns({"_upto": F.sum("_n").over(frame.orderBy("_v")), "_all": F.sum("_n").over(frame)})
     index = INDEX_RULES[rule](F.col("_all"), p)
-    return placed.where(F.col("_upto") > index).groupBy(*by).agg(F.min("_v").alias("percentile"))
+    return placed.where(F.col("_upto") > index).groupBy(*by).agg(F.min("_v").alias("percentile")).where("percentile is not null")
 
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -42,12 +42,8 @@ def verify(expected: DataFrame, actual: DataFrame, algorithm: str) -> DataFrame:
 def timecode_list(spark: SparkSession, path: str, fps: int) -> DataFrame:
     """(t_in, t_out) frames of the lines of a list; a tab separates if there is one, else a comma; malformed lines go."""
     lines = spark.read.text(path).where("trim(value) <> '' and not startswith(trim(value), '#')")
-    mark = F.when(F.col("value").contains("\t"), "\t").otherwise(",")
-    parts = lines.select(F.trim(F.substring_index("value", F.lit(","), 1)).alias("a"), F.trim(F.regexp_extract("value", ",(.*)$", 1)).alias("b"), mark.alias("m"), "value")
-    cut = parts.select(
-        F.when(F.col("m") == "\t", F.trim(F.regexp_extract("value", "^([^\t]*)\t", 1))).otherwise(F.col("a")).alias("a"),
-        F.when(F.col("m") == "\t", F.trim(F.regexp_extract("value", "\t([^\t]*)", 1))).otherwise(F.col("b")).alias("b"),
-    )
+    parts = F.when(F.col("value").contains("\t"), F.split("value", "\t", 2)).otherwise(F.split("value", ",", 2))
+    cut = lines.select(F.trim(parts[0]).alias("a"), F.trim(F.get(parts, 1)).alias("b"))
     return cut.select(parse_smpte(F.col("a"), fps).alias("t_in"), parse_smpte(F.col("b"), fps).alias("t_out")).where("t_in is not null and t_out is not null")
 
 
