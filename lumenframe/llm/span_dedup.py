@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 Every run of several consecutive sentences is hashed: from each sentence on, the shortest run of
-SENTENCES sentences or more that has MIN_WORDS words. Runs are joined globally by hash; the first
+SENTENCES sentences or more that has MIN_WORDS words, or of fewer that have ENOUGH_WORDS. A long
+sentence is cut before words that a hash picks, so that text without full stops is cut alike
+wherever it stands. Runs are joined globally by hash; the first
 occurrence (by doc_id, then place) stays, and the sentences under any other one go.
 """
 
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 
 SENTENCES = 3
 MIN_WORDS = 10
-#: A longer sentence is cut every so many words, so that text without full stops is covered too.
+ENOUGH_WORDS = 40
+#: A sentence of more words is cut: before each word whose hash leaves 0 by CUT_ONE_IN, and after so many words at the latest.
 MAX_SENTENCE = 25
+CUT_ONE_IN, LEAST_PIECE = 8, 4
 _END = re.compile(r"[.!?]+[\"')\]]*(?=\s)|\n")
 _WORD = re.compile(r"\S+")
 
@@ -31,9 +35,13 @@ def sentences(text: str | None) -> list[tuple[int, int, int]]:
 
     def cut(start: int, end: int) -> None:
         words = [(m.start(), m.end()) for m in _WORD.finditer(text, start, end)]
-        for at in range(0, len(words), MAX_SENTENCE):
-            part = words[at : at + MAX_SENTENCE]
-            out.append((part[0][0], part[-1][1], len(part)))
+        first = 0
+        for at in range(1, len(words) + 1) if len(words) > MAX_SENTENCE else (len(words),):
+            n = at - first
+            if at == len(words) or n == MAX_SENTENCE or (n >= LEAST_PIECE and xxhash.xxh64_intdigest(text[words[at][0] : words[at][1]].encode("utf-8", "surrogatepass")) % CUT_ONE_IN == 0):
+                if n:
+                    out.append((words[first][0], words[at - 1][1], n))
+                first = at
 
     at = 0
     for stop in _END.finditer(text):
@@ -49,10 +57,11 @@ def runs(text: str | None, n: int = SENTENCES, min_words: int = MIN_WORDS) -> It
     found = sentences(text)
     flat = [" ".join(text[s:e].split()) for s, e, _ in found]
     total = np.cumsum([0, *(w for _, _, w in found)]).tolist()
+    done = lambda i, end: (end - i >= n and total[end] - total[i] >= min_words) or total[end] - total[i] >= ENOUGH_WORDS
     end = 0
     for i in range(len(found)):
-        end = max(end, i + n)
-        while end <= len(found) and total[end] - total[i] < min_words:
+        end = max(end, i + 1)
+        while end <= len(found) and not done(i, end):
             end += 1
         if end > len(found):
             break
