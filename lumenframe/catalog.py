@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of lumenframe.plans that hold queries: QUERIES maps a name to (function, SQL or None).
-PLANS: tuple[str, ...] = ("aggregates", "windows", "joins", "search", "similar", "folds", "media")
+PLANS: tuple[str, ...] = ("aggregates", "windows", "joins", "search", "similar", "folds", "media", "analytics")
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

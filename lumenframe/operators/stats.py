@@ -114,12 +114,12 @@ def grouping_report(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     return out.select(kind.alias("kind"), F.coalesce(*[F.col(k) for k in keys]).alias("key"), "n", "total")
 
 
-def proportional(df: DataFrame, weight: str, total: float, by: Sequence[str] = ()) -> DataFrame:
-    """df with share: total by weight; negative weights count as 0, and all shares are 0 where the weights sum to 0."""
+def proportional(df: DataFrame, weight: str, total: float, by: Sequence[str] = (), uniform: bool = False) -> DataFrame:
+    """df with share: total by weight; negative weights count as 0. Where the weights sum to 0 all shares are 0, or equal (uniform)."""
     w = F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0))
-    sums = df.groupBy(*by).agg(F.sum(w).alias("_s"))
+    sums = df.groupBy(*by).agg(F.sum(w).alias("_s"), F.count("*").alias("_k"))
     joined = df.join(F.broadcast(sums), list(by)) if by else df.crossJoin(F.broadcast(sums))
-    return joined.withColumn("share", F.when(F.col("_s") > 0, F.lit(total) * w / F.col("_s")).otherwise(0.0)).drop("_s")
+    return joined.withColumn("share", F.when(F.col("_s") > 0, F.lit(total) * w / F.col("_s")).otherwise(F.lit(total) / F.col("_k") if uniform else F.lit(0.0))).drop("_s", "_k")
 
 
 def pooled_scores(df: DataFrame, score: str, by: Sequence[str]) -> DataFrame:

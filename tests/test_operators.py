@@ -236,3 +236,35 @@ def test_extension_surface(spark):
     assert [r["words"] for r in spark.sql("select words from word_windows('a b c')").collect()] == ["a b", "b c"]
     registry.register_source(spark)
     assert spark.read.format("frames").option("frames", 10).load().count() == 10
+
+
+def test_binary_tags(spark):
+    import struct
+
+    from lumenframe.sources import tags
+
+    item = struct.pack("<II", 5, 0) + b"Title\0" + b"Hello"
+    ape = item + b"APETAGEX" + struct.pack("<IIII", 2000, len(item) + 32, 1, 0) + b"\0" * 8
+    assert tags.ape(b"xx" + ape) == {"Title": "Hello"} and tags.ape(b"") == {} and tags.ape(b"APETAGEX") == {}
+    record = lambda n, v: b"\x1c\x02" + bytes([n]) + struct.pack(">H", len(v)) + v
+    assert tags.iptc(record(5, b"T") + record(25, b"a") + record(25, b"b") + b"\x1c\x02\x05\x00\xff") == {"title": "T", "keywords": "a; b"}
+    text = struct.pack(">HH", 3, 0) + b"abc"
+    atom = struct.pack(">I4s", 8 + len(text), b"\xa9nam") + text
+    assert tags.quicktime(atom + b"\0\0\0\0") == {"title": "abc"}
+    files_ = frame(spark, [("p", bytearray(atom)), ("q", None)], "path string, content binary")
+    assert [tuple(r) for r in tags.exploded(files_, "quicktime").collect()] == [("p", "title", "abc")]
+
+
+def test_analytics(spark):
+    from lumenframe.operators import analytics as A
+
+    users = frame(spark, [(i,) for i in range(2000)], "user long")
+    shares = {r["variant"]: r["count"] for r in A.assign_variants(users, "user", {"a": 3.0, "b": 1.0}).groupBy("variant").count().collect()}
+    assert 1350 < shares["a"] < 1650
+    curve = A.retention_curve(frame(spark, [(1, 10.0, 1.0), (2, 5.0, 1.0)], "viewer long, reach double, weight double"), 2, 10.0)
+    assert [(r["point"], r["share"], r["area"]) for r in curve.orderBy("point").collect()] == [(0, 1.0, 0.0), (1, 1.0, 5.0), (2, 0.5, 8.75)]
+    row = frame(spark, [([1, 2], [9, 1, 2, 9], [])], "q array<long>, t array<long>, e array<long>")
+    found = row.select(A.best_alignment(F.col("q"), F.col("t")).alias("x"), A.best_alignment(F.col("t"), F.col("q")).alias("y"), A.best_alignment(F.col("e"), F.col("t")).alias("z")).first()
+    assert (found["x"]["similarity"], found["x"]["offset"]) == (1.0, 1) and found["y"] is None and found["z"] is None
+    shares = stats.proportional(frame(spark, [(1, 0.0), (2, -5.0)], "i long, w double"), "w", 10.0, uniform=True)
+    assert [r["share"] for r in shares.collect()] == [5.0, 5.0]
