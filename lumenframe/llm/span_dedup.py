@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.session import checkpointed
+
 SENTENCES = 3
 MIN_WORDS = 10
 ENOUGH_WORDS = 40
@@ -84,7 +86,7 @@ def span_rows(docs: DataFrame, n: int = SENTENCES, min_words: int = MIN_WORDS) -
                 }
             )
 
-    named = docs.select("doc_id", F.xxhash64("text").alias("r"), hashed("text").alias("s"))
+    named = checkpointed(docs.select("doc_id", F.xxhash64("text").alias("r"), hashed("text").alias("s")))  # both sides of the join read it
     each = named.select("doc_id", "r", F.explode(F.arrays_zip("s.i", "s.e", "s.h1", "s.h2")).alias("s"))
     return each.select("doc_id", "r", "s.i", "s.e", "s.h1", "s.h2")
 
