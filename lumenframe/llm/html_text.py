@@ -35,35 +35,43 @@ NAMES = frozenset(
     "sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 HEADER_NAMES = frozenset(("header",))
+WRAPPERS = frozenset("header masthead menu modal nav overlay share sidebar skip social".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ROOTS = frozenset(("article", "main"))
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[a-z]+")
+_MODIFIER = re.compile(r"(has|with|no|without|is|layout|js|theme)[-_]")
+#: Names of reader comments, which may be article elements themselves.
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
 
 
 class Node:
     """An element; children are nodes and strings in page order."""
 
-    __slots__ = ("children", "commas", "headings_only", "length", "linked", "order", "parent", "score", "tag")
+    __slots__ = ("children", "commas", "headings_only", "length", "linked", "named", "order", "parent", "score", "tag", "wrapper")
 
     def __init__(self, tag: str, parent: Node | None, order: int) -> None:
         self.tag, self.parent, self.order, self.children = tag, parent, order, []
         self.score, self.length, self.linked, self.commas, self.headings_only = 0.0, 0, 0, 0, False
+        self.named = False  # named like noise
+        self.wrapper = False  # by a name that the elements round an article have too; it stays if an article turns out to stand in it
+
+
+def _words(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """Words of the class and id names, without names that only say what a layout has or lacks."""
+    names = [n for name, value in attrs if name in ("class", "id") for n in (value or "").lower().split() if not _MODIFIER.match(n)]
+    return set(_WORD.findall(" ".join(names)))
 
 
 def _noise(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-    """Whether an element is no part of an article; inside: it stands in an article or main element."""
+    """Whether an element is no part of an article whatever it holds; inside: it stands in an article or main element."""
     if tag in DROPPED:
         return True
-    if tag in ROOTS or tag in ("body", "html"):
+    if tag in ("body", "html"):
         return False
     for name, value in attrs:
         value = (value or "").lower()
-        if name in ("class", "id"):
-            words = set(_WORD.findall(value))
-            if words & NAMES or (not inside and words & HEADER_NAMES):
-                return True
-        elif (name == "role" and value in ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
+        if (name == "role" and value in ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
             return True
     return tag == "header" and not inside
 
@@ -102,7 +110,14 @@ class _Tree(HTMLParser):
         parent, dropped = self.open[-1]
         dropped = dropped or _noise(tag, attrs, self.rooted > 0)
         node = Node(tag, parent, len(self.nodes))
+        if attrs and not dropped:
+            words = _words(attrs)
+            node.named = bool(words & (COMMENTS if tag in ROOTS else NAMES)) or (self.rooted == 0 and bool(words & HEADER_NAMES) and tag not in ROOTS)
+            node.wrapper = words & (NAMES | HEADER_NAMES) <= WRAPPERS
         if not dropped:
+            if tag in ROOTS and not node.named:
+                for above, _ in self.open:
+                    above.named = above.named and not above.wrapper
             node.headings_only = parent.headings_only or tag == "header"
             parent.children.append(node)
             self.nodes.append(node)
@@ -125,6 +140,20 @@ class _Tree(HTMLParser):
             node.children.append(data)
 
 
+def _pruned(nodes: list[Node]) -> list[Node]:
+    """The nodes that are not named like noise, nor stand in one that is; they leave their parents too."""
+    kept = []
+    for node in nodes:  # parents come first
+        if node.parent is not None and node.parent.named:
+            node.named = True
+        if not node.named:
+            kept.append(node)
+    for node in kept:
+        if any(isinstance(c, Node) and c.named for c in node.children):
+            node.children = [c for c in node.children if not (isinstance(c, Node) and c.named)]
+    return kept
+
+
 def _score(nodes: list[Node]) -> None:
     """Lengths, links and commas from the leaves up, then the points of paragraphs to their ancestors."""
     for node in reversed(nodes):
@@ -165,7 +194,7 @@ def main_text(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    nodes = tree.nodes
+    nodes = _pruned(tree.nodes)
     _score(nodes)
     best = max(nodes, key=lambda n: (n.score * (1 - _density(n)), -n.order))
     around, up = best, best

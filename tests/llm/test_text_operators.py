@@ -100,6 +100,17 @@ def test_html_without_an_article_element():
     assert text.splitlines() == ["Head", *[f"Paragraph {i}, which is long enough, and has commas, in it." for i in range(4)]]
 
 
+def test_html_names_that_only_describe_the_layout():
+    words = "A paragraph, of some length, that an article holds, and so on."
+    for page in (
+        f"<body><div class='container has-sidebar'><div id='text'><p>{words}</p><p>{words}</p></div><div class='sidebar'>Side</div></div></body>",
+        f"<body><div class='sidebar-left'><article><p>{words}</p><p>{words}</p></article><aside>Side</aside></div></body>",
+        f"<body><article><p>{words}</p><p>{words}</p><div id='comments'><article class='comment'><p>{words} {words}</p></article></div></article></body>",
+        f"<body><main><article><p>{words}</p><p>{words}</p></article></main><section class='comments'><article><p>{words} {words} {words}</p></article></section></body>",
+    ):
+        assert html_text.main_text(page) == f"{words}\n{words}", page
+
+
 def test_html_of_odd_pages(spark):
     assert [html_text.main_text(x) for x in (None, "", "<p>", "<nav>x</nav>", "plain text")] == ["", "", "", "", "plain text"]
     assert html_text.main_text("<div>" * 5_000 + "deep" + "</div>" * 5_000) == "deep"
