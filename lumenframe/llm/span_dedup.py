@@ -101,6 +101,7 @@ def removals(docs: DataFrame, n: int = SENTENCES, min_words: int = MIN_WORDS) ->
     spans = span_rows(docs, n, min_words)
     place = F.struct("doc_id", "r", "i")
     first = spans.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    first = checkpointed(first)  # the join then reads two plain shuffles, whose hot partitions adaptive execution can split
     later = spans.join(first, ["h1", "h2"]).where(place != F.col("first"))
     covered = later.groupBy("doc_id", "r").agg(F.collect_set(F.struct("i", "e")).alias("spans"), F.sort_array(F.collect_set("first.doc_id")).alias("first_doc_ids"))
     merged = F.aggregate(
