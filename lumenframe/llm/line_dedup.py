@@ -46,6 +46,7 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     dealt = hashed.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     firsts = dealt.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))
     shared = firsts.groupBy("h1", "h2").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    shared = checkpointed(shared)  # the join then reads two plain shuffles, whose hot partitions adaptive execution can split
     gone = dealt.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     placed = gone.select("r1", "r2", F.shiftrightunsigned("pos", 6).alias("word"), F.expr("shiftleft(1L, pos & 63)").alias("bit"))
     words = placed.repartition("r1", "r2").groupBy("r1", "r2", "word").agg(F.bit_or("bit").alias("bits"))
