@@ -118,7 +118,7 @@ def file_size(n: Column) -> Column:
     """Bytes as B, KB, MB, GB or TB by 1024, with two digits."""
     out = None
     for power, unit in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")):
-        text = F.format_string(f"%.2f {unit}", n / float(1024**power))
+        text = F.format_string(f"%.2f {unit}", F.round(n / float(1024**power), 2))
         out = F.when(n >= 1024**power, text) if out is None else out.when(n >= 1024**power, text)
     return out.otherwise(F.format_string("%d B", n))
 

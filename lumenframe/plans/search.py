@@ -279,8 +279,8 @@ QUERIES = {
         when word like '%ly' and strlen(word) > 4 then word[:-3] when word like '%s' and strlen(word) > 3 then word[:-2] else word end stem from w"""),
     "parsed_values": (parsed_values, "select p_partkey, case p_partkey % 3 when 0 then p_size * 1000000::bigint when 1 then p_size * 1000::bigint end bps, p_size * 16 width, p_size * 9 height from part"),
     "validators": (validators, """select regexp_matches(url, '^(?:https?|ftp)://[^\\s/]+(?:/\\S*)?$') url_ok, regexp_matches('info@' || regexp_extract(url, '^https?://([^/]+)', 1), '^[^@]+@[^@]+$') mail_ok, count(*) n from pages group by 1, 2"""),
-    "file_sizes": (file_sizes, """with s as (select o_orderkey, floor(o_totalprice)::bigint * 37 b from orders) select o_orderkey, case when b >= 1073741824 then printf('%.2f GB', b / 1073741824.0::double) when b >= 1048576 then printf('%.2f MB', b / 1048576.0::double)
-        when b >= 1024 then printf('%.2f KB', b / 1024.0::double) else printf('%d B', b) end as size from s"""),
+    "file_sizes": (file_sizes, """with s as (select o_orderkey, floor(o_totalprice)::bigint * 37 b from orders) select o_orderkey, case when b >= 1073741824 then printf('%.2f GB', round(b / 1073741824.0::double, 2)) when b >= 1048576 then printf('%.2f MB', round(b / 1048576.0::double, 2))
+        when b >= 1024 then printf('%.2f KB', round(b / 1024.0::double, 2)) else printf('%d B', b) end as size from s"""),
     "timecodes": (timecodes, """with f as (select o_orderkey, o_orderkey * 97 f from orders) select o_orderkey, printf('%02d:%02d:%02d:%02d', f // 90000, f // 1500 % 60, f // 25 % 60, f % 25) code, f as frames, printf('%d+%02d', f // 16, f % 16) feet, f // 1500 % 60 as minute from f"""),
     "retimed": (retimed, "select o_orderkey, round(o_orderkey * 40 * 25.0::double / 30.0::double)::bigint ms, round(o_orderkey * 40 * 1.25::double)::bigint stretched from orders"),
     "standard_rates": (standard_rates, """with p as (select distinct p_size fps from part), r as (select fps, unnest([23.976::double, 24, 25, 29.97, 30, 50, 59.94, 60]) r from p), b as (select fps, min((abs(fps - r), r)) m from r group by 1)
