@@ -229,3 +229,22 @@ def fnv1a(text: pd.Series) -> pd.Series:
         return f"{h:016x}"
 
     return text.map(digest, na_action=None)
+
+
+@F.pandas_udf(StringType())
+def content_id(data: pd.Series) -> pd.Series:
+    """128-bit content id of binary data as 32 hex digits: FNV-1a of the bytes at even and at odd places, low byte first."""
+    prime, mask = 0x100000001B3, 0xFFFFFFFFFFFFFFFF
+
+    def lane(part: bytes, h: int) -> int:
+        for b in part:
+            h = ((h ^ b) * prime) & mask
+        return h
+
+    def ident(b: bytes | None) -> str | None:
+        if b is None:
+            return None
+        b = bytes(b)
+        return (lane(b[::2], 0xCBF29CE484222325).to_bytes(8, "little") + lane(b[1::2], 0xAF63DC4C8601EC8C).to_bytes(8, "little")).hex()
+
+    return data.map(ident, na_action=None)

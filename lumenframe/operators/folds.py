@@ -148,6 +148,20 @@ def scale_fleet(load: DataFrame, low: float, high: float, least: int, most: int)
     return load.select("fleet", "i", "load").groupBy("fleet").applyInPandas(run, "fleet long, i long, size long")
 
 
+def locked_frequency(errors: DataFrame, nominal: float, gain: float) -> DataFrame:
+    """errors(device, i, error) with frequency: nominal plus the sum of gain times the errors, held within a tenth of nominal at every step."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        away, most, out = 0.0, nominal * 0.1, []
+        rows = rows.sort_values("i")
+        for e in rows["error"]:
+            away = max(-most, min(most, away + gain * e))
+            out.append(nominal + away)
+        return rows.assign(frequency=out)[["device", "i", "frequency"]]
+
+    return errors.select("device", "i", "error").groupBy("device").applyInPandas(run, "device long, i long, frequency double")
+
+
 def nearest_tour(points: DataFrame) -> DataFrame:
     """(path, id, place) of points(path, id, v): from the smallest id on, always to the nearest point left; ties go to the smaller id."""
 

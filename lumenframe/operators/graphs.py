@@ -55,6 +55,13 @@ def topological_levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     return out if out is not None else nodes.where("1 = 0").withColumn("level", F.lit(0).cast("long"))
 
 
+def replay(nodes: DataFrame, edges: DataFrame, duration: int) -> DataFrame:
+    """(node, stage, start, skipped): when each of nodes(node) runs if every stage takes duration; nodes without edges are skipped."""
+    level = topological_levels(edges)
+    rows = nodes.select("node").distinct().join(level, "node", "left")
+    return rows.select("node", F.col("level").alias("stage"), (F.col("level") * duration).alias("start"), F.col("level").isNull().alias("skipped"))
+
+
 def has_cycle(edges: DataFrame) -> bool:
     """Whether peeling leaves nodes over."""
     nodes = edges.select("src").unionAll(edges.select("dst")).distinct().count()

@@ -268,3 +268,24 @@ def test_analytics(spark):
     assert (found["x"]["similarity"], found["x"]["offset"]) == (1.0, 1) and found["y"] is None and found["z"] is None
     shares = stats.proportional(frame(spark, [(1, 0.0), (2, -5.0)], "i long, w double"), "w", 10.0, uniform=True)
     assert [r["share"] for r in shares.collect()] == [5.0, 5.0]
+
+
+def test_codecs_and_detections(spark):
+    from lumenframe.functions import codecs
+    from lumenframe.operators import detections
+
+    rows = codecs.with_containers(frame(spark, [("AV1",), ("none",)], "c string"), "c").collect()
+    assert {r["c"]: r["containers"] for r in rows} == {"AV1": ["mkv", "mp4", "webm"], "none": []}
+    assert one(spark, codecs.compatible(F.lit("flac"), F.col("v")), "MP4") is True and one(spark, codecs.compatible(F.lit("vp8"), F.col("v")), "mp4") is False
+    # Three anchors of two classes: the second overlaps the first, the third is of the other class.
+    raw = [10.0, 11.0, 10.0, 10.0, 10.0, 10.0, 8.0, 8.0, 8.0, 8.0, 8.0, 8.0, 3.0, 2.0, -5.0, -5.0, -5.0, 1.0]
+    found = detections.detections(frame(spark, [(1, raw), (2, None), (3, [1.0])], "frame long, out array<double>"), "out", 2).collect()
+    assert [(r["frame"], r["class"], r["x"]) for r in found] == [(1, 0, 6.0), (1, 1, 6.0)]
+
+
+def test_locks_replays_and_content_ids(spark):
+    errors = frame(spark, [(1, i, 5.0) for i in range(4)], "device long, i long, error double")
+    assert [r["frequency"] for r in folds.locked_frequency(errors, 100.0, 1.0).orderBy("i").collect()] == [105.0, 110.0, 110.0, 110.0]
+    out = graphs.replay(frame(spark, [(1,), (2,), (9,)], "node long"), frame(spark, [(1, 2)], "src long, dst long"), 50).orderBy("node").collect()
+    assert [tuple(r) for r in out] == [(1, 0, 0, False), (2, 1, 50, False), (9, None, None, True)]
+    assert one(spark, T.content_id(F.col("v")), bytearray(b""), "binary") == "25232284e49cf2cb8cec01864cdc63af" and one(spark, T.content_id(F.col("v")), None, "binary") is None
