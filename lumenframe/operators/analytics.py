@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.session import broadcast_if_small
+
 
 def assign_variants(df: DataFrame, user: str, weights: Mapping[str, float], salt: str = "") -> DataFrame:
     """df with variant: the same for a user each time, in proportion to the weights."""
@@ -21,7 +23,7 @@ def assign_variants(df: DataFrame, user: str, weights: Mapping[str, float], salt
 def attribute_time(watched: DataFrame, segments: DataFrame) -> DataFrame:
     """(segment, seconds, viewers): time of watched(viewer, s, e) that falls in each of the few segments(segment, s, e)."""
     seg = segments.select("segment", F.col("s").alias("_s"), F.col("e").alias("_e"))
-    met = watched.join(F.broadcast(seg), (F.col("s") < F.col("_e")) & (F.col("_s") < F.col("e")))
+    met = watched.join(broadcast_if_small(seg, 10_000), (F.col("s") < F.col("_e")) & (F.col("_s") < F.col("e")))
     return met.groupBy("segment").agg(F.sum(F.least("e", "_e") - F.greatest("s", "_s")).alias("seconds"), F.countDistinct("viewer").alias("viewers"))
 
 

@@ -10,6 +10,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.session import broadcast_if_small
+
 
 def all_of(conditions: Sequence[Column]) -> Column:
     """Conjunction; true if there are none."""
@@ -128,14 +130,14 @@ def parse_search(text: str, fields: Sequence[str]) -> Column:
 def evaluate_rules(samples: DataFrame, rules: DataFrame) -> DataFrame:
     """Samples(metric, value, ...) that fire rules(rule, metric, kind, low, high): above, below, outside (strict), inside (inclusive), always.
 
-    rules is a small table that people write; it is broadcast.
+    rules is a table that people write; it is broadcast once a count has shown that it is small.
     """
     v, low, high = F.col("value"), F.col("low"), F.col("high")
     fires = (
         F.when(F.col("kind") == "above", v > low).when(F.col("kind") == "below", v < low).when(F.col("kind") == "outside", (v < low) | (v > high))
         .when(F.col("kind") == "inside", (v >= low) & (v <= high)).otherwise(F.col("kind") == "always")
     )
-    return samples.join(F.broadcast(rules), "metric").where(fires)
+    return samples.join(broadcast_if_small(rules), "metric").where(fires)
 
 
 def geo_allowed(country: Column, allow: Sequence[str] = (), block: Sequence[str] = ()) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.vectors import hamming
 from lumenframe.operators.intervals import islands
+from lumenframe.session import broadcast_if_small
 
 
 def boundaries(df: DataFrame, by: Sequence[str], order: str, distance: str, hard: float, soft: float) -> DataFrame:
@@ -95,8 +96,8 @@ def compare_runs(baseline: DataFrame, current: DataFrame, name: str, value: str,
 
 
 def best_distance_per_asset(queries: DataFrame, items: DataFrame, asset: str, distance: Column, most: float) -> DataFrame:
-    """(query, asset, distance): least distance of any item of an asset to each of the stated queries, up to most. Queries are broadcast."""
-    met = items.join(F.broadcast(queries), how="cross").withColumn("distance", distance)
+    """(query, asset, distance): least distance of any item of an asset to each of the stated queries, up to most. Queries are broadcast once they are counted."""
+    met = items.crossJoin(broadcast_if_small(queries, 50_000)).withColumn("distance", distance)
     return met.groupBy("query", asset).agg(F.min("distance").alias("distance")).where(F.col("distance") <= most)
 
 

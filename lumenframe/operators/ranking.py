@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.session import broadcast_if_small
+
 #: Words that the tokenizer drops (fixed values).
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on that the to was will with".split()
 
@@ -112,10 +114,10 @@ def autocomplete(vocab: DataFrame, prefix: str, k: int) -> DataFrame:
 def suggest(vocab: DataFrame, asked: DataFrame, distance: int = 2) -> DataFrame:
     """(word, term, score): terms of vocab within an edit distance of asked(word), the word itself left out.
 
-    Candidates meet by length bands and the words of a query are few, so that side is broadcast; score is
+    Candidates meet by length bands and the words of a query are few, so that side is broadcast once it is counted; score is
     1 less the distance by the longer length.
     """
-    rows = vocab.join(F.broadcast(asked), F.abs(F.length("term") - F.length("word")) <= distance)
+    rows = vocab.join(broadcast_if_small(asked, 10_000), F.abs(F.length("term") - F.length("word")) <= distance)
     d = F.levenshtein(F.col("word"), F.col("term"))
     found = rows.withColumn("_d", d).where((F.col("_d") <= distance) & (F.col("term") != F.col("word")))
     return found.select("word", "term", (1 - F.col("_d") / F.greatest(F.length("word"), F.length("term"))).alias("score"))
@@ -129,7 +131,7 @@ def auto_correct(vocab: DataFrame, asked: DataFrame, distance: int = 2) -> DataF
 
 def expand_synonyms(query: DataFrame, synonyms: DataFrame) -> DataFrame:
     """query(term) with the terms that synonyms(term, other) adds."""
-    extra = query.join(F.broadcast(synonyms), "term").select(F.col("other").alias("term"))
+    extra = query.join(broadcast_if_small(synonyms), "term").select(F.col("other").alias("term"))
     return query.select("term").unionAll(extra).distinct()
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.scores import log_rate_decay
+from lumenframe.session import broadcast_if_small
 
 
 def user_similarity(ratings: DataFrame, users: DataFrame) -> DataFrame:
     """(user, other, sim): cosine of each stated user (users(user), a small set) with all who share an item; over full norms."""
     norms = ratings.groupBy("user").agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("norm"))
-    mine = ratings.join(F.broadcast(users), "user")
+    mine = ratings.join(broadcast_if_small(users), "user")
     met = ratings.select(F.col("user").alias("other"), "item", F.col("rating").alias("r2")).join(mine, "item").where("user <> other")
     dots = met.groupBy("user", "other").agg(F.sum(F.col("rating") * F.col("r2")).alias("dot"))
     both = dots.join(norms, "user").join(norms.select(F.col("user").alias("other"), F.col("norm").alias("norm2")), "other")
@@ -25,7 +26,7 @@ def collaborative(ratings: DataFrame, users: DataFrame, neighbours: int, n: int)
     frame = Window.partitionBy("user").orderBy(F.desc("sim"), "other")
     sims = user_similarity(ratings, users).withColumn("sim", F.round("sim", 9)).withColumn("_r", F.row_number().over(frame)).where(F.col("_r") <= neighbours)
     theirs = ratings.select(F.col("user").alias("other"), "item", "rating")
-    scored = theirs.join(F.broadcast(sims), "other").groupBy("user", "item").agg(F.round(F.sum(F.col("sim") * F.col("rating")), 6).alias("score"))
+    scored = theirs.join(sims, "other").groupBy("user", "item").agg(F.round(F.sum(F.col("sim") * F.col("rating")), 6).alias("score"))
     fresh = scored.join(ratings.select("user", "item"), ["user", "item"], "left_anti")
     return fresh.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("score"), "item"))).where(F.col("rank") <= n)
 
@@ -87,7 +88,7 @@ def share(df: DataFrame, key: str) -> DataFrame:
 
 def distribution_gap(actual: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """One row (gap): sum of absolute differences of actual(key, share) and target(key, goal)."""
-    joined = actual.join(F.broadcast(target), key, "full_outer")
+    joined = actual.join(target, key, "full_outer")
     return joined.agg(F.sum(F.abs(F.coalesce("share", F.lit(0.0)) - F.coalesce("goal", F.lit(0.0)))).alias("gap"))
 
 

@@ -8,17 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import vectors as V
+from lumenframe.session import broadcast_if_small
+
+#: Rows of a stated query set that are broadcast; a larger set meets the items in a join that Spark plans itself.
+QUERIES = 50_000
 
 
 def nearest(queries: DataFrame, items: DataFrame, ident: str, vector: str, k: int, score: Callable[[Column, Column], Column], descending: bool, exclude_self: bool = True) -> DataFrame:
     """(query, item, score, rank): the k best items of each query vector; ties go to the smaller item.
 
-    queries is a stated set, small against items, and is broadcast; the per-task rank limit of the
-    window keeps k rows a query from each task before the shuffle.
+    queries is a stated set; it is broadcast once a count has shown that it is small. The per-task rank
+    limit of the window keeps k rows a query from each task before the shuffle.
     """
-    q = queries.select(F.col(ident).alias("query"), V.doubles(F.col(vector)).alias("_q"))
+    q = broadcast_if_small(queries.select(F.col(ident).alias("query"), V.doubles(F.col(vector)).alias("_q")), QUERIES)
     i = items.select(F.col(ident).alias("item"), V.doubles(F.col(vector)).alias("_i"))
-    met = i.join(F.broadcast(q), F.col("query") != F.col("item")) if exclude_self else i.crossJoin(F.broadcast(q))
+    met = i.join(q, F.col("query") != F.col("item")) if exclude_self else i.crossJoin(q)
     scored = met.select("query", "item", F.round(score(F.col("_q"), F.col("_i")), 6).alias("score"))
     order = [F.desc("score") if descending else F.col("score"), F.col("item")]
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
@@ -40,9 +44,9 @@ def hamming_pairs(items: DataFrame, ident: str, code: str, bits: int, radius: in
 
 
 def hamming_query(queries: DataFrame, items: DataFrame, ident: str, code: str, radius: int) -> DataFrame:
-    """(query, item, distance) of all items but the query itself within radius; the stated queries are broadcast."""
-    q = queries.select(F.col(ident).alias("query"), F.col(code).alias("_q"))
-    met = items.select(F.col(ident).alias("item"), F.col(code).alias("_c")).join(F.broadcast(q), F.col("query") != F.col("item"))
+    """(query, item, distance) of all items but the query itself within radius; stated queries are broadcast once they are counted."""
+    q = broadcast_if_small(queries.select(F.col(ident).alias("query"), F.col(code).alias("_q")), QUERIES)
+    met = items.select(F.col(ident).alias("item"), F.col(code).alias("_c")).join(q, F.col("query") != F.col("item"))
     return met.select("query", "item", V.hamming(F.col("_q"), F.col("_c")).alias("distance")).where(F.col("distance") <= radius)
 
 

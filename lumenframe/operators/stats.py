@@ -69,7 +69,7 @@ def tukey_outliers(df: DataFrame, value: str, by: Sequence[str] = (), least: int
     """Rows outside the fences of the interpolated quartiles, with severity mild (1.5) or extreme (3); groups under least rows have none."""
     by = list(by)
     quart = df.groupBy(*by).agg(F.count(value).alias("_n"), F.expr(f"percentile({value}, array(0.25D, 0.75D))").alias("_q"))
-    joined = df.join(F.broadcast(quart), by) if by else df.crossJoin(F.broadcast(quart))
+    joined = df.join(quart, by) if by else df.crossJoin(F.broadcast(quart))
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
     over = lambda k: (F.col(value) < q1 - (q3 - q1) * k) | (F.col(value) > q3 + (q3 - q1) * k)
     return joined.where((F.col("_n") >= least) & over(1.5)).withColumn("severity", F.when(over(3.0), "extreme").otherwise("mild")).drop("_n", "_q")
@@ -118,7 +118,7 @@ def proportional(df: DataFrame, weight: str, total: float, by: Sequence[str] = (
     """df with share: total by weight; negative weights count as 0. Where the weights sum to 0 all shares are 0, or equal (uniform)."""
     w = F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0))
     sums = df.groupBy(*by).agg(F.sum(w).alias("_s"), F.count("*").alias("_k"))
-    joined = df.join(F.broadcast(sums), list(by)) if by else df.crossJoin(F.broadcast(sums))
+    joined = df.join(sums, list(by)) if by else df.crossJoin(F.broadcast(sums))
     return joined.withColumn("share", F.when(F.col("_s") > 0, F.lit(total) * w / F.col("_s")).otherwise(F.lit(total) / F.col("_k") if uniform else F.lit(0.0))).drop("_s", "_k")
 
 
@@ -136,7 +136,7 @@ def gated_loudness(df: DataFrame, energy: str, by: Sequence[str], absolute: floa
     loud = lambda e: -0.691 + 10.0 * F.log10(e)
     rows = df.where((F.col(energy) > 0) & (loud(F.col(energy)) > absolute))
     first = rows.groupBy(*by).agg(loud(F.avg(energy)).alias("_gate"))
-    return rows.join(F.broadcast(first), by).where(loud(F.col(energy)) > F.col("_gate") + relative).groupBy(*by).agg(loud(F.avg(energy)).alias("lufs"))
+    return rows.join(first, by).where(loud(F.col(energy)) > F.col("_gate") + relative).groupBy(*by).agg(loud(F.avg(energy)).alias("lufs"))
 
 
 def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -148,7 +148,7 @@ def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
     best = df.groupBy(F.col(x).alias("_x")).agg(F.max(y).alias("_y"))
     over = Window.orderBy(F.desc("_x")).rowsBetween(Window.unboundedPreceding, -1)
     front = best.withColumn("_m", F.max("_y").over(over)).where("_m is null or _y > _m").drop("_m")
-    return df.join(F.broadcast(front), (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y"))).drop("_x", "_y")
+    return df.join(front, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y"))).drop("_x", "_y")
 
 
 def rolling_z(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str], size: int = 20) -> DataFrame:

@@ -289,3 +289,23 @@ def test_locks_replays_and_content_ids(spark):
     out = graphs.replay(frame(spark, [(1,), (2,), (9,)], "node long"), frame(spark, [(1, 2)], "src long, dst long"), 50).orderBy("node").collect()
     assert [tuple(r) for r in out] == [(1, 0, 0, False), (2, 1, 50, False), (9, None, None, True)]
     assert one(spark, T.content_id(F.col("v")), bytearray(b""), "binary") == "25232284e49cf2cb8cec01864cdc63af" and one(spark, T.content_id(F.col("v")), None, "binary") is None
+
+
+def test_bucketed_joins_equal_naive_ones(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("ab*"), s, s + rng.choice([0, 1, 5, 40, 400])) for i, s in enumerate(rng.randrange(500) for _ in range(150))] + [(200 + i, "a", 100, 110) for i in range(20)]
+    df = frame(spark, rows, "id long, scope string, s long, e long")
+    for bucket in (1, 7, 1000):
+        got = [(r["l"]["id"], r["r"]["id"]) for r in intervals.overlap_join(df, df, ["scope"], bucket).collect()]
+        want = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] < a[3] and b[2] < b[3] and a[2] < b[3] and b[2] < a[3]}
+        assert len(got) == len(want) and set(got) == want
+    wild = set(map(tuple, intervals.wildcard_overlaps(df, "scope", 50).collect()))
+    assert wild == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (a[1] == b[1] or "*" in (a[1], b[1])) and a[2] < a[3] and b[2] < b[3] and a[2] < b[3] and b[2] < a[3]}
+    points = frame(spark, [(i, rng.choice("ab"), rng.randrange(600)) for i in range(80)], "id long, scope string, t long")
+    facts = frame(spark, [(i, rng.choice("ab"), rng.randrange(600), float(i)) for i in range(60)], "n long, scope string, t long, v double")
+    known = facts.collect()
+    for r in intervals.as_of(points, facts, ["scope"], "t", "v", "n").collect():
+        past = [f for f in known if f["scope"] == r["scope"] and f["t"] <= r["t"]]
+        assert r["v"] == (max(past, key=lambda f: (f["t"], f["n"]))["v"] if past else None)
