@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CUE = "n int, start_ms long, end_ms long, text string"
-_STAMP = re.compile(r"(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{2,3})")
+_STAMP = re.compile(r"(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{1,3})")
 
 
 def dialect(content: Column) -> Column:
@@ -31,7 +32,7 @@ def _ms(stamp: str) -> int | None:
 
 
 def parse(content: str | None) -> list[tuple[int, int, int, str]]:
-    """(n, start, end, text) of the cues of an srt, vtt, sbv or ass file; lines that fit no cue are left out."""
+    """(n, start, end, text) of the cues of an srt, vtt, sbv, ass or ttml file; what fits no cue is left out."""
     out: list[tuple[int, int, int, str]] = []
     content = (content or "").lstrip("\ufeff").replace("\r\n", "\n")
     if "[Script Info]" in content:
@@ -41,6 +42,13 @@ def parse(content: str | None) -> list[tuple[int, int, int, str]]:
                 if len(parts) == 10 and (a := _ms(parts[1])) is not None and (b := _ms(parts[2])) is not None:
                     out.append((len(out) + 1, a, b, re.sub(r"\{[^}]*\}", "", parts[9]).replace("\\N", "\n")))
         return out
+    if re.search(r"<tt[\s>]", content):
+        for attrs, body in re.findall(r"<p\b([^>]*)>(.*?)</p>", content, re.S):
+            ends = [_ms(m[1] if "." in m[1] or "," in m[1] else f"{m[1]}.000") for m in (re.search(rf'\b{name}="([^"]*)"', attrs) for name in ("begin", "end")) if m]
+            if len(ends) == 2 and None not in ends:
+                text = re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", "\n", body))
+                out.append((len(out) + 1, ends[0], ends[1], html.unescape(text).strip()))
+        return out
     for block in re.split(r"\n\s*\n", content):
         lines = block.strip("\n").split("\n")
         for i, line in enumerate(lines):

@@ -202,6 +202,11 @@ def test_folds(spark):
 def test_sources(spark, tmp_path):
     srt = "1\n00:00:01,000 --> 00:00:02,500\nHello\nthere\n\n2\n00:00:03,000 --> 00:00:04,000\nBye\n"
     assert captions.parse(srt) == [(1, 1000, 2500, "Hello\nthere"), (2, 3000, 4000, "Bye")] and captions.parse(None) == []
+    ttml = '<tt xmlns="x"><body><p begin="00:00:01.000" end="00:00:02.5">A &amp; <span>b</span><br/>c</p><p begin="x" end="y">no</p></body></tt>'
+    assert captions.parse(ttml) == [(1, 1000, 2500, "A & b\nc")]
+    ass = "[Script Info]\n[Events]\nDialogue: 0,0:00:01.00,0:00:02.50,Default,,0,0,0,,{\\i1}Hi\\Nyou"
+    assert captions.parse(ass) == [(1, 1000, 2500, "Hi\nyou")]
+    assert captions.parse("WEBVTT\n\n00:01.000 --> 00:02.000 align:left\nx") == [(1, 1000, 2000, "x")] and captions.parse("0:00:01.000,0:00:02.000\ny") == [(1, 1000, 2000, "y")]
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.srt").write_text(srt)
     assert captions.read_cues(spark, str(tmp_path / "in")).count() == 2
