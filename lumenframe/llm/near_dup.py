@@ -148,7 +148,8 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(nodes.select("fp")))
     rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # A large group's fingerprints share one root: the joins read plain shuffles, whose hot partitions adaptive execution can split.
+    smallest = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     classes = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
