@@ -284,3 +284,28 @@ def test_stages_take_odd_rows(spark):
             frame = spark.createDataFrame(out.collect(), docs.schema)
         assert frame.count() == left
         assert corpus_pipeline.STAGES[-1][1](spark, frame, SF).count() == left
+
+
+def plain_shingles(text, n=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def test_pipeline_drops_near_copies(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None and r["doc_id"] != 303]
+    for g in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([40, 100, 300]))]
+        for c in range(12):
+            words = list(base)
+            for _ in range(c % 6):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            rows.append((1000 + 20 * g + c, " ".join(words + [rng.choice(vocabulary) for _ in range(c % 3 * 4)])))
+    sets = {i: plain_shingles(t) for i, t in rows}
+    close = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or 1.25 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b]))]
+    top = roots(list(sets), close)
+    frame = spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one(spark, frame, SF).collect()} == set(top.values())
