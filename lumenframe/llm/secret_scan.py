@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.session import let
 
-LEAST, MOST = 16, 256
+LEAST = 16
 TREES, DEPTH, SEED = 30, 8, 17
 FINDINGS = 6_000
 _SIGNS = "[A-Za-z0-9_+/=.~-]"
@@ -45,7 +45,7 @@ SAMPLE_PATH = "test|example|sample|fixture|mock|demo|doc"
 def candidates(docs: DataFrame) -> DataFrame:
     """Candidates of docs(doc_id, text, source): doc_id, source, word_index, word, before2, before1, after1.
 
-    A candidate is a word (between ASCII white space) with a run of 16 to 256 signs of a key
+    A candidate is a word (between ASCII white space) with a run of 16 signs or more of a key
     alphabet that has a digit and a letter, or both cases. Null and empty texts have none.
     """
     def around(ws: Column) -> Column:
@@ -73,8 +73,8 @@ def featured(found: DataFrame) -> tuple[DataFrame, list[str]]:
     named = F.regexp_extract("word", f"""^["'(]*([A-Za-z_.-]+)["']?[=:]["']*(?={_SIGNS}{{{LEAST}}})""", 1)
     rest = F.expr("substring(word, length(lead) + 1)")
     rows = found.withColumn("name", named).withColumn("lead", F.when(F.col("name") != "", F.regexp_extract("word", """^["'(]*[A-Za-z_.-]+["']?[=:]""", 0)).otherwise(F.lit("")))
-    rows = rows.withColumn("core", F.regexp_extract(rest, f"{_SIGNS}{{{LEAST},{MOST}}}", 0))
-    rows = rows.withColumn("core", F.when(F.col("core") == "", F.substring("word", 1, MOST)).otherwise(F.col("core")))
+    rows = rows.withColumn("core", F.regexp_extract(rest, f"{_SIGNS}{{{LEAST},}}", 0))
+    rows = rows.withColumn("core", F.when(F.col("core") == "", F.col("word")).otherwise(F.col("core")))
     n = F.greatest(F.length("core"), F.lit(1))
     share = lambda pattern: F.regexp_count("core", F.lit(pattern)) / n
     words = "|".join(sorted((w for w in DICTIONARY.split() if len(w) > 2), key=lambda w: (-len(w), w)))

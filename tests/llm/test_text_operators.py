@@ -134,6 +134,17 @@ def test_secrets_of_held_out_findings(spark):
     assert not {3, 4, None} & set(found)
 
 
+def sha256s(*texts):
+    return [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+
+def test_long_secrets_are_digested_whole(spark):
+    head = "eyJ" + "aB3dE5gH7jK9" * 40
+    docs = spark.createDataFrame([(i, f"token: {head}{i}", "src") for i in range(2)], "doc_id long, text string, source string")
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_findings(spark, 1000))).collect()
+    assert sorted((r["doc_id"], r["secret_sha256"], r["length"]) for r in found) == [(i, h, len(head) + 1) for i, h in enumerate(sha256s(f"{head}0", f"{head}1"))]
+
+
 def test_base_scores_by_brute_force(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionAll(odd.select("doc_id", "text")).withColumn("n_known", class_lm.held_out())
     training = docs.where(~class_lm.held_out())
