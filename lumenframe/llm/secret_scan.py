@@ -22,6 +22,8 @@ LEAST = 16
 TREES, DEPTH, SEED = 30, 8, 17
 FINDINGS = 6_000
 _SIGNS = "[A-Za-z0-9_+/=.~-]"
+#: A run (2) with the signs since the last one and the name (1) that it is assigned to.
+_RUN = f"""(?s).*?(?:([A-Za-z_.-]+)["']?[=:]["']*)?({_SIGNS}{{{LEAST},}})"""
 #: Frequent words and parts of identifiers; what a candidate holds of them is covered by the dictionary.
 DICTIONARY = (
     "access account action address admin alpha and app archive array async author available base beta block branch buffer build button bytes cache call "
@@ -43,10 +45,11 @@ SAMPLE_PATH = "test|example|sample|fixture|mock|demo|doc"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Candidates of docs(doc_id, text, source): doc_id, source, word_index, word, before2, before1, after1.
+    """Candidates of docs(doc_id, text, source): doc_id, source, word_index, run_index, word, name, core, before2, before1, after1.
 
-    A candidate is a word (between ASCII white space) with a run of 16 signs or more of a key
-    alphabet that has a digit and a letter, or both cases. Null and empty texts have none.
+    Candidates (core) are all runs of 16 signs or more of a key alphabet in a word (between ASCII
+    white space) that has a digit and a letter, or both cases. name is what a run is assigned to;
+    word is the part of the word since the run before. Null and empty texts have none.
     """
     def around(ws: Column) -> Column:
         word = lambda i: F.get(ws, i)
@@ -61,7 +64,12 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     split = F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+")
     each = docs.select("doc_id", "source", F.explode(let(split, around)).alias("c"))
-    return each.select("doc_id", "source", "c.*")
+    found = each.select("doc_id", "source", "c.*").withColumns({f"_{i}": F.regexp_extract_all("word", F.lit(_RUN), F.lit(i)) for i in range(3)})
+    runs = found.select("*", F.posexplode(F.arrays_zip("_0", "_1", "_2")).alias("run_index", "run"))
+    return runs.select(
+        "doc_id", "source", "word_index", F.col("run_index").cast("long").alias("run_index"), F.when(F.size("_0") == 1, F.col("word")).otherwise(F.col("run._0")).alias("word"),
+        F.col("run._1").alias("name"), F.col("run._2").alias("core"), "before2", "before1", "after1",
+    )
 
 
 def _key_like(word: Column) -> Column:
@@ -69,12 +77,11 @@ def _key_like(word: Column) -> Column:
 
 
 def featured(found: DataFrame) -> tuple[DataFrame, list[str]]:
-    """found with core, the candidate string, and the features of the forest; the names of these."""
-    named = F.regexp_extract("word", f"""^["'(]*([A-Za-z_.-]+)["']?[=:]["']*(?={_SIGNS}{{{LEAST}}})""", 1)
-    rest = F.expr("substring(word, length(lead) + 1)")
-    rows = found.withColumn("name", named).withColumn("lead", F.when(F.col("name") != "", F.regexp_extract("word", """^["'(]*[A-Za-z_.-]+["']?[=:]""", 0)).otherwise(F.lit("")))
-    rows = rows.withColumn("core", F.regexp_extract(rest, f"{_SIGNS}{{{LEAST},}}", 0))
-    rows = rows.withColumn("core", F.when(F.col("core") == "", F.col("word")).otherwise(F.col("core")))
+    """found with core, the candidate string (the first run of word, if found has none), and the features of the forest; the names of these."""
+    rows = found
+    if "core" not in found.columns:
+        rows = rows.withColumn("name", F.regexp_extract("word", _RUN, 1)).withColumn("core", F.regexp_extract("word", _RUN, 2))
+        rows = rows.withColumn("core", F.when(F.col("core") == "", F.col("word")).otherwise(F.col("core")))
     n = F.greatest(F.length("core"), F.lit(1))
     share = lambda pattern: F.regexp_count("core", F.lit(pattern)) / n
     words = "|".join(sorted((w for w in DICTIONARY.split() if len(w) > 2), key=lambda w: (-len(w), w)))
@@ -167,7 +174,7 @@ def scan(docs: DataFrame, model: PipelineModel, threshold: float = 0.5) -> DataF
     rows, _ = featured(candidates(docs))
     judged = model.transform(rows).withColumn("score", F.round(vector_to_array("probability")[1], 9))
     return judged.select(
-        "doc_id", "word_index", F.sha2("core", 256).alias("secret_sha256"), F.length("core").cast("long").alias("length"), "score", (F.col("score") >= threshold).alias("is_secret")
+        "doc_id", "word_index", "run_index", F.sha2("core", 256).alias("secret_sha256"), F.length("core").cast("long").alias("length"), "score", (F.col("score") >= threshold).alias("is_secret")
     )
 
 
