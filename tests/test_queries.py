@@ -51,3 +51,11 @@ def test_agrees_with_sql(spark, duck, name):
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns and df.count() >= 0
+
+
+def test_alignments_of_all_vectors(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 20")
+    rows.unionAll(rows.withColumn("vec_id", rows["vec_id"] + 1000)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r["vec_id"]: (r["similarity"], r["place"]) for r in QUERIES["alignments"](spark, str(tmp_path)).collect()}
+    ids = [r["vec_id"] for r in rows.collect()]
+    assert sorted(found) == sorted([*ids, *(i + 1000 for i in ids)]) and all(found[i] == found[i + 1000] for i in ids)
