@@ -1,13 +1,21 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most RADIUS (2) bits share at least 8 - RADIUS (6)
-of their 8 positional bytes. The index holds every distinct fingerprint under each set of six
-positions with the bytes there, so exactly the pairs whose tally of shared positional bytes
-reaches the guaranteed minimum meet in a posting list, and a list has at most 2**16 distinct
-fingerprints whatever the input: only two bytes are free. (Lists keyed by one byte would hold
-a 256th of all fingerprints each and have to enumerate a square number of pairs.) Inside a list
-the tally and the Hamming distance are verified, and a list gives out a spanning forest of its
-links, never all pairs. Equal fingerprints are one node from the start.
+of their 8 positional bytes. Lists of one byte would hold a 256th of all fingerprints each, so the
+index has a list for every value of four positions together, for the 14 choices of four that form
+the Steiner system S(3, 4, 8): a pair that shares six positional bytes meets in exactly three of
+its lists, one that shares five in one, one that shares four in at most one. The tally of a pair
+over the lists therefore tells whether it reaches the guaranteed minimum: pairs of LEAST (3) lists
+or more are kept and verified by their Hamming distance.
+
+A list of more than MEMBERS fingerprints is not enumerated: its members meet again in the lists of
+all six positions that contain the four, where the minimum holds by the key itself, at most 2**16
+fingerprints share a list, and a list gives out a spanning forest of its links, never all pairs.
+Equal fingerprints are one node from the start.
+
+With a similarity (representatives()) the fingerprints of the index only propose: links are
+verified by the Jaccard similarity of the shingle sets, and near_copies completes them, as a pair
+at 0.8 differs in about ten bits and need not share any positional byte.
 """
 
 from __future__ import annotations
@@ -18,15 +26,23 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm import near_copies
+from lumenframe.llm.columns import packed, unpacked
 from lumenframe.operators.components import connected_components
 from lumenframe.session import checkpointed
 
 RADIUS = 2
-#: Six of the eight byte positions: a mask for each of the 28 choices.
-MASKS = tuple(sum(0xFF << (8 * p) for p in kept) for kept in combinations(range(8), 8 - RADIUS))
+#: Four of the eight byte positions: the blocks of S(3, 4, 8), which are the fours whose numbers cancel by exclusive or.
+FOURS = tuple(x for x in combinations(range(8), 4) if x[0] ^ x[1] ^ x[2] ^ x[3] == 0)
+#: Lists of FOURS that a pair with six equal positions shares.
+LEAST = 3
+#: Six of the eight byte positions.
+SIXES = tuple(combinations(range(8), 8 - RADIUS))
+#: A longer list is refined instead of enumerated.
+MEMBERS = 16
 #: Shingles hashed at once in one document.
 PIECE = 1 << 17
 
@@ -53,23 +69,41 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs with fp, the fingerprint of text as a signed long (null text: 0)."""
+    """docs with fp, the fingerprint of text as a signed long (null text: 0); a column of that name is replaced."""
 
     @F.pandas_udf("long")
     def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
             yield pd.Series(np.array([fingerprint(x, words) for x in series], dtype=np.uint64).astype(np.int64))
 
-    return docs.withColumn("fp", simhash("text"))
+    return unpacked(packed(docs, "text"), docs.columns, fp=simhash("text"))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Spanning links (a, b) of the distinct fingerprints in fps(fp): its components are those of all pairs within RADIUS."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in MASKS]
-    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("set"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(signed)])
-    postings = fps.select("fp", F.explode(keys).alias("k")).select("k.set", "k.bytes", "fp")
-    dealt = postings.repartition("set", "bytes").sortWithinPartitions("set", "bytes", "fp")
-    return dealt.mapInPandas(_verify, "a long, b long").distinct()
+def _mask(positions: tuple[int, ...]) -> Column:
+    """Literal of the long that has all bits of the byte positions."""
+    mask = sum(0xFF << (8 * p) for p in positions)
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+
+
+def links(fps: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """Links (a, b) of the distinct fingerprints in fps(fp): their components are those of all pairs within RADIUS."""
+    lists = F.array(*[F.struct(F.lit(i).cast("byte").alias("four"), F.col("fp").bitwiseAND(_mask(x)).alias("bytes")) for i, x in enumerate(FOURS)])
+    postings = fps.select("fp", F.explode(lists).alias("k")).select("k.four", "k.bytes", "fp")
+    # Counts and the least members of every list, combined map-side: a long list never stands in one row.
+    sizes = checkpointed(postings.groupBy("four", "bytes").agg(F.count("*").alias("n")).where("n > 1"))
+    met = postings.join(sizes, ["four", "bytes"])
+    short = met.where(F.col("n") <= members).groupBy("four", "bytes").agg(F.sort_array(F.collect_list("fp")).alias("m"))
+    each = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, members), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = short.select(F.explode(each).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("tally"))
+    near = pairs.where((F.col("tally") >= LEAST) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b")
+    long_ = met.where(F.col("n") > members).groupBy("fp").agg(F.collect_set("four").alias("fours"))
+    sixes = [
+        F.when(F.arrays_overlap("fours", F.array(*[F.lit(i).cast("byte") for i, x in enumerate(FOURS) if set(x) <= set(six)])), F.struct(F.lit(k).cast("byte").alias("set"), F.col("fp").bitwiseAND(_mask(six)).alias("bytes")))
+        for k, six in enumerate(SIXES)
+    ]
+    refined = long_.select("fp", F.explode(F.array_compact(F.array(*sixes))).alias("k")).select("k.set", "k.bytes", "fp")
+    dealt = refined.repartition("set", "bytes").sortWithinPartitions("set", "bytes", "fp")
+    return near.unionAll(dealt.mapInPandas(_verify, "a long, b long")).distinct()
 
 
 def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,16 +188,30 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, words: int = 3) -> DataFrame:
+def representatives(docs: DataFrame, words: int = 3, similarity: float | None = None) -> DataFrame:
     """The one row of each component that stays, as (doc_id, r): r is xxhash64 of the row's text.
 
+    Without a similarity, components are those of the fingerprints. With one, they are those of all
+    pairs of texts whose shingle sets have that Jaccard similarity: what the index of fingerprints
+    proposes is verified on the sets and contracted, and near_copies finds the rest.
     The row of smallest doc_id stays (null ids come last; of several texts under one id, that of least r).
     """
-    marked = fingerprints(docs.select("doc_id", "text"), words).select("doc_id", F.xxhash64("text").alias("r"), "fp")
+    docs = docs.select("doc_id", "text")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "r")
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min(place).alias("least")))
-    roots = connected_components(links(nodes.select("fp")))
-    rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("least", F.coalesce("root", "fp").alias("root"))
+    if similarity is None:
+        marked = fingerprints(docs, words).select("doc_id", F.xxhash64("text").alias("r"), F.col("fp").alias("k"))
+        nodes = checkpointed(marked.groupBy("k").agg(F.min(place).alias("least")))
+        roots = connected_components(links(nodes.select(F.col("k").alias("fp"))))
+    else:
+        marked = near_copies.keys(docs, words).select("doc_id", F.xxhash64("text").alias("r"), "k", "fp")
+        nodes = checkpointed(marked.groupBy("k").agg(F.min(place).alias("least"), F.min("fp").alias("fp")))
+        heads = checkpointed(nodes.groupBy("fp").agg(F.min("k").alias("k")))
+        same = nodes.select("fp", F.col("k").alias("b")).join(heads.withColumnRenamed("k", "a"), "fp").select("a", "b").where("a <> b")
+        ends = links(heads.select("fp"))
+        met = ends.join(heads.select(F.col("fp").alias("a"), F.col("k").alias("ka")), "a").join(heads.select(F.col("fp").alias("b"), F.col("k").alias("kb")), "b")
+        proposed = checkpointed(same.unionAll(met.select("ka", "kb")))
+        roots = connected_components(near_copies.links(docs, words, similarity, proposed))
+    rooted = nodes.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("least", F.coalesce("root", "k").alias("root"))
     return rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.r")
 
 

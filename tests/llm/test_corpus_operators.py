@@ -259,9 +259,9 @@ def test_pipeline_by_brute_force(spark):
     model = language_id.train(docs.where(~language_id.held_out()))
     rows = [(r["doc_id"], r["text"]) for r in language_id.predict(docs, model).where("lang_pred <> 'und' and score >= 0.5").collect()]
     rows = [(i, t) for i, _, _, t in plain_lines(rows)]
-    prints = {i: plain_fingerprint(t) for i, t in rows}
-    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
-    top = roots(list(prints), near)
+    sets = {i: plain_shingles(t) for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or 1.25 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b]))]
+    top = roots(list(sets), near)
     rows = [(i, t) for i, t in rows if top[i] == i]
     leaks = {i for i, _ in plain_leaks(rows, [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])}
     rows = [(i, t) for i, t in rows if i not in leaks]
