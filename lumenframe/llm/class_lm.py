@@ -1,12 +1,21 @@
-"""Brown class-based bigram language model: P(text) = product of P(class | previous class) P(word | class).
+"""Brown class-based bigram language model: P(text) = product of P(class | context) P(word | class).
+
+Counts cover all training documents and every word that occurs twice has a learned class. Exchange
+clustering assigns the core, the words whose share of the training tokens is at least EXCHANGE_SHARE
+(so at most 1 / EXCHANGE_SHARE words, whatever the corpus): from the bigram table each word's
+neighbours are counted by class, and words move to the class that makes the corpus most likely; the
+moves are chosen on the executors. Then every other word goes to the class that makes its own
+occurrences most likely, given the contexts they stand in: one distributed step over the counts of
+all (word, context), so that the clustered vocabulary grows with the corpus.
+
+A context is what stands before a word: the class of a core word, the shape (length, last sign,
+script) of any other word, or the begin of the text. Words that occur once share classes by shape,
+which also hold all unseen words: there are SHAPES of them beside CLASSES learned ones.
+Transitions and emissions are smoothed and each sum to one.
 
-Counts cover all training documents. Words whose share of the training tokens is at least
-EXCHANGE_SHARE (so at most 1 / EXCHANGE_SHARE words, whatever the corpus) get their classes by
-exchange clustering: from the bigram table each word's neighbours are counted by class, and words
-move to the class that makes the corpus most likely. All other words belong to classes by shape.
 Words of at least TABLE_SHARE are scored from a broadcast table, which the same argument bounds to
-1 / TABLE_SHARE words; every rarer token is joined with the full table of counts, so nothing is
-left out. What goes through the shuffle grows with the corpus; what reaches the driver does not.
+1 / TABLE_SHARE words; every rarer token is joined with the full table of words, by the word itself.
+What goes through the shuffle grows with the corpus; what reaches the driver does not.
 """
 
 from __future__ import annotations
@@ -16,18 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.columns import packed, unpacked
 from lumenframe.session import checkpointed
 
 CLASSES = 64
-EXCHANGE_SHARE = 1e-4
+EXCHANGE_SHARE = 2e-5
 TABLE_SHARE = 2e-6
 ROUNDS = 6
 BANDS = 4
 SHAPES = 4 * BANDS
+#: Classes and contexts: learned classes, shapes, and the end (as a context: the begin).
+KINDS = CLASSES + SHAPES + 1
 #: Weight of the class unigram in the smoothed class transitions.
 BACKOFF = 5.0
 END = "\n"
@@ -42,7 +53,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shape(word: bytes) -> int:
-    """Class of a word that is too rare for the exchange: by length, last sign and script."""
+    """Shape of a word: by length, last sign and script."""
     return min((len(word) - 1) // 3, BANDS - 1) * 4 + (word[-1] in _MARKS) * 2 + (not word.isascii())
 
 
@@ -114,23 +125,53 @@ def _merge(keys: np.ndarray, counts: np.ndarray, buffer: list[np.ndarray]) -> tu
     return both, np.bincount(where, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
 
 
-def class_profiles(pairs: DataFrame, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the classes after and before every symbol: two matrices, symbols x classes."""
-    shared = pairs.sparkSession.sparkContext.broadcast(classes)
+def class_bigrams(pairs: DataFrame, of: np.ndarray, kinds: int) -> np.ndarray:
+    """Bigram counts of the classes that symbols have by of."""
+    shared = pairs.sparkSession.sparkContext.broadcast(of)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = shared.value
+        total = np.zeros(kinds * kinds, dtype=np.int64)
         for frame in frames:
-            a, b, n = (frame[c].to_numpy() for c in ("a", "b", "n"))
-            for side, symbol, other in ((0, a, b), (1, b, a)):
-                keys, where = np.unique(symbol.astype(np.int64) * n_classes + of[other], return_inverse=True)
-                yield pd.DataFrame({"side": side, "k": keys, "n": np.bincount(where, weights=n).astype(np.int64)})
-
-    rows = pairs.mapInPandas(run, "side int, k long, n long").groupBy("side", "k").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros((2, len(classes) * n_classes))
-    out[rows["side"].to_numpy(dtype=int), rows["k"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=float)
-    after, before = out.reshape(2, len(classes), n_classes)
-    return after, before
+            a, b, n = (frame[c].to_numpy(dtype=np.int64) for c in ("a", "b", "n"))
+            total += np.bincount(shared.value[a] * kinds + shared.value[b], weights=n, minlength=len(total)).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"k": at, "n": total[at]})
+
+    rows = pairs.mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(kinds * kinds)
+    out[rows["k"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=float)
+    return out.reshape(kinds, kinds)
+
+
+def moves(pairs: DataFrame, of: np.ndarray, joint: np.ndarray, n_words: int, classes: int, moving: np.ndarray) -> pd.DataFrame:
+    """(symbol, class): the best class of every moving word by its neighbours, found on the executors."""
+    kinds = len(joint)
+    smooth = np.log(joint + 0.5)
+    # Rows: a neighbour's class after the word, then before it; columns: the word's class.
+    table = np.concatenate([smooth[:classes].T, smooth[:, :classes]])
+    shared = pairs.sparkSession.sparkContext.broadcast((of, moving, table, np.log(joint.sum(axis=1)[:classes] + 0.5) * 2))
+
+    def profiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, moving, _, _ = shared.value
+        for frame in frames:
+            a, b, n = (frame[c].to_numpy(dtype=np.int64) for c in ("a", "b", "n"))
+            for side, symbol, other in ((0, a, b), (kinds, b, a)):
+                ok = symbol < n_words
+                ok[ok] = moving[symbol[ok]]
+                keys, where = np.unique(symbol[ok] * (2 * kinds) + side + of[other[ok]], return_inverse=True)
+                yield pd.DataFrame({"symbol": keys // (2 * kinds), "code": keys % (2 * kinds), "n": np.bincount(where, weights=n[ok]).astype(np.int64)})
+
+    @F.pandas_udf("int")
+    def best(codes: pd.Series, counts: pd.Series) -> pd.Series:
+        _, _, table, margin = shared.value
+        held = np.zeros((len(codes), 2 * kinds))
+        for i, (c, n) in enumerate(zip(codes, counts, strict=True)):
+            held[i, c] = n
+        return pd.Series((held @ table - held[:, :kinds].sum(axis=1)[:, None] * margin).argmax(axis=1), dtype="int32")
+
+    counts = pairs.mapInPandas(profiles, "symbol long, code int, n long").groupBy("symbol", "code").agg(F.sum("n").alias("n"))
+    each = counts.groupBy("symbol").agg(F.collect_list(F.struct("code", "n")).alias("p"))
+    return each.select("symbol", best("p.code", "p.n").alias("class")).toPandas()
 
 
 def exchange(pairs: DataFrame, n_words: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -140,116 +181,187 @@ def exchange(pairs: DataFrame, n_words: int, classes: int = CLASSES, rounds: int
     current class counts make most likely for all of its neighbours; the assignment of highest
     corpus likelihood stays. Shapes and END keep classes of their own.
     """
-    total = classes + SHAPES + 1
+    kinds = classes + SHAPES + 1
     of = np.concatenate([np.arange(n_words) % classes, classes + np.arange(SHAPES + 1)]).astype(np.int64)
     best = None
     for step in range(rounds + 1):
-        after, before = class_profiles(pairs, of, total)
-        joint = np.zeros((total, total))
-        np.add.at(joint, of, after)
-        size = joint.sum(axis=1)
+        joint = class_bigrams(pairs, of, kinds)
         # Class likelihood: sum of n log n over class pairs, less both margins.
-        log = lambda x: np.log(np.maximum(x, 1.0))
-        gain = (joint * log(joint)).sum() - (size * log(size)).sum() - (joint.sum(axis=0) * log(joint.sum(axis=0))).sum()
+        total = lambda x: (x * np.log(np.maximum(x, 1.0))).sum()
+        gain = total(joint) - total(joint.sum(axis=1)) - total(joint.sum(axis=0))
         if best is None or gain > best[0]:
             best = (gain, of.copy(), joint)
         elif step > 3:
             break
         if step == rounds or not n_words:
             break
-        smooth = np.log(joint + 0.5)
-        weight = after[:n_words].sum(axis=1)
-        score = after[:n_words] @ smooth[:classes].T + before[:n_words] @ smooth[:, :classes]
-        score -= weight[:, None] * np.log(size[:classes] + 0.5) * 2
         moving = (np.arange(n_words) * 2654435761 >> 7) % 2 == step % 2
-        of[:n_words][moving] = score.argmax(axis=1)[moving]
+        moved = moves(pairs, of, joint, n_words, classes, moving)
+        of[moved["symbol"].to_numpy(dtype=np.int64)] = moved["class"].to_numpy(dtype=np.int64)
     return best[1], best[2]
 
 
+def count_contexts(docs: DataFrame, exchanged: dict[bytes, int], of: np.ndarray) -> DataFrame:
+    """(word, shape, context, n): how often every word outside the core stands in a context."""
+    shared = docs.sparkSession.sparkContext.broadcast((exchanged, of))
+
+    def flushed(local: dict[bytes, int], buffer: list[np.ndarray]) -> pd.DataFrame:
+        names, forms = list(local), np.array([shape(w) for w in local], dtype=np.int32)
+        keys, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *buffer]), return_counts=True)
+        at = keys // KINDS
+        spelled = np.array([w.decode("utf-8", "replace") for w in names], dtype=object)
+        return pd.DataFrame({"word": spelled[at], "shape": forms[at], "context": (keys % KINDS).astype(np.int32), "n": n})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, of = shared.value
+        first = len(number)
+        local: dict[bytes, int] = {}
+        buffer: list[np.ndarray] = []
+        waiting = 0
+        for frame in frames:
+            for text in frame["text"]:
+                found = words(text)
+                at = np.array([number.get(w, -1) for w in found], dtype=np.int64)
+                rare = np.flatnonzero(at < 0)
+                if not len(rare):
+                    continue
+                at[rare] = [first + shape(found[i]) for i in rare]
+                context = np.concatenate([[KINDS - 1], of[at[:-1]]])[rare]
+                buffer.append(np.array([local.setdefault(found[i], len(local)) for i in rare], dtype=np.int64) * KINDS + context)
+                waiting += len(rare)
+                if waiting > 4 * HELD:
+                    yield flushed(local, buffer)
+                    local, buffer, waiting = {}, [], 0
+        if local:
+            yield flushed(local, buffer)
+
+    counts = docs.select("text").mapInPandas(run, "word string, shape int, context int, n long")
+    return counts.groupBy("word", "shape", "context").agg(F.sum("n").alias("n"))
+
+
+def assign(contexts: DataFrame, joint: np.ndarray) -> DataFrame:
+    """(word, shape, n, class, p): every word of contexts with its count and its class; p are its contexts with their counts.
+
+    A word that occurs twice or more goes to the learned class that makes its occurrences most
+    likely, one that occurs once to the class of its shape.
+    """
+    learned = joint[:, :CLASSES] + 0.5
+    shared = contexts.sparkSession.sparkContext.broadcast((np.log(learned / learned.sum(axis=1, keepdims=True)), np.log(learned.sum(axis=0))))
+
+    @F.pandas_udf("int")
+    def best(codes: pd.Series, counts: pd.Series) -> pd.Series:
+        table, size = shared.value
+        held = np.zeros((len(codes), KINDS))
+        for i, (c, n) in enumerate(zip(codes, counts, strict=True)):
+            held[i, c] = n
+        return pd.Series((held @ table - held.sum(axis=1)[:, None] * size).argmax(axis=1), dtype="int32")
+
+    each = contexts.groupBy("word", "shape").agg(F.sum("n").alias("n"), F.collect_list(F.struct("context", "n")).alias("p"))
+    chosen = F.when(F.col("n") > 1, best("p.context", "p.n")).otherwise(F.col("shape") + CLASSES)
+    return each.select("word", "shape", "n", chosen.alias("class"), "p")
+
+
+class Model:
+    """Probabilities of a fitted model: transition (contexts x classes) and size, the tokens of every class.
+
+    A word of n tokens in a learned class has the probability n / size; in the class of a shape,
+    each word seen once, and all unseen words together, have 1 / (size + 1).
+    """
+
+    def __init__(self, joint: np.ndarray) -> None:
+        self.size = joint.sum(axis=0)
+        unigram = (self.size + 1) / (self.size.sum() + KINDS)
+        self.transition = np.log10((joint + BACKOFF * unigram) / (joint.sum(axis=1, keepdims=True) + BACKOFF))
+
+    def emission(self, n: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """log10 P(word | class) of words of n tokens; END, of the last class, is certain."""
+        learned = np.log10(np.maximum(n, 1) / np.maximum(self.size[cls], 1))
+        return np.where(cls < CLASSES, learned, np.where(cls < KINDS - 1, -np.log10(self.size[cls] + 1), 0.0))
+
+
+def fit(training: DataFrame, n_train: int, frequent: dict[bytes, int]) -> tuple[Model, dict[bytes, int], np.ndarray, DataFrame]:
+    """The model, the core words by number, the classes of symbols, and all other words (word, n, class)."""
+    core = [w for w, n in frequent.items() if n >= EXCHANGE_SHARE * n_train]
+    exchanged = {w: i for i, w in enumerate(core)}
+    pairs = checkpointed(count_pairs(training, exchanged))
+    of, joint = exchange(pairs, len(core))
+    others = checkpointed(assign(count_contexts(training, exchanged, of), joint))
+    whole = joint.copy()
+    whole[:, CLASSES : KINDS - 1] = 0.0  # tokens outside the core: by the classes they got
+    sums = others.select("class", F.explode("p").alias("p")).groupBy("class", "p.context").agg(F.sum("p.n").alias("n"))
+    for r in sums.collect():
+        whole[r["context"], r["class"]] += r["n"]
+    return Model(whole), exchanged, of, others.select("word", "n", "class")
+
+
 def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score, from a model of training's texts.
 
     A null text is empty: its only token is the end. Without training rows every token is unknown
-    (base: log10 1 = 0, as V and N are 0). Columns of docs with these names are replaced. Repeated
-    rows are scored each.
+    (base: log10 1 = 0, as V and N are 0). Columns of docs with these names are replaced, all others
+    stay, whatever their names. Repeated rows are scored each.
     """
+    spark = docs.sparkSession
     counts = checkpointed(count_words(training))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, n_types = sums["n"], sums["v"]
     ends = n_train and counts.where(F.col("shape") == -1).first()["n"]
-    frequent = counts.where((F.col("shape") >= 0) & (F.col("n") >= TABLE_SHARE * n_train)).orderBy(F.desc("n"), "word").toPandas()
-    table = {w.encode(): (i, n) for i, (w, n) in enumerate(zip(frequent["word"], frequent["n"], strict=True))}
-    exchanged = {w: i for w, (i, n) in table.items() if n >= EXCHANGE_SHARE * n_train}
-    n_words, n_table = len(exchanged), len(table)
-    pairs = checkpointed(count_pairs(training, exchanged))
-    of, joint = exchange(pairs, n_words)
-    total = len(joint)
-    size = joint.sum(axis=1)
-    unigram = (size + 1) / (size.sum() + total)
-    transition = np.log10((joint + BACKOFF * unigram) / (size[:, None] + BACKOFF))
-    # Rare words share their shape's mass; one more type stands for all that were never seen.
-    rare = counts.where(F.col("shape") >= 0).join(F.broadcast(_frequent_names(counts, list(exchanged))), "word", "left_anti")
-    shapes = rare.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    mass = np.ones(SHAPES)
-    for r in shapes:
-        mass[r["shape"]] += r["n"] + r["v"]
-    numbers = np.array([n for _, n in table.values()], dtype=float)
-    cls = np.array([of[i] if i < n_words else CLASSES + shape(w) for w, (i, _) in table.items()], dtype=np.int64)
-    emission = np.array(
-        [np.log10(n / size[of[i]]) if i < n_words else np.log10((n + 1) / mass[shape(w)]) for w, (i, n) in table.items()]
-    ).reshape(-1)
-    model = {
-        "number": {w: i for w, (i, _) in table.items()},
-        "cls": np.concatenate([cls, CLASSES + np.arange(SHAPES + 1)]).astype(np.int64),
-        "emission": np.concatenate([emission, -np.log10(mass), [0.0]]),
-        "base": np.concatenate([np.log10(numbers + 1), np.zeros(SHAPES), [np.log10(ends + 1)]]),
-        "transition": transition,
+    rows = counts.where((F.col("shape") >= 0) & (F.col("n") >= TABLE_SHARE * n_train)).orderBy(F.desc("n"), "word").select("word", "n").toPandas()
+    frequent = {w.encode(): n for w, n in zip(rows["word"], rows["n"], strict=True)}
+    model, exchanged, of, others = fit(training, n_train, frequent)
+    learned = others.where(F.col("n") >= TABLE_SHARE * n_train).select("word", "class").toPandas()
+    classes = dict(zip((w.encode() for w in learned["word"]), learned["class"], strict=True))
+    number = {w: i for i, w in enumerate(frequent)}
+    cls = np.array([of[exchanged[w]] if w in exchanged else classes[w] for w in number], dtype=np.int64)
+    context = np.array([of[exchanged[w]] if w in exchanged else CLASSES + shape(w) for w in number], dtype=np.int64)
+    n_table, times = len(number), np.array(list(frequent.values()), dtype=float)
+    unseen = CLASSES + np.arange(SHAPES)
+    symbols = {
+        "class": np.concatenate([cls, unseen, [KINDS - 1]]).astype(np.int64),
+        "context": np.concatenate([context, unseen, [KINDS - 1]]).astype(np.int64),
+        "emission": np.concatenate([model.emission(times, cls), model.emission(np.ones(SHAPES), unseen), [0.0]]),
+        "base": np.concatenate([np.log10(times + 1), np.zeros(SHAPES), [np.log10(ends + 1)]]),
     }
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((number, symbols, model.transition))
     spread = float(np.log10(n_train + n_types + 1))
     known_end = int(ends > 0)
 
-    @F.pandas_udf("n_tokens long, n_known long, base double, score double, hashes array<long>, times array<int>")
+    @F.pandas_udf("n_tokens long, n_known long, base double, score double, tail array<struct<word:string,shape:int,context:int,times:int>>")
     def local(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        number, end = m["number"], n_table + SHAPES
+        number, symbols, transition = shared.value
+        end = n_table + SHAPES
         for series in texts:
             rows = []
             for text in series:
                 found = words(text)
                 at = [number.get(w, -1) for w in found]
-                tail = Counter(w for w, i in zip(found, at, strict=True) if i < 0)
                 at = np.array([end, *(n_table + shape(w) if i < 0 else i for w, i in zip(found, at, strict=True)), end])
-                cls = m["cls"][at]
-                tokens = at[1:]
-                score = m["transition"][cls[:-1], cls[1:]].sum() + m["emission"][tokens].sum()
-                base = m["base"][tokens].sum() - spread * len(tokens)
-                hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in tail], dtype=np.uint64).view(np.int64)
-                known = int((tokens < n_table).sum()) + known_end
-                rows.append((len(tokens), known, base, score, hashes, np.array(list(tail.values()), dtype=np.int32)))
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "score", "hashes", "times"])
-
-    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    kept = [c for c in docs.columns if c not in (*new, "text")]
-    first = docs.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias("_row"), local("text").alias("_l"))
+                before, tokens = symbols["context"][at[:-1]], at[1:]
+                score = transition[before, symbols["class"][tokens]].sum() + symbols["emission"][tokens].sum()
+                base = symbols["base"][tokens].sum() - spread * len(tokens)
+                rare = np.flatnonzero((tokens >= n_table) & (tokens < end))
+                tail = Counter((found[i], int(tokens[i] - n_table), int(before[i])) for i in rare)
+                tail = [{"word": w.decode("utf-8", "replace"), "shape": s, "context": c, "times": n} for (w, s, c), n in tail.items()]
+                rows.append((len(tokens), int((tokens < n_table).sum()) + known_end, base, score, tail))
+            yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "score", "tail"])
+
+    first = packed(docs, "text").select("rest", F.monotonically_increasing_id().alias("row"), local("text").alias("l"))
     first = checkpointed(first)
-    tail = first.select("_row", F.explode(F.arrays_zip("_l.hashes", "_l.times")).alias("t")).select("_row", F.col("t.hashes").alias("h"), "t.times")
-    known = counts.where((F.col("shape") >= 0) & (F.col("n") < TABLE_SHARE * n_train)).select(F.xxhash64("word").alias("h"), "n")
-    met = tail.join(known, "h").groupBy("_row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("gain"))
-    joined = first.join(met, "_row", "left")
-    gain = F.coalesce("gain", F.lit(0.0))
-    return joined.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.col("_l.n_tokens").alias("n_tokens"),
-        (F.col("_l.n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("_l.base") + gain).alias("base_score"),
-        (F.col("_l.score") + gain).alias("score"),
-    )
-
-
-def _frequent_names(counts: DataFrame, names: list[bytes]) -> DataFrame:
-    return counts.sparkSession.createDataFrame([(w.decode(),) for w in names], "word string")
+    tail = first.select("row", F.explode("l.tail").alias("t")).select("row", "t.*")
+    # A rare word was scored as unseen; where it is known, its own class and count replace that.
+    known = others.where(F.col("n") < TABLE_SHARE * n_train)
+    grown = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(model.transition)], "context int, to array<double>")
+    sizes, alone = F.lit(np.log10(np.maximum(model.size, 1)).tolist()), F.lit((model.transition[:, unseen] + model.emission(np.ones(SHAPES), unseen)).tolist())
+    met = tail.join(known, "word").join(F.broadcast(grown), "context")
+    better = F.get("to", F.col("class")) + F.log10("n") - F.get(sizes, F.col("class")) - F.get(F.get(alone, F.col("context")), F.col("shape"))
+    gain = F.when(F.col("n") > 1, better).otherwise(F.lit(0.0))
+    met = met.groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("base_gain"), F.sum(F.col("times") * gain).alias("gain"))
+    joined = first.join(met, "row", "left")
+    return unpacked(
+        joined, docs.columns,
+        n_tokens=F.col("l.n_tokens"), n_known=F.col("l.n_known") + F.coalesce("known", F.lit(0)), train_tokens=F.lit(n_train).cast("long"),
+        base_score=F.col("l.base") + F.coalesce("base_gain", F.lit(0.0)), score=F.col("l.score") + F.coalesce("gain", F.lit(0.0)),
+    )
 
 
 def op10_class_lm(spark, sf_dir: str) -> DataFrame:

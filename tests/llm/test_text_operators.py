@@ -186,6 +186,60 @@ def test_class_probabilities_sum_to_one(spark, odd):
     import numpy as np
 
     pairs = class_lm.count_pairs(odd.select("text"), {b"the": 0, b"word": 1})
-    of, joint = class_lm.exchange(pairs, 2, classes=4)
-    assert len(of) == 2 + class_lm.SHAPES + 1 and (of[:2] < 4).all()
+    of, joint = class_lm.exchange(pairs, 2)
+    assert len(of) == 2 + class_lm.SHAPES + 1 and (of[:2] < class_lm.CLASSES).all()
     assert np.isclose(joint.sum(), sum(r["n"] for r in pairs.collect()))
+    model = class_lm.Model(joint)
+    assert np.allclose((10.0**model.transition).sum(axis=1), 1)
+
+
+def test_class_scores_by_brute_force(spark, monkeypatch):
+    """Scores by plain loops over the tokens, from nothing but the fitted classes of words."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    training = docs.where(~class_lm.held_out())
+    monkeypatch.setattr(class_lm, "EXCHANGE_SHARE", 2e-3)
+    monkeypatch.setattr(class_lm, "TABLE_SHARE", 5e-4)
+    seen = {}
+    plain = class_lm.fit
+
+    def fit(*args):
+        seen["model"], seen["core"], seen["of"], seen["others"] = out = plain(*args)
+        return out
+
+    monkeypatch.setattr(class_lm, "fit", fit)
+    out = {r["doc_id"]: r["score"] for r in class_lm.score_texts(docs, training).collect()}
+    core = {w: int(seen["of"][i]) for w, i in seen["core"].items()}
+    others = {r["word"].encode(): (r["n"], r["class"]) for r in seen["others"].collect()}
+    begin = class_lm.KINDS - 1
+    counts = Counter(w for r in training.collect() for w in class_lm.words(r["text"]))
+    assert set(counts) == set(core) | set(others) and not set(core) & set(others)
+    assert all(n == counts[w] and (c < class_lm.CLASSES) == (n > 1) for w, (n, c) in others.items())
+    assert len(core) > 20 and sum(n > 1 for n, _ in others.values()) > 100
+
+    def steps(text):
+        before = begin
+        for w in [*class_lm.words(text), None]:
+            kind = begin if w is None else core[w] if w in core else others[w][1] if w in others else class_lm.CLASSES + class_lm.shape(w)
+            yield before, kind, w
+            before = core[w] if w in core else class_lm.CLASSES + class_lm.shape(w) if w else begin
+
+    joint = np.zeros((class_lm.KINDS, class_lm.KINDS))
+    for r in training.collect():
+        for before, kind, _ in steps(r["text"]):
+            joint[before, kind] += 1
+    size = joint.sum(axis=0)
+    back = (size + 1) / (size.sum() + class_lm.KINDS)
+    for r in docs.collect():
+        want = 0.0
+        for before, kind, w in steps(r["text"]):
+            want += math.log10((joint[before, kind] + class_lm.BACKOFF * back[kind]) / (joint[before].sum() + class_lm.BACKOFF))
+            want += math.log10(counts[w] / size[kind] if kind < class_lm.CLASSES else 1 / (size[kind] + 1)) if w else 0
+        assert math.isclose(out[r["doc_id"]], want, rel_tol=1e-9), r["doc_id"]
+    mass = Counter()
+    for w, n in counts.items():
+        kind = core[w] if w in core else others[w][1]
+        mass[kind] += n / size[kind] if kind < class_lm.CLASSES else 1 / (size[kind] + 1)
+    assert all(math.isclose(x + (k >= class_lm.CLASSES) / (size[k] + 1), 1) for k, x in mass.items())
