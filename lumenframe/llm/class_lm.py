@@ -202,15 +202,13 @@ def exchange(pairs: DataFrame, n_words: int, classes: int = CLASSES, rounds: int
 
 
 def count_contexts(docs: DataFrame, exchanged: dict[bytes, int], of: np.ndarray) -> DataFrame:
-    """(word, shape, context, n): how often every word outside the core stands in a context."""
+    """(word, context, n): how often every word outside the core stands in a context, combined within tasks only."""
     shared = docs.sparkSession.sparkContext.broadcast((exchanged, of))
 
     def flushed(local: dict[bytes, int], buffer: list[np.ndarray]) -> pd.DataFrame:
-        names, forms = list(local), np.array([shape(w) for w in local], dtype=np.int32)
-        keys, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *buffer]), return_counts=True)
-        at = keys // KINDS
-        spelled = np.array([w.decode("utf-8", "replace") for w in names], dtype=object)
-        return pd.DataFrame({"word": spelled[at], "shape": forms[at], "context": (keys % KINDS).astype(np.int32), "n": n})
+        keys, n = np.unique(np.concatenate(buffer), return_counts=True)
+        spelled = np.array([w.decode("utf-8", "replace") for w in local], dtype=object)
+        return pd.DataFrame({"word": spelled[keys // KINDS], "context": (keys % KINDS).astype(np.int32), "n": n})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, of = shared.value
@@ -225,40 +223,69 @@ def count_contexts(docs: DataFrame, exchanged: dict[bytes, int], of: np.ndarray)
                 rare = np.flatnonzero(at < 0)
                 if not len(rare):
                     continue
-                at[rare] = [first + shape(found[i]) for i in rare]
+                names = [found[i] for i in rare.tolist()]
+                at[rare] = [first + shape(w) for w in names]
                 context = np.concatenate([[KINDS - 1], of[at[:-1]]])[rare]
-                buffer.append(np.array([local.setdefault(found[i], len(local)) for i in rare], dtype=np.int64) * KINDS + context)
+                buffer.append(np.array([local.setdefault(w, len(local)) for w in names], dtype=np.int64) * KINDS + context)
                 waiting += len(rare)
-                if waiting > 4 * HELD:
+                if waiting > 2 * HELD:
                     yield flushed(local, buffer)
                     local, buffer, waiting = {}, [], 0
         if local:
             yield flushed(local, buffer)
 
-    counts = docs.select("text").mapInPandas(run, "word string, shape int, context int, n long")
-    return counts.groupBy("word", "shape", "context").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(run, "word string, context int, n long")
 
 
 def assign(contexts: DataFrame, joint: np.ndarray) -> DataFrame:
-    """(word, shape, n, class, p): every word of contexts with its count and its class; p are its contexts with their counts.
+    """Every word of contexts(word, context, n) with its count and its class: (word, n, class, null).
 
     A word that occurs twice or more goes to the learned class that makes its occurrences most
-    likely, one that occurs once to the class of its shape.
+    likely, one that occurs once to the class of its shape. Rows without a word have, for a part of
+    the words, how many tokens n of a class stand in a context.
     """
     learned = joint[:, :CLASSES] + 0.5
     shared = contexts.sparkSession.sparkContext.broadcast((np.log(learned / learned.sum(axis=1, keepdims=True)), np.log(learned.sum(axis=0))))
 
-    @F.pandas_udf("int")
-    def best(codes: pd.Series, counts: pd.Series) -> pd.Series:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, size = shared.value
-        held = np.zeros((len(codes), KINDS))
-        for i, (c, n) in enumerate(zip(codes, counts, strict=True)):
-            held[i, c] = n
-        return pd.Series((held @ table - held.sum(axis=1)[:, None] * size).argmax(axis=1), dtype="int32")
-
-    each = contexts.groupBy("word", "shape").agg(F.sum("n").alias("n"), F.collect_list(F.struct("context", "n")).alias("p"))
-    chosen = F.when(F.col("n") > 1, best("p.context", "p.n")).otherwise(F.col("shape") + CLASSES)
-    return each.select("word", "shape", "n", chosen.alias("class"), "p")
+        sums = np.zeros((KINDS, KINDS))
+        for frame in _whole_words(frames):
+            word, context, n = frame["word"].to_numpy(), frame["context"].to_numpy(), frame["n"].to_numpy(dtype=np.int64)
+            new = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            place = np.cumsum(np.r_[False, word[1:] != word[:-1]])
+            for at in range(0, len(new), 1 << 16):  # a matrix of words by contexts at a time
+                upto = min(at + (1 << 16), len(new))
+                rows = slice(new[at], new[upto] if upto < len(new) else len(word))
+                held = np.bincount((place[rows] - at) * KINDS + context[rows], weights=n[rows], minlength=(upto - at) * KINDS).reshape(-1, KINDS)
+                total, names = held.sum(axis=1), word[new[at:upto]]
+                cls = (held @ table - total[:, None] * size).argmax(axis=1)
+                once = np.flatnonzero(total == 1)
+                cls[once] = [CLASSES + shape(w.encode()) for w in names[once]]
+                np.add.at(sums.T, cls, held)
+                yield pd.DataFrame({"word": names, "n": total.astype(np.int64), "class": cls, "context": pd.Series(None, index=range(len(names)), dtype="Int32")})
+        context, cls = np.nonzero(sums)
+        yield pd.DataFrame({"word": pd.Series(None, index=range(len(cls)), dtype=object), "n": sums[context, cls].astype(np.int64), "class": cls, "context": context})
+
+    # Summed where they are dealt to, so that a word has KINDS rows at most however many tasks have seen it.
+    summed = contexts.repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    return summed.sortWithinPartitions("word").mapInPandas(run, "word string, n long, class int, context int")
+
+
+def _whole_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a partition that is sorted by word, cut only between words."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        word = frame["word"].to_numpy()
+        cut = int(np.argmax(word == word[-1]))
+        if cut or (held and held[-1]["word"].iloc[-1] != word[-1]):
+            yield pd.concat([*held, frame.iloc[:cut]], ignore_index=True)
+            held = []
+        held.append(frame.iloc[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 class Model:
@@ -288,18 +315,17 @@ def fit(training: DataFrame, n_train: int, frequent: dict[bytes, int]) -> tuple[
     others = checkpointed(assign(count_contexts(training, exchanged, of), joint))
     whole = joint.copy()
     whole[:, CLASSES : KINDS - 1] = 0.0  # tokens outside the core: by the classes they got
-    sums = others.select("class", F.explode("p").alias("p")).groupBy("class", "p.context").agg(F.sum("p.n").alias("n"))
-    for r in sums.collect():
+    for r in others.where("word is null").groupBy("context", "class").agg(F.sum("n").alias("n")).collect():
         whole[r["context"], r["class"]] += r["n"]
-    return Model(whole), exchanged, of, others.select("word", "n", "class")
+    return Model(whole), exchanged, of, others.where("word is not null").select("word", "n", "class")
 
 
 def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score, from a model of training's texts.
 
     A null text is empty: its only token is the end. Without training rows every token is unknown
-    (base: log10 1 = 0, as V and N are 0). Columns of docs with these names are replaced, all others
-    stay, whatever their names. Repeated rows are scored each.
+    (base: log10 1 = 0, as V and N are 0). Columns of docs with these names are replaced, text goes,
+    and all others stay, whatever their names. Repeated rows are scored each.
     """
     spark = docs.sparkSession
     counts = checkpointed(count_words(training))
@@ -326,7 +352,7 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     spread = float(np.log10(n_train + n_types + 1))
     known_end = int(ends > 0)
 
-    @F.pandas_udf("n_tokens long, n_known long, base double, score double, tail array<struct<word:string,shape:int,context:int,times:int>>")
+    @F.pandas_udf("n_tokens long, n_known long, base double, score double, tail array<string>, codes array<int>, times array<int>")
     def local(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         number, symbols, transition = shared.value
         end = n_table + SHAPES
@@ -340,27 +366,30 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
                 score = transition[before, symbols["class"][tokens]].sum() + symbols["emission"][tokens].sum()
                 base = symbols["base"][tokens].sum() - spread * len(tokens)
                 rare = np.flatnonzero((tokens >= n_table) & (tokens < end))
-                tail = Counter((found[i], int(tokens[i] - n_table), int(before[i])) for i in rare)
-                tail = [{"word": w.decode("utf-8", "replace"), "shape": s, "context": c, "times": n} for (w, s, c), n in tail.items()]
-                rows.append((len(tokens), int((tokens < n_table).sum()) + known_end, base, score, tail))
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "score", "tail"])
-
-    first = packed(docs, "text").select("rest", F.monotonically_increasing_id().alias("row"), local("text").alias("l"))
+                codes = (tokens[rare] - n_table) * KINDS + before[rare]
+                tail = Counter(zip([found[i] for i in rare.tolist()], codes.tolist(), strict=True))
+                spelled = [w.decode("utf-8", "replace") for w, _ in tail]
+                rows.append((len(tokens), int((tokens < n_table).sum()) + known_end, base, score, spelled, [c for _, c in tail], list(tail.values())))
+            yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "score", "tail", "codes", "times"])
+
+    kept = [c for c in docs.columns if c != "text"]
+    first = packed(docs, "text", but=("text",)).select("rest", F.monotonically_increasing_id().alias("row"), local("text").alias("l"))
     first = checkpointed(first)
-    tail = first.select("row", F.explode("l.tail").alias("t")).select("row", "t.*")
+    tail = first.select("row", F.explode(F.arrays_zip("l.tail", "l.codes", "l.times")).alias("t"))
+    tail = tail.select("row", F.col("t.tail").alias("word"), F.expr(f"t.codes div {KINDS}").alias("shape"), (F.col("t.codes") % KINDS).alias("context"), "t.times")
     # A rare word was scored as unseen; where it is known, its own class and count replace that.
     known = others.where(F.col("n") < TABLE_SHARE * n_train)
     grown = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(model.transition)], "context int, to array<double>")
     sizes, alone = F.lit(np.log10(np.maximum(model.size, 1)).tolist()), F.lit((model.transition[:, unseen] + model.emission(np.ones(SHAPES), unseen)).tolist())
     met = tail.join(known, "word").join(F.broadcast(grown), "context")
-    better = F.get("to", F.col("class")) + F.log10("n") - F.get(sizes, F.col("class")) - F.get(F.get(alone, F.col("context")), F.col("shape"))
+    better = F.get("to", F.col("class")) + F.log10("n") - F.get(sizes, F.col("class")) - F.get(F.get(alone, F.col("context")), F.col("shape").cast("int"))
     gain = F.when(F.col("n") > 1, better).otherwise(F.lit(0.0))
     met = met.groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("base_gain"), F.sum(F.col("times") * gain).alias("gain"))
-    joined = first.join(met, "row", "left")
+    joined = first.select("row", "rest", "l.n_tokens", "l.n_known", "l.base", "l.score").join(met, "row", "left")
     return unpacked(
-        joined, docs.columns,
-        n_tokens=F.col("l.n_tokens"), n_known=F.col("l.n_known") + F.coalesce("known", F.lit(0)), train_tokens=F.lit(n_train).cast("long"),
-        base_score=F.col("l.base") + F.coalesce("base_gain", F.lit(0.0)), score=F.col("l.score") + F.coalesce("gain", F.lit(0.0)),
+        joined, kept,
+        n_tokens=F.col("n_tokens"), n_known=F.col("n_known") + F.coalesce("known", F.lit(0)), train_tokens=F.lit(n_train).cast("long"),
+        base_score=F.col("base") + F.coalesce("base_gain", F.lit(0.0)), score=F.col("score") + F.coalesce("gain", F.lit(0.0)),
     )
 
 

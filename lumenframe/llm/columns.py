@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 REST = "rest"
 
 
-def packed(rows: DataFrame, *used: str) -> DataFrame:
-    """The used columns of rows and rest, a struct of all of its columns."""
-    every = [F.col(f"`{c}`").alias(c) for c in rows.columns]
+def packed(rows: DataFrame, *used: str, but: tuple[str, ...] = ()) -> DataFrame:
+    """The used columns of rows and rest, a struct of all of its columns but those named."""
+    every = [F.col(f"`{c}`").alias(c) for c in rows.columns if c not in but] or [F.lit(None).alias("none")]
     return rows.select(*[F.col(f"`{c}`").alias(c) for c in used], F.struct(*every).alias(REST))
 
 
