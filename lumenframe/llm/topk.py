@@ -22,6 +22,8 @@ from lumenframe.session import checkpointed
 BINS = 1024
 QUERY_BLOCK = 2048
 K = 10
+#: Of doubles; of scores on either side, which leaves the least long to mark a query's own row, and so that a range of scores has a width as a long.
+_GREATEST, _LARGEST = 1.7976931348623157e308, (1 << 62) - 1
 #: Candidate vectors scored at once.
 ROWS = 2048
 
@@ -29,7 +31,9 @@ ROWS = 2048
 def quantized(vectors: DataFrame) -> DataFrame:
     """(vec_id, v): floor(1024 x) of each component x as double; vectors that are null or hold null or non-finite components go."""
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("double"))
+    # From 2**53 on a double is whole already, and floor() would saturate as a long.
+    scaled = lambda x: F.least(F.greatest(x.cast("double") * 1024, F.lit(-_GREATEST)), F.lit(_GREATEST))
+    whole = F.transform("embedding", lambda x: F.when(F.abs(scaled(x)) < 2.0**53, F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
     return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False))).select("vec_id", whole.alias("v"))
 
 
@@ -37,7 +41,8 @@ def _scores(frame: pd.DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray
     """(query positions, candidate ids, score matrix) for each dimension; a query's own row is masked by the least long.
 
     Inner products of integers are exact in double precision while they stay under 2**53;
-    larger ones are taken in 64-bit integers. Vectors of different lengths do not meet.
+    larger ones are taken in 64-bit integers, and beyond these in Python's, cut to the range of
+    _LARGEST. Vectors of different lengths do not meet.
     """
     sizes = frame["v"].map(len).to_numpy()
     for size in np.unique(sizes):
@@ -50,8 +55,13 @@ def _scores(frame: pd.DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray
             block = np.stack(frame["v"].to_numpy()[part]) if size else np.zeros((len(part), 0))
             mine = frame["vec_id"].to_numpy()[part]
             bound = (np.abs(block).max(initial=0.0) * np.abs(matrix).max(initial=0.0)) * max(1, size)
-            product = matrix @ block.T if bound < 2.0**53 else matrix.astype(np.int64) @ block.astype(np.int64).T
-            product = product.astype(np.int64)
+            if bound < 2.0**53:
+                product = (matrix @ block.T).astype(np.int64)
+            elif bound < 2.0**62:
+                product = matrix.astype(np.int64) @ block.astype(np.int64).T
+            else:
+                exact = lambda m: np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape)
+                product = np.clip(exact(matrix) @ exact(block).T, -_LARGEST, _LARGEST).astype(np.int64)
             product[ids[:, None] == mine[None, :]] = np.iinfo(np.int64).min
             yield where, mine, product
 
