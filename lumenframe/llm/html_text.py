@@ -9,6 +9,7 @@ the like inside it is cut out first.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.columns import packed, unpacked
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -41,6 +44,8 @@ ROOTS = frozenset(("article", "main"))
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[a-z]+")
 _MODIFIER = re.compile(r"(has|with|no|without|is|layout|js|theme)[-_]")
+_TAG = re.compile(r"<[a-zA-Z/!?]")
+_COMMENT_END = re.compile("--!?>")
 #: Names of reader comments, which may be article elements themselves.
 COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
 
@@ -77,21 +82,29 @@ def _noise(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
 
 
 class _Tree(HTMLParser):
-    """A forgiving tree builder; subtrees that are no part of an article are read past."""
+    """A forgiving tree builder; subtrees that are no part of an article are read past.
+
+    Open elements are counted by tag, so that a tag that ends none of them costs no walk.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html", None, 0)
         self.open: list[tuple[Node, bool]] = [(self.root, False)]  # with whether it is dropped
         self.nodes = [self.root]
+        self.count: Counter = Counter()
         self.rooted = 0
+        self.cleared = 1  # open elements that an article has looked at
 
     def _pop(self, upto: int) -> None:
         while len(self.open) > upto:
             node, dropped = self.open.pop()
+            self.count[node.tag] -= 1
             self.rooted -= node.tag in ROOTS and not dropped
 
     def _end(self, tags: tuple[str, ...], within: frozenset[str]) -> None:
+        if not any(self.count[t] for t in tags):
+            return None
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i][0].tag
             if tag in tags:
@@ -116,19 +129,38 @@ class _Tree(HTMLParser):
             node.wrapper = words & (NAMES | HEADER_NAMES) <= WRAPPERS
         if not dropped:
             if tag in ROOTS and not node.named:
-                for above, _ in self.open:
+                self.cleared = min(self.cleared, len(self.open))
+                for above, _ in self.open[self.cleared :]:
                     above.named = above.named and not above.wrapper
+                self.cleared = len(self.open)
             node.headings_only = parent.headings_only or tag == "header"
             parent.children.append(node)
             self.nodes.append(node)
         if tag not in VOID:
             self.open.append((node, dropped))
+            self.count[tag] += 1
             self.rooted += tag in ROOTS and not dropped
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
+    def read(self, html: str) -> None:
+        """The whole page. A tag that never ends is dropped, as is what follows it, instead of being tried from every sign on."""
+        whole = html.rfind(">") + 1
+        self.feed(html[:whole])
+        self.feed(_TAG.split(html[whole:], maxsplit=1)[0])
+        self.close()
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i, 0)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        end = _COMMENT_END.search(self.rawdata, i + 2)
+        return end.end() if end else len(self.rawdata)
+
     def handle_endtag(self, tag: str) -> None:
+        if not self.count[tag]:
+            return None
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0].tag == tag:
                 return self._pop(i)
@@ -192,8 +224,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = _Tree()
-    tree.feed(html)
-    tree.close()
+    tree.read(html)
     nodes = _pruned(tree.nodes)
     _score(nodes)
     best = max(nodes, key=lambda n: (n.score * (1 - _density(n)), -n.order))
@@ -260,7 +291,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for series in html:
             yield series.map(main_text, na_action=None)
 
-    return pages.withColumn("text", text("html"))
+    return unpacked(packed(pages, "html"), pages.columns, text=text("html"))
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:
