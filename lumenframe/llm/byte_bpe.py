@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Texts longer than LONG code points are split before encoding, at places where no match of the
-splitting pattern can cross: between a character that is not white space and a white-space
-character. Every alternative of the pattern ends before white space that follows something else,
-so the pieces have together the same matches, hence the same ids, as the whole text. Ids are
-decoded to raw bytes, never to text, so a token that ends inside a character is kept.
+splitting pattern can cross: before a blank or line feed that follows something other than white
+space. Every alternative of a pattern in SPLITTABLE ends before white space that follows something
+else, so the pieces have together the same matches, hence the same ids, as the whole text. Texts
+under any other pattern are encoded whole. Ids are decoded to raw bytes, never to text, so a token
+that ends inside a character is kept.
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.columns import packed, unpacked
+
 LONG = 1 << 16
+#: Fixed value: the pattern for which the cut is proven, as white space is at most the first sign of a match or all of it.
+SPLITTABLE = frozenset((r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",))
 _SAFE = re.compile(r"(?<=\S)[ \n]")
 
 
@@ -49,7 +54,7 @@ def encode(text: str | None, rank_file: str, pattern: str) -> list[int]:
     """Ids of a whole text; a null text is empty."""
     codec = encoding(rank_file, pattern)
     ids: list[int] = []
-    for piece in pieces(text or ""):
+    for piece in pieces(text or "") if pattern in SPLITTABLE else (text or "",):
         ids += codec.encode_ordinary(piece)
     return ids
 
@@ -60,7 +65,7 @@ def decode(ids: list[int], rank_file: str, pattern: str) -> bytes:
 
 
 def tokenize(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """docs with ids array<int> and decoded binary. A null text has no ids; columns of these names are replaced."""
+    """docs with ids array<int> and decoded binary. A null text has no ids; columns of these names are replaced, all others stay."""
 
     @F.pandas_udf("ids array<int>, decoded binary")
     def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -68,8 +73,8 @@ def tokenize(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             ids = [encode(x, rank_file, pattern) for x in series]
             yield pd.DataFrame({"ids": ids, "decoded": [decode(x, rank_file, pattern) for x in ids]})
 
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    return docs.withColumn("_both", both("text")).select(*[F.col(f"`{c}`") for c in kept], "_both.ids", "_both.decoded")
+    rows = packed(docs, "text").select("rest", both("text").alias("both"))
+    return unpacked(rows, docs.columns, ids=F.col("both.ids"), decoded=F.col("both.decoded"))
 
 
 def digest(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
