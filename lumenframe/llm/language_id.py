@@ -16,9 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.columns import packed, unpacked
+
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 MAX_DOCS_PER_LANG = 3_000
+#: Most languages: each is a column of the matrix. More values mean that the labels are no languages.
+MAX_LANGS = 500
 #: Code points hashed at once; a longer text is scored piece by piece, so memory is bounded.
 SEGMENT = 1 << 19
 UNDETERMINED = "und"
@@ -98,10 +102,13 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, max_docs_per_lang: int = MAX_DOCS_PER_LANG, alpha: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probability matrix (BUCKETS x languages) and log priors from labelled(doc_id, text, lang).
 
-    Only the matrix reaches the driver: its size is BUCKETS times the number of languages.
+    Only the matrix reaches the driver: its size is BUCKETS times the number of languages, of which
+    there may be MAX_LANGS; more raise a ValueError.
     """
     labelled = labelled.where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} values of lang")
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((BUCKETS, 0)), np.zeros(0)
@@ -120,7 +127,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
     """docs with lang_pred and score, the posterior probability of the predicted language.
 
     A text that is null or has no letter gets `und` and 0, as does every text if nothing was
-    learned. Ties go to the language that sorts first. Columns named lang_pred or score are replaced.
+    learned. Ties go to the language that sorts first. Columns named lang_pred or score are replaced, all others stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -147,8 +154,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
             )
 
     guess = F.pandas_udf(run, "lang_pred string, score double")
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("_guess", guess(F.col("text"))).select(*[F.col(f"`{c}`") for c in kept], "_guess.lang_pred", "_guess.score")
+    rows = packed(docs, "text").select("rest", guess(F.col("text")).alias("guess"))
+    return unpacked(rows, docs.columns, lang_pred=F.col("guess.lang_pred"), score=F.col("guess.score"))
 
 
 def held_out() -> Column:
