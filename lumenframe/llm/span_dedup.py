@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
 Every run of several consecutive sentences is hashed: from each sentence on, the shortest run of
-SENTENCES sentences or more that has MIN_WORDS words, or of fewer that have ENOUGH_WORDS. A long
+SENTENCES sentences or more that has MIN_WORDS words. A long
 sentence is cut before words that a hash picks, so that text without full stops is cut alike
 wherever it stands. Runs are joined globally by hash; the first
 occurrence (by doc_id, then place) stays, and the sentences under any other one go.
@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.columns import packed, unpacked
 from lumenframe.session import checkpointed
 
-SENTENCES = 3
-MIN_WORDS = 10
-ENOUGH_WORDS = 40
+SENTENCES = 2
+MIN_WORDS = 20
 #: A sentence of more words is cut: before each word whose hash leaves 0 by CUT_ONE_IN, and after so many words at the latest.
 MAX_SENTENCE = 25
 CUT_ONE_IN, LEAST_PIECE = 8, 4
@@ -59,7 +59,7 @@ def runs(text: str | None, n: int = SENTENCES, min_words: int = MIN_WORDS) -> It
     found = sentences(text)
     flat = [" ".join(text[s:e].split()) for s, e, _ in found]
     total = np.cumsum([0, *(w for _, _, w in found)]).tolist()
-    done = lambda i, end: (end - i >= n and total[end] - total[i] >= min_words) or total[end] - total[i] >= ENOUGH_WORDS
+    done = lambda i, end: end - i >= n and total[end] - total[i] >= min_words
     end = 0
     for i in range(len(found)):
         end = max(end, i + 1)
@@ -118,17 +118,20 @@ def removals(docs: DataFrame, n: int = SENTENCES, min_words: int = MIN_WORDS) ->
 
 
 def remove(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs with kept_text: text without the sentences under gone's ranges (other text stays as it is)."""
+    """docs with kept_text: text without the sentences under gone's ranges (other text stays as it is).
+
+    A column named kept_text is replaced, all others stay.
+    """
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, ranges: pd.Series) -> pd.Series:
         return pd.Series([without(t, g) for t, g in zip(text, ranges, strict=True)])
 
-    base = docs.drop("r", "ranges", "kept_text").withColumn("r", F.xxhash64("text"))
-    matched = base.join(
-        gone.select(F.col("doc_id").alias("_d"), F.col("r").alias("_r"), "ranges"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("r") == F.col("_r")), "left"
-    )
-    return matched.withColumn("kept_text", F.when(F.col("ranges").isNull(), F.coalesce("text", F.lit(""))).otherwise(cut("text", "ranges"))).drop("_d", "_r", "r", "ranges")
+    base = packed(docs, "doc_id", "text").withColumn("r", F.xxhash64("text"))
+    lost = gone.select(F.col("doc_id").alias("lost_id"), F.col("r").alias("lost_r"), "ranges")
+    matched = base.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("r") == F.col("lost_r")), "left")
+    text = F.when(F.col("ranges").isNull(), F.coalesce("text", F.lit(""))).otherwise(cut("text", "ranges"))
+    return unpacked(matched, docs.columns, kept_text=text)
 
 
 def without(text: str | None, ranges) -> str:
