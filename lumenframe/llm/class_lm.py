@@ -57,13 +57,30 @@ def shape(word: bytes) -> int:
     return min((len(word) - 1) // 3, BANDS - 1) * 4 + (word[-1] in _MARKS) * 2 + (not word.isascii())
 
 
+class Symbols(dict):
+    """Numbers of words; a word without one gets that of its shape, after first. Up to HELD / 5 of these are remembered."""
+
+    def __init__(self, number: dict[bytes, int]) -> None:
+        super().__init__(number)
+        self.first, self.most = len(number), len(number) + HELD // 5
+
+    def __missing__(self, word: bytes) -> int:
+        at = self.first + shape(word)
+        if len(self) < self.most:
+            self[word] = at
+        return at
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
+
+
 def held_out() -> Column:
     """Whether a document is kept from training: crc32 of its id as text leaves 2 by 7 (a null id: false)."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, shape, n) over the texts of docs, with one END a row; shape is -1 for END."""
+    """(word, n) over the texts of docs, with one END a row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
@@ -75,18 +92,15 @@ def count_words(docs: DataFrame) -> DataFrame:
                 if len(held) > HELD:
                     yield _counted(held)
                     held = Counter()
+        held[END.encode()] = ends
         yield _counted(held)
-        if ends:
-            yield pd.DataFrame({"word": [END], "shape": [-1], "n": [ends]})
 
-    counts = docs.select("text").mapInPandas(run, "word string, shape int, n long")
-    return counts.groupBy("word", "shape").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInPandas(run, "word string, n long")
+    return counts.where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _counted(held: Counter) -> pd.DataFrame:
-    return pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in held], "shape": [shape(w) for w in held], "n": list(held.values())}).astype(
-        {"word": object, "shape": "int32", "n": "int64"}
-    )
+    return pd.DataFrame({"word": pd.Series([w.decode("utf-8", "replace") for w in held], dtype=object), "n": np.fromiter(held.values(), dtype=np.int64, count=len(held))})
 
 
 def count_pairs(docs: DataFrame, exchanged: dict[bytes, int]) -> DataFrame:
@@ -96,14 +110,11 @@ def count_pairs(docs: DataFrame, exchanged: dict[bytes, int]) -> DataFrame:
     size = len(exchanged) + SHAPES + 1
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, first = shared.value, len(shared.value)
+        symbols = Symbols(shared.value)
         keys, counts, buffer, waiting = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), [], 0
         for frame in frames:
             for text in frame["text"]:
-                found = words(text)
-                at = [number.get(w, -1) for w in found]
-                at = [first + shape(w) if i < 0 else i for i, w in zip(at, found, strict=True)]
-                line = np.array([size - 1, *at, size - 1], dtype=np.int64)
+                line = np.concatenate([[size - 1], symbols.of(words(text)), [size - 1]])
                 buffer.append(line[:-1] * size + line[1:])
                 waiting += len(line)
                 if waiting > HELD:
@@ -212,19 +223,18 @@ def count_contexts(docs: DataFrame, exchanged: dict[bytes, int], of: np.ndarray)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, of = shared.value
-        first = len(number)
+        symbols = Symbols(number)
         local: dict[bytes, int] = {}
         buffer: list[np.ndarray] = []
         waiting = 0
         for frame in frames:
             for text in frame["text"]:
                 found = words(text)
-                at = np.array([number.get(w, -1) for w in found], dtype=np.int64)
-                rare = np.flatnonzero(at < 0)
+                at = symbols.of(found)
+                rare = np.flatnonzero(at >= symbols.first)
                 if not len(rare):
                     continue
                 names = [found[i] for i in rare.tolist()]
-                at[rare] = [first + shape(w) for w in names]
                 context = np.concatenate([[KINDS - 1], of[at[:-1]]])[rare]
                 buffer.append(np.array([local.setdefault(w, len(local)) for w in names], dtype=np.int64) * KINDS + context)
                 waiting += len(rare)
@@ -331,8 +341,8 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     counts = checkpointed(count_words(training))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, n_types = sums["n"], sums["v"]
-    ends = n_train and counts.where(F.col("shape") == -1).first()["n"]
-    rows = counts.where((F.col("shape") >= 0) & (F.col("n") >= TABLE_SHARE * n_train)).orderBy(F.desc("n"), "word").select("word", "n").toPandas()
+    ends = n_train and counts.where(F.col("word") == END).first()["n"]
+    rows = counts.where((F.col("word") != END) & (F.col("n") >= TABLE_SHARE * n_train)).orderBy(F.desc("n"), "word").select("word", "n").toPandas()
     frequent = {w.encode(): n for w, n in zip(rows["word"], rows["n"], strict=True)}
     model, exchanged, of, others = fit(training, n_train, frequent)
     learned = others.where(F.col("n") >= TABLE_SHARE * n_train).select("word", "class").toPandas()
@@ -342,29 +352,28 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     context = np.array([of[exchanged[w]] if w in exchanged else CLASSES + shape(w) for w in number], dtype=np.int64)
     n_table, times = len(number), np.array(list(frequent.values()), dtype=float)
     unseen = CLASSES + np.arange(SHAPES)
-    symbols = {
+    known = {
         "class": np.concatenate([cls, unseen, [KINDS - 1]]).astype(np.int64),
         "context": np.concatenate([context, unseen, [KINDS - 1]]).astype(np.int64),
         "emission": np.concatenate([model.emission(times, cls), model.emission(np.ones(SHAPES), unseen), [0.0]]),
         "base": np.concatenate([np.log10(times + 1), np.zeros(SHAPES), [np.log10(ends + 1)]]),
     }
-    shared = spark.sparkContext.broadcast((number, symbols, model.transition))
+    shared = spark.sparkContext.broadcast((number, known, model.transition))
     spread = float(np.log10(n_train + n_types + 1))
     known_end = int(ends > 0)
 
     @F.pandas_udf("n_tokens long, n_known long, base double, score double, tail array<string>, codes array<int>, times array<int>")
     def local(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        number, symbols, transition = shared.value
-        end = n_table + SHAPES
+        number, known, transition = shared.value
+        symbols, end = Symbols(number), n_table + SHAPES
         for series in texts:
             rows = []
             for text in series:
                 found = words(text)
-                at = [number.get(w, -1) for w in found]
-                at = np.array([end, *(n_table + shape(w) if i < 0 else i for w, i in zip(found, at, strict=True)), end])
-                before, tokens = symbols["context"][at[:-1]], at[1:]
-                score = transition[before, symbols["class"][tokens]].sum() + symbols["emission"][tokens].sum()
-                base = symbols["base"][tokens].sum() - spread * len(tokens)
+                at = np.concatenate([[end], symbols.of(found), [end]])
+                before, tokens = known["context"][at[:-1]], at[1:]
+                score = transition[before, known["class"][tokens]].sum() + known["emission"][tokens].sum()
+                base = known["base"][tokens].sum() - spread * len(tokens)
                 rare = np.flatnonzero((tokens >= n_table) & (tokens < end))
                 codes = (tokens[rare] - n_table) * KINDS + before[rare]
                 tail = Counter(zip([found[i] for i in rare.tolist()], codes.tolist(), strict=True))
@@ -378,10 +387,10 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     tail = first.select("row", F.explode(F.arrays_zip("l.tail", "l.codes", "l.times")).alias("t"))
     tail = tail.select("row", F.col("t.tail").alias("word"), F.expr(f"t.codes div {KINDS}").alias("shape"), (F.col("t.codes") % KINDS).alias("context"), "t.times")
     # A rare word was scored as unseen; where it is known, its own class and count replace that.
-    known = others.where(F.col("n") < TABLE_SHARE * n_train)
+    rarer = others.where(F.col("n") < TABLE_SHARE * n_train)
     grown = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(model.transition)], "context int, to array<double>")
     sizes, alone = F.lit(np.log10(np.maximum(model.size, 1)).tolist()), F.lit((model.transition[:, unseen] + model.emission(np.ones(SHAPES), unseen)).tolist())
-    met = tail.join(known, "word").join(F.broadcast(grown), "context")
+    met = tail.join(rarer, "word").join(F.broadcast(grown), "context")
     better = F.get("to", F.col("class")) + F.log10("n") - F.get(sizes, F.col("class")) - F.get(F.get(alone, F.col("context")), F.col("shape").cast("int"))
     gain = F.when(F.col("n") > 1, better).otherwise(F.lit(0.0))
     met = met.groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("base_gain"), F.sum(F.col("times") * gain).alias("gain"))
