@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -80,6 +82,14 @@ def test_fingerprints_and_components(spark, docs):
     assert all(r["component_id"] == least.get(top[r["fp"]]) for r in out)
 
 
+def test_tally_of_lists_tells_the_shared_bytes():
+    fours = [set(x) for x in near_dup.FOURS]
+    assert len(fours) == 14 and len(near_dup.SIXES) == 28
+    for n, counts in ((8, {14}), (7, {7}), (6, {near_dup.LEAST}), (5, {1}), (4, {0, 1}), (3, {0})):
+        for shared in combinations(range(8), n):
+            assert sum(x <= set(shared) for x in fours) in counts
+
+
 @pytest.mark.parametrize("size", [3, 700, 5000])
 def test_links_lose_no_pair(spark, size):
     rng = random.Random(size)
@@ -132,6 +142,16 @@ def test_line_dedup(spark, docs):
     assert line_dedup.apply_bitmaps(empty, line_dedup.drop_bitmaps(empty)).collect() == []
 
 
+def test_first_occurrences_are_streamed_off_sorted_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(4), 0, rng.randrange(30) or None, i) for i in range(2000)]
+    found = line_dedup.first_occurrences(spark.createDataFrame(rows, "h1 long, h2 long, doc_id long, pos int"))
+    assert Counter(tuple(r) for r in found.collect()) == Counter({r[:3] for r in rows})
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    shape = [x for x in re.findall(r"Window|Sort|rangepartitioning|hashpartitioning", plan)]
+    assert "rangepartitioning" in shape and "hashpartitioning" not in shape and shape.index("Window") < shape.index("Sort") < shape.index("rangepartitioning")
+
+
 def test_line_dedup_of_many_lines(spark):
     shared = [f"a shared line with a number and more than forty signs {i}" for i in range(200)]
     rows = [(i, "\n".join([f"own {i} {k}" if (k + i) % 3 else shared[k] for k in range(200)])) for i in range(16)]
@@ -187,6 +207,27 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d.where("1 = 0"), b).collect() == [] and decontaminate.contaminated(d, b.where("1 = 0")).collect() == []
 
 
+def test_decontamination_of_long_repetitive_text(spark):
+    docs = [(1, "again and " * 6000), (2, "again and more " * 40)]
+    items = [(1, "again and " * 700), (2, "nothing of the kind is in here at all")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert [tuple(r)[:4] for r in decontaminate.contaminated(d, b).collect()] == [(1, 1, 0, 1.0)]
+
+
+def test_windows_within_the_radius_are_found(spark):
+    """Recall of the blocks: windows that hold an item with words changed, against all fingerprints within the radius."""
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(40))) for i in range(30)]
+    docs = []
+    for i in range(120):
+        words = items[i % 30][1].split()
+        words[rng.choice((0, 1, 2, 37, 38, 39))] = "other"
+        docs.append((i, " ".join(words)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()}
+    assert out == {(i, i % 30) for i in range(120)} & set(plain_leaks(docs, items)) and len(out) > 100
+
+
 def test_span_dedup(spark, docs):
     rows = sorted({(r["doc_id"], r["text"]) for r in docs.collect()}, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     places = defaultdict(list)
@@ -197,13 +238,16 @@ def test_span_dedup(spark, docs):
     for spots in places.values():
         for spot in sorted(spots)[1:]:
             gone[(spot[1] if spot[0] else None, spot[4])].update(range(spot[2], spot[3]))
+    assert any(e > 1 for d in gone.values() for e in d)
     found = span_dedup.removals(docs)
     texts = span_dedup.remove(docs, found).select("doc_id", "text", "kept_text").collect()
     assert {r["doc_id"]: r["n_removed"] for r in found.collect()} == {k[0]: len(v) for k, v in gone.items()}
     for r in texts:
-        cut = [f"{s}" for s in span_dedup.sentences(r["text"])]
-        drop = gone.get((r["doc_id"], r["text"]), set())
-        assert len(span_dedup.sentences(r["kept_text"])) <= len(cut) and (bool(drop) or r["kept_text"] == (r["text"] or ""))
+        text, drop = r["text"] or "", gone.get((r["doc_id"], r["text"]), set())
+        cut = span_dedup.sentences(text)
+        ends = [*(s for s, _, _ in cut[1:]), len(text)][: len(cut)]
+        left = "".join(text[s:e] for i, ((s, _, _), e) in enumerate(zip(cut, ends, strict=True)) if i not in drop)
+        assert r["kept_text"] == (text[: cut[0][0]] if cut else text) + left
     assert span_dedup.removals(docs.where("1 = 0")).collect() == []
 
 
@@ -216,6 +260,13 @@ def test_span_dedup_catches_passages_of_fifty_words(spark):
     assert sorted(out) == [5, 10, 15] and all(r["first_doc_ids"] == [0] for r in out.values())
 
 
+def test_span_dedup_leaves_short_boilerplate_alone(spark):
+    rng = random.Random(11)
+    say = lambda n, tag: " ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(i, f"{say(30, f'a{i}')}.\nAll rights are reserved. Use at your own risk. Released under a free license.\n{say(30, f'b{i}')}.") for i in range(8)]
+    assert span_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []
+
+
 @pytest.mark.parametrize("block", [2048, 3])
 def test_topk(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "QUERY_BLOCK", block)
@@ -234,6 +285,19 @@ def test_topk(spark, monkeypatch, block):
     assert topk.exact_topk(vectors.where("1 = 0"), vectors.where("1 = 0")).collect() == []
 
 
+def test_topk_of_huge_components(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0]), (3, [1e15, 1e15]), (4, [0.5, 0.25]), (5, [3e3, 1.0])]
+    vectors = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    out = [tuple(r) for r in topk.exact_topk(vectors, vectors.where("vec_id in (0, 4)")).orderBy("query_id", "rank").collect()]
+    top = (1 << 62) - 1
+    whole = {i: [int(np.floor(x * 1024)) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 4):
+        scored = sorted((-max(-top, min(top, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    assert out == want
+
+
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 

@@ -22,8 +22,8 @@ def odd(spark):
         (None, "the cat sat on the mat and the dog", "en", "a", 1), (1, None, None, None, None), (2, "", "fr", "a", 0), (3, "12 34 !!", "en", "a", 8), (4, "le chat et le chien sont dans la maison", "fr", "a", 9),
         (5, "the cat sat on the mat and the dog", "en", "a", 1), (5, "the cat sat on the mat and the dog", "en", "a", 1), (6, "word " * 60_000, "en", "b", 300_000), (7, "éè \U0001f600 \t\n x", "fr", "c", 9),
     ]
-    extra = "score double, lang_pred string, ids string, n_tokens string, r1 long, fp string, kept_text string"
-    return spark.createDataFrame([r + (0.5, "x", "y", "z", 7, "q", "t") for r in rows], f"{DOC}, {extra}")
+    extra = "score double, lang_pred string, ids string, n_tokens string, r1 long, fp string, kept_text string, rest string, row long, l string, guess string, both string, words string"
+    return spark.createDataFrame([r + (0.5, "x", "y", "z", 7, "q", "t", "re", 3, "el", "gu", "bo", "wo") for r in rows], f"{DOC}, {extra}")
 
 
 def empty(spark):
@@ -37,6 +37,39 @@ def test_language_of_held_out_documents(spark):
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) == r["held_out"] for r in rows)
 
 
+NEW = {
+    "language": {"lang_pred", "score"}, "tokens": {"ids", "decoded"}, "html": {"text"}, "model": {"n_tokens", "n_known", "train_tokens", "base_score", "score"},
+    "lines": {"n_lines", "n_dropped", "kept_text"}, "spans": {"kept_text"}, "prints": {"fp"},
+}
+
+
+@pytest.mark.parametrize("kind", sorted(NEW))
+def test_clashing_columns_stay(spark, odd, kind):
+    from lumenframe.llm import line_dedup, near_dup, span_dedup
+
+    run = {
+        "language": lambda d: language_id.predict(d, language_id.train(d)),
+        "tokens": lambda d: byte_bpe.tokenize(d, *tokenizer()),
+        "html": lambda d: html_text.extract(d.withColumn("html", d["text"])),
+        "model": lambda d: class_lm.score_texts(d, d.select("text")),
+        "lines": lambda d: line_dedup.apply_bitmaps(d, line_dedup.drop_bitmaps(d)),
+        "spans": lambda d: span_dedup.remove(d, span_dedup.removals(d)),
+        "prints": near_dup.fingerprints,
+    }[kind]
+    kept = [c for c in odd.columns if c not in NEW[kind] | {"text"}]
+    out = run(odd)
+    assert len(set(out.columns)) == len(out.columns) and NEW[kind] <= set(out.columns)
+    rows = lambda df: sorted(map(repr, df.select(*kept).collect()))
+    assert rows(out) == rows(odd)
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGS", 3)
+    docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="values of lang"):
+        language_id.train(docs)
+
+
 def test_language_of_odd_rows(spark, odd):
     out = {(r["doc_id"], r["text"]): r for r in language_id.predict(odd, language_id.train(odd)).collect()}
     assert [out[k]["lang_pred"] for k in ((1, None), (2, ""), (3, "12 34 !!"))] == ["und"] * 3
@@ -69,6 +102,26 @@ def test_pieces_encode_like_the_whole(monkeypatch):
     assert byte_bpe.encode(text, ranks, pattern) == whole
 
 
+def test_ids_are_those_of_plain_tiktoken(monkeypatch):
+    import random
+
+    import tiktoken
+    import tiktoken.load
+
+    ranks, pattern = tokenizer()
+    assert pattern in byte_bpe.SPLITTABLE
+    plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=tiktoken.load.load_tiktoken_bpe(ranks), special_tokens={})
+    other = tiktoken.Encoding("other", pat_str=r"\S+\s*|\s+", mergeable_ranks=tiktoken.load.load_tiktoken_bpe(ranks), special_tokens={})
+    monkeypatch.setattr(byte_bpe, "LONG", 8)
+    rng = random.Random(4)
+    signs = ["a", "b", "Z", "é", "1", "23", " ", "  ", "\n", "\t", "\u00a0", "'s", "!", "\U0001f600", "word", "\r\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 60)))
+        assert byte_bpe.encode(text, ranks, pattern) == plain.encode_ordinary(text)
+        assert byte_bpe.encode(text, ranks, r"\S+\s*|\s+") == other.encode_ordinary(text)
+        assert byte_bpe.decode(plain.encode_ordinary(text), ranks, pattern) == text.encode()
+
+
 def test_round_trip_and_digests(spark, odd):
     ranks, pattern = tokenizer()
     for r in byte_bpe.tokenize(odd, ranks, pattern).select("text", "ids", "decoded").collect():
@@ -111,6 +164,21 @@ def test_html_names_that_only_describe_the_layout():
         assert html_text.main_text(page) == f"{words}\n{words}", page
 
 
+def test_html_of_broken_markup():
+    import random
+    import time
+
+    assert [html_text.main_text(x) for x in ("<![foo[x]]>", "<![ ]>", "<![%&[x]]>", "<![if IE]>a<![endif]><p>b</p>", "<p>a<!-- b", "x < y", "<p>a</p><b c")] == ["", "", "", "a\nb", "a", "x < y", "a"]
+    rng = random.Random(1)
+    signs = ["<", ">", "!", "[", "]", "--", "/", "a", "p", "div", "&", "#", "x", '"', "=", " ", "\x00", "é", "<!", "<![", "CDATA[", "script", "style", "\n"]
+    for _ in range(5000):
+        html_text.main_text("".join(rng.choice(signs) for _ in range(rng.randint(1, 40))))
+    start = time.perf_counter()
+    for page in ("</x>" * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<a " * 50_000, "<a " * 50_000 + ">", "<!--" * 50_000 + ">", "<article>" * 20_000, "<b>" * 20_000 + "<p>x" * 20_000, "<ul><li>" * 20_000):
+        html_text.main_text(page)
+    assert time.perf_counter() - start < 20
+
+
 def test_html_of_odd_pages(spark):
     assert [html_text.main_text(x) for x in (None, "", "<p>", "<nav>x</nav>", "plain text")] == ["", "", "", "", "plain text"]
     assert html_text.main_text("<div>" * 5_000 + "deep" + "</div>" * 5_000) == "deep"
