@@ -20,8 +20,9 @@ What goes through the shuffle grows with the corpus; what reaches the driver doe
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import itertools
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,8 @@ END = "\n"
 _MARKS = frozenset(range(33, 48)) | frozenset(range(58, 65)) | frozenset(range(91, 97)) | frozenset(range(123, 127))
 #: Distinct words, or pairs, that a task holds before it passes them on.
 HELD = 1_000_000
+#: Tokens worked on at once; words outside the table that a task knows at once.
+CHUNK, FRESH = 1 << 20, 300_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -57,21 +60,43 @@ def shape(word: bytes) -> int:
     return min((len(word) - 1) // 3, BANDS - 1) * 4 + (word[-1] in _MARKS) * 2 + (not word.isascii())
 
 
-class Symbols(dict):
-    """Numbers of words; a word without one gets that of its shape, after first. Up to HELD / 5 of these are remembered."""
+class Symbols:
+    """Numbers the words of texts: those of a table as it says, others as they come, from first on, until FRESH of these are known."""
 
     def __init__(self, number: dict[bytes, int]) -> None:
-        super().__init__(number)
-        self.first, self.most = len(number), len(number) + HELD // 5
-
-    def __missing__(self, word: bytes) -> int:
-        at = self.first + shape(word)
-        if len(self) < self.most:
-            self[word] = at
-        return at
-
-    def of(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
+        self.number, self.first = number, len(number)
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[bytes, int] = defaultdict(itertools.count(self.first).__next__, self.number)
+        self.names: list[bytes] = []
+        self.shapes = np.zeros(0, dtype=np.int64)
+
+    def chunks(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The numbers of the words of some texts at a time, -1 for the end of each text and before the first."""
+        parts, size = [[-1]], 1
+        for text in texts:
+            found = words(text)
+            parts += (list(map(self.at.__getitem__, found)), [-1])
+            size += len(found) + 1
+            if size > CHUNK or len(self.at) - self.first > FRESH:
+                yield self._flat(parts, size)
+                parts, size = [[-1]], 1
+                if len(self.at) - self.first > FRESH:
+                    self.forget()
+        if size > 1:
+            yield self._flat(parts, size)
+
+    def _flat(self, parts: list[list[int]], size: int) -> np.ndarray:
+        new = list(itertools.islice(self.at, self.first + len(self.names), None))
+        self.names += new
+        self.shapes = np.concatenate([self.shapes, np.fromiter(map(shape, new), dtype=np.int64, count=len(new))])
+        return np.fromiter(itertools.chain.from_iterable(parts), dtype=np.int64, count=size)
+
+    def symbols(self, flat: np.ndarray) -> np.ndarray:
+        """Table numbers, then shapes, then END."""
+        shapes = np.concatenate([self.shapes, [SHAPES]])  # the last for -1, by its index
+        return np.where((flat >= 0) & (flat < self.first), flat, self.first + shapes[np.where(flat < 0, -1, np.maximum(flat - self.first, 0))])
 
 
 def held_out() -> Column:
@@ -110,20 +135,14 @@ def count_pairs(docs: DataFrame, exchanged: dict[bytes, int]) -> DataFrame:
     size = len(exchanged) + SHAPES + 1
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbols = Symbols(shared.value)
-        keys, counts, buffer, waiting = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), [], 0
-        for frame in frames:
-            for text in frame["text"]:
-                line = np.concatenate([[size - 1], symbols.of(words(text)), [size - 1]])
-                buffer.append(line[:-1] * size + line[1:])
-                waiting += len(line)
-                if waiting > HELD:
-                    keys, counts = _merge(keys, counts, buffer)
-                    buffer, waiting = [], 0
-                    if len(keys) > 2 * HELD:
-                        yield pd.DataFrame({"a": keys // size, "b": keys % size, "n": counts})
-                        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        keys, counts = _merge(keys, counts, buffer)
+        known = Symbols(shared.value)
+        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for flat in known.chunks(text for frame in frames for text in frame["text"]):
+            line = known.symbols(flat)
+            keys, counts = _merge(keys, counts, [line[:-1] * size + line[1:]])
+            if len(keys) > 2 * HELD:
+                yield pd.DataFrame({"a": keys // size, "b": keys % size, "n": counts})
+                keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         yield pd.DataFrame({"a": keys // size, "b": keys % size, "n": counts})
 
     pairs = docs.select("text").mapInPandas(run, "a int, b int, n long")
@@ -216,33 +235,16 @@ def count_contexts(docs: DataFrame, exchanged: dict[bytes, int], of: np.ndarray)
     """(word, context, n): how often every word outside the core stands in a context, combined within tasks only."""
     shared = docs.sparkSession.sparkContext.broadcast((exchanged, of))
 
-    def flushed(local: dict[bytes, int], buffer: list[np.ndarray]) -> pd.DataFrame:
-        keys, n = np.unique(np.concatenate(buffer), return_counts=True)
-        spelled = np.array([w.decode("utf-8", "replace") for w in local], dtype=object)
-        return pd.DataFrame({"word": spelled[keys // KINDS], "context": (keys % KINDS).astype(np.int32), "n": n})
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, of = shared.value
-        symbols = Symbols(number)
-        local: dict[bytes, int] = {}
-        buffer: list[np.ndarray] = []
-        waiting = 0
-        for frame in frames:
-            for text in frame["text"]:
-                found = words(text)
-                at = symbols.of(found)
-                rare = np.flatnonzero(at >= symbols.first)
-                if not len(rare):
-                    continue
-                names = [found[i] for i in rare.tolist()]
-                context = np.concatenate([[KINDS - 1], of[at[:-1]]])[rare]
-                buffer.append(np.array([local.setdefault(w, len(local)) for w in names], dtype=np.int64) * KINDS + context)
-                waiting += len(rare)
-                if waiting > 2 * HELD:
-                    yield flushed(local, buffer)
-                    local, buffer, waiting = {}, [], 0
-        if local:
-            yield flushed(local, buffer)
+        known = Symbols(number)
+        for flat in known.chunks(text for frame in frames for text in frame["text"]):
+            context = of[known.symbols(flat[:-1])]
+            rare = np.flatnonzero(flat[1:] >= known.first)
+            keys, n = np.unique((flat[1:][rare] - known.first) * KINDS + context[rare], return_counts=True)
+            word, where = np.unique(keys // KINDS, return_inverse=True)
+            spelled = np.array([known.names[i].decode("utf-8", "replace") for i in word.tolist()], dtype=object)
+            yield pd.DataFrame({"word": spelled[where], "context": (keys % KINDS).astype(np.int32), "n": n})
 
     return docs.select("text").mapInPandas(run, "word string, context int, n long")
 
@@ -365,21 +367,36 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     @F.pandas_udf("n_tokens long, n_known long, base double, score double, tail array<string>, codes array<int>, times array<int>")
     def local(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         number, known, transition = shared.value
-        symbols, end = Symbols(number), n_table + SHAPES
+        numbered = Symbols(number)
         for series in texts:
-            rows = []
-            for text in series:
-                found = words(text)
-                at = np.concatenate([[end], symbols.of(found), [end]])
-                before, tokens = known["context"][at[:-1]], at[1:]
-                score = transition[before, known["class"][tokens]].sum() + known["emission"][tokens].sum()
-                base = known["base"][tokens].sum() - spread * len(tokens)
-                rare = np.flatnonzero((tokens >= n_table) & (tokens < end))
-                codes = (tokens[rare] - n_table) * KINDS + before[rare]
-                tail = Counter(zip([found[i] for i in rare.tolist()], codes.tolist(), strict=True))
-                spelled = [w.decode("utf-8", "replace") for w, _ in tail]
-                rows.append((len(tokens), int((tokens < n_table).sum()) + known_end, base, score, spelled, [c for _, c in tail], list(tail.values())))
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "score", "tail", "codes", "times"])
+            found = [scored(numbered, known, transition, flat) for flat in numbered.chunks(series)]
+            yield pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=["n_tokens", "n_known", "base", "score", "tail", "codes", "times"])
+
+    def scored(numbered: Symbols, known: dict[str, np.ndarray], transition: np.ndarray, flat: np.ndarray) -> pd.DataFrame:
+        at = numbered.symbols(flat)
+        before, tokens = known["context"][at[:-1]], at[1:]
+        ends = np.flatnonzero(flat[1:] < 0)
+        starts = np.r_[0, ends[:-1] + 1]
+        score = np.add.reduceat(transition[before, known["class"][tokens]] + known["emission"][tokens], starts)
+        size = ends - starts + 1
+        base = np.add.reduceat(known["base"][tokens], starts) - spread * size
+        n_known = np.add.reduceat((tokens < n_table).astype(np.int64), starts) + known_end
+        rare = np.flatnonzero((tokens >= n_table) & (tokens < n_table + SHAPES))
+        row = np.searchsorted(ends, rare)
+        word, cell = flat[1:][rare] - numbered.first, before[rare]
+        keys, times = np.unique(np.stack([row, word * KINDS + cell]), axis=1, return_counts=True) if len(rare) else (np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
+        row, word = keys[0], keys[1] // KINDS
+        codes = (numbered.shapes[word] * KINDS + keys[1] % KINDS).astype(np.int32)
+        spelled = [numbered.names[i].decode("utf-8", "replace") for i in word.tolist()]
+        cut = np.searchsorted(row, np.arange(len(ends) + 1)).tolist()
+        pieces = list(itertools.pairwise(cut))
+        times = times.astype(np.int32)
+        return pd.DataFrame(
+            {
+                "n_tokens": size, "n_known": n_known, "base": base, "score": score,
+                "tail": [spelled[a:b] for a, b in pieces], "codes": [codes[a:b] for a, b in pieces], "times": [times[a:b] for a, b in pieces],
+            }
+        )
 
     kept = [c for c in docs.columns if c != "text"]
     first = packed(docs, "text", but=("text",)).select("rest", F.monotonically_increasing_id().alias("row"), local("text").alias("l"))
