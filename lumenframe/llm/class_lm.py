@@ -71,18 +71,20 @@ class Symbols:
         self.at: dict[bytes, int] = defaultdict(itertools.count(self.first).__next__, self.number)
         self.names: list[bytes] = []
         self.shapes = np.zeros(0, dtype=np.int64)
+        self.full = False
 
     def chunks(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """The numbers of the words of some texts at a time, -1 for the end of each text and before the first."""
+        """The numbers of the words of some texts at a time, -1 for the end of each text and before the first; full: the next ones are new."""
         parts, size = [[-1]], 1
         for text in texts:
             found = words(text)
             parts += (list(map(self.at.__getitem__, found)), [-1])
             size += len(found) + 1
-            if size > CHUNK or len(self.at) - self.first > FRESH:
+            self.full = len(self.at) - self.first > FRESH
+            if size > CHUNK or self.full:
                 yield self._flat(parts, size)
                 parts, size = [[-1]], 1
-                if len(self.at) - self.first > FRESH:
+                if self.full:
                     self.forget()
         if size > 1:
             yield self._flat(parts, size)
@@ -155,53 +157,63 @@ def _merge(keys: np.ndarray, counts: np.ndarray, buffer: list[np.ndarray]) -> tu
     return both, np.bincount(where, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
 
 
-def class_bigrams(pairs: DataFrame, of: np.ndarray, kinds: int) -> np.ndarray:
-    """Bigram counts of the classes that symbols have by of."""
+def profiles(pairs: DataFrame, of: np.ndarray, kinds: int) -> DataFrame:
+    """(symbol, code, n): how often a symbol stands before each class, code, and after it, kinds + code."""
     shared = pairs.sparkSession.sparkContext.broadcast(of)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(kinds * kinds, dtype=np.int64)
+        of = shared.value
         for frame in frames:
             a, b, n = (frame[c].to_numpy(dtype=np.int64) for c in ("a", "b", "n"))
-            total += np.bincount(shared.value[a] * kinds + shared.value[b], weights=n, minlength=len(total)).astype(np.int64)
+            both = np.concatenate([a * (2 * kinds) + of[b], b * (2 * kinds) + kinds + of[a]])
+            keys, where = np.unique(both, return_inverse=True)
+            yield pd.DataFrame({"symbol": keys // (2 * kinds), "code": keys % (2 * kinds), "n": np.bincount(where, weights=np.concatenate([n, n])).astype(np.int64)})
+
+    counts = pairs.mapInPandas(run, "symbol long, code int, n long").groupBy("symbol", "code").agg(F.sum("n").alias("n"))
+    return checkpointed(counts)
+
+
+def class_bigrams(counts: DataFrame, of: np.ndarray, kinds: int) -> np.ndarray:
+    """Bigram counts of classes, from the profiles of all symbols."""
+    shared = counts.sparkSession.sparkContext.broadcast(of)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(kinds * kinds, dtype=np.int64)
+        for frame in frames:
+            symbol, code, n = (frame[c].to_numpy(dtype=np.int64) for c in ("symbol", "code", "n"))
+            total += np.bincount(shared.value[symbol] * kinds + code, weights=n, minlength=len(total)).astype(np.int64)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"k": at, "n": total[at]})
 
-    rows = pairs.mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    rows = counts.where(F.col("code") < kinds).mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(kinds * kinds)
     out[rows["k"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=float)
     return out.reshape(kinds, kinds)
 
 
-def moves(pairs: DataFrame, of: np.ndarray, joint: np.ndarray, n_words: int, classes: int, moving: np.ndarray) -> pd.DataFrame:
-    """(symbol, class): the best class of every moving word by its neighbours, found on the executors."""
+def moves(counts: DataFrame, joint: np.ndarray, n_words: int, classes: int, moving: np.ndarray) -> pd.DataFrame:
+    """(symbol, class): the best class of every moving word by its profile, found on the executors."""
     kinds = len(joint)
     smooth = np.log(joint + 0.5)
     # Rows: a neighbour's class after the word, then before it; columns: the word's class.
     table = np.concatenate([smooth[:classes].T, smooth[:, :classes]])
-    shared = pairs.sparkSession.sparkContext.broadcast((of, moving, table, np.log(joint.sum(axis=1)[:classes] + 0.5) * 2))
+    shared = counts.sparkSession.sparkContext.broadcast((moving, table, np.log(joint.sum(axis=1)[:classes] + 0.5) * 2))
 
-    def profiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, moving, _, _ = shared.value
-        for frame in frames:
-            a, b, n = (frame[c].to_numpy(dtype=np.int64) for c in ("a", "b", "n"))
-            for side, symbol, other in ((0, a, b), (kinds, b, a)):
-                ok = symbol < n_words
-                ok[ok] = moving[symbol[ok]]
-                keys, where = np.unique(symbol[ok] * (2 * kinds) + side + of[other[ok]], return_inverse=True)
-                yield pd.DataFrame({"symbol": keys // (2 * kinds), "code": keys % (2 * kinds), "n": np.bincount(where, weights=n[ok]).astype(np.int64)})
+    @F.pandas_udf("boolean")
+    def moves_now(symbols: pd.Series) -> pd.Series:
+        moving = np.append(shared.value[0], False)
+        return pd.Series(moving[np.minimum(symbols.to_numpy(), len(moving) - 1)])
 
     @F.pandas_udf("int")
-    def best(codes: pd.Series, counts: pd.Series) -> pd.Series:
-        _, _, table, margin = shared.value
+    def best(codes: pd.Series, times: pd.Series) -> pd.Series:
+        _, table, margin = shared.value
         held = np.zeros((len(codes), 2 * kinds))
-        for i, (c, n) in enumerate(zip(codes, counts, strict=True)):
+        for i, (c, n) in enumerate(zip(codes, times, strict=True)):
             held[i, c] = n
         return pd.Series((held @ table - held[:, :kinds].sum(axis=1)[:, None] * margin).argmax(axis=1), dtype="int32")
 
-    counts = pairs.mapInPandas(profiles, "symbol long, code int, n long").groupBy("symbol", "code").agg(F.sum("n").alias("n"))
-    each = counts.groupBy("symbol").agg(F.collect_list(F.struct("code", "n")).alias("p"))
-    return each.select("symbol", best("p.code", "p.n").alias("class")).toPandas()
+    each = counts.where(F.col("symbol") < n_words).groupBy("symbol").agg(F.collect_list(F.struct("code", "n")).alias("p"))
+    return each.where(moves_now("symbol")).select("symbol", best("p.code", "p.n").alias("class")).toPandas()
 
 
 def exchange(pairs: DataFrame, n_words: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +227,8 @@ def exchange(pairs: DataFrame, n_words: int, classes: int = CLASSES, rounds: int
     of = np.concatenate([np.arange(n_words) % classes, classes + np.arange(SHAPES + 1)]).astype(np.int64)
     best = None
     for step in range(rounds + 1):
-        joint = class_bigrams(pairs, of, kinds)
+        counts = profiles(pairs, of, kinds)
+        joint = class_bigrams(counts, of, kinds)
         # Class likelihood: sum of n log n over class pairs, less both margins.
         total = lambda x: (x * np.log(np.maximum(x, 1.0))).sum()
         gain = total(joint) - total(joint.sum(axis=1)) - total(joint.sum(axis=0))
@@ -226,7 +239,7 @@ def exchange(pairs: DataFrame, n_words: int, classes: int = CLASSES, rounds: int
         if step == rounds or not n_words:
             break
         moving = (np.arange(n_words) * 2654435761 >> 7) % 2 == step % 2
-        moved = moves(pairs, of, joint, n_words, classes, moving)
+        moved = moves(counts, joint, n_words, classes, moving)
         of[moved["symbol"].to_numpy(dtype=np.int64)] = moved["class"].to_numpy(dtype=np.int64)
     return best[1], best[2]
 
@@ -238,13 +251,22 @@ def count_contexts(docs: DataFrame, exchanged: dict[bytes, int], of: np.ndarray)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, of = shared.value
         known = Symbols(number)
+        buffer: list[np.ndarray] = []
         for flat in known.chunks(text for frame in frames for text in frame["text"]):
             context = of[known.symbols(flat[:-1])]
             rare = np.flatnonzero(flat[1:] >= known.first)
-            keys, n = np.unique((flat[1:][rare] - known.first) * KINDS + context[rare], return_counts=True)
-            word, where = np.unique(keys // KINDS, return_inverse=True)
-            spelled = np.array([known.names[i].decode("utf-8", "replace") for i in word.tolist()], dtype=object)
-            yield pd.DataFrame({"word": spelled[where], "context": (keys % KINDS).astype(np.int32), "n": n})
+            buffer.append((flat[1:][rare] - known.first) * KINDS + context[rare])
+            if known.full or sum(map(len, buffer)) > 4 * HELD:
+                yield flushed(known.names, buffer)
+                buffer = []
+        if buffer:
+            yield flushed(known.names, buffer)
+
+    def flushed(names: list[bytes], buffer: list[np.ndarray]) -> pd.DataFrame:
+        keys, n = np.unique(np.concatenate(buffer), return_counts=True)
+        word, where = np.unique(keys // KINDS, return_inverse=True)
+        spelled = np.array([names[i].decode("utf-8", "replace") for i in word.tolist()], dtype=object)
+        return pd.DataFrame({"word": spelled[where], "context": (keys % KINDS).astype(np.int32), "n": n})
 
     return docs.select("text").mapInPandas(run, "word string, context int, n long")
 
@@ -384,9 +406,10 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
         rare = np.flatnonzero((tokens >= n_table) & (tokens < n_table + SHAPES))
         row = np.searchsorted(ends, rare)
         word, cell = flat[1:][rare] - numbered.first, before[rare]
-        keys, times = np.unique(np.stack([row, word * KINDS + cell]), axis=1, return_counts=True) if len(rare) else (np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
-        row, word = keys[0], keys[1] // KINDS
-        codes = (numbered.shapes[word] * KINDS + keys[1] % KINDS).astype(np.int32)
+        span = max(1, len(numbered.names)) * KINDS
+        keys, times = np.unique(row * span + word * KINDS + cell, return_counts=True)
+        row, word = keys // span, keys % span // KINDS
+        codes = (numbered.shapes[word] * KINDS + keys % KINDS).astype(np.int32)
         spelled = [numbered.names[i].decode("utf-8", "replace") for i in word.tolist()]
         cut = np.searchsorted(row, np.arange(len(ends) + 1)).tolist()
         pieces = list(itertools.pairwise(cut))
