@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +61,12 @@ def shape(word: bytes) -> int:
     return min((len(word) - 1) // 3, BANDS - 1) * 4 + (word[-1] in _MARKS) * 2 + (not word.isascii())
 
 
+_SCORED = pa.struct(
+    [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.string())), ("codes", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
+)
+_EMPTY = pa.array([], _SCORED)
+
+
 class Symbols:
     """Numbers the words of texts: those of a table as it says, others as they come, from first on, until FRESH of these are known."""
 
@@ -386,15 +393,14 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     spread = float(np.log10(n_train + n_types + 1))
     known_end = int(ends > 0)
 
-    @F.pandas_udf("n_tokens long, n_known long, base double, score double, tail array<string>, codes array<int>, times array<int>")
-    def local(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, n_known long, base double, score double, tail array<string>, codes array<int>, times array<int>")
+    def local(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         number, known, transition = shared.value
         numbered = Symbols(number)
         for series in texts:
-            found = [scored(numbered, known, transition, flat) for flat in numbered.chunks(series)]
-            yield pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=["n_tokens", "n_known", "base", "score", "tail", "codes", "times"])
+            yield pa.concat_arrays([_EMPTY, *(scored(numbered, known, transition, flat) for flat in numbered.chunks(series.to_pylist()))])
 
-    def scored(numbered: Symbols, known: dict[str, np.ndarray], transition: np.ndarray, flat: np.ndarray) -> pd.DataFrame:
+    def scored(numbered: Symbols, known: dict[str, np.ndarray], transition: np.ndarray, flat: np.ndarray) -> pa.Array:
         at = numbered.symbols(flat)
         before, tokens = known["context"][at[:-1]], at[1:]
         ends = np.flatnonzero(flat[1:] < 0)
@@ -409,17 +415,12 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
         span = max(1, len(numbered.names)) * KINDS
         keys, times = np.unique(row * span + word * KINDS + cell, return_counts=True)
         row, word = keys // span, keys % span // KINDS
-        codes = (numbered.shapes[word] * KINDS + keys % KINDS).astype(np.int32)
-        spelled = [numbered.names[i].decode("utf-8", "replace") for i in word.tolist()]
-        cut = np.searchsorted(row, np.arange(len(ends) + 1)).tolist()
-        pieces = list(itertools.pairwise(cut))
-        times = times.astype(np.int32)
-        return pd.DataFrame(
-            {
-                "n_tokens": size, "n_known": n_known, "base": base, "score": score,
-                "tail": [spelled[a:b] for a, b in pieces], "codes": [codes[a:b] for a, b in pieces], "times": [times[a:b] for a, b in pieces],
-            }
-        )
+        codes = numbered.shapes[word] * KINDS + keys % KINDS
+        some, where = np.unique(word, return_inverse=True)
+        spelled = pa.array([numbered.names[i].decode("utf-8", "replace") for i in some.tolist()], pa.string()).take(pa.array(where))
+        cut = pa.array(np.searchsorted(row, np.arange(len(ends) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cut, x) for x in (spelled, pa.array(codes.astype(np.int32)), pa.array(times.astype(np.int32)))]
+        return pa.StructArray.from_arrays([pa.array(size), pa.array(n_known), pa.array(base), pa.array(score), *lists], fields=list(_SCORED))
 
     kept = [c for c in docs.columns if c != "text"]
     first = packed(docs, "text", but=("text",)).select("rest", F.monotonically_increasing_id().alias("row"), local("text").alias("l"))
