@@ -191,9 +191,9 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 def representatives(docs: DataFrame, words: int = 3, similarity: float | None = None) -> DataFrame:
     """The one row of each component that stays, as (doc_id, r): r is xxhash64 of the row's text.
 
-    Without a similarity, components are those of the fingerprints. With one, they are those of all
-    pairs of texts whose shingle sets have that Jaccard similarity: what the index of fingerprints
-    proposes is verified on the sets and contracted, and near_copies finds the rest.
+    Without a similarity, components are those of the fingerprints. With one, links are pairs of
+    texts whose shingle sets have that Jaccard similarity: what the index of fingerprints proposes,
+    and what near_copies finds, verified on the sets.
     The row of smallest doc_id stays (null ids come last; of several texts under one id, that of least r).
     """
     docs = docs.select("doc_id", "text")

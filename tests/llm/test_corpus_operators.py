@@ -373,3 +373,25 @@ def test_pipeline_drops_near_copies(spark, docs):
     top = roots(list(sets), close)
     frame = spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.keep_one(spark, frame, SF).collect()} == set(top.values())
+
+
+def test_pipeline_finds_large_groups_of_near_copies(spark):
+    """Groups whose lists are not enumerated: recall of the links against all pairs, with and without the text that was copied."""
+    import corpus_pipeline
+
+    rng = random.Random(33)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{rng.randrange(3000)}" for _ in range(200)]
+        for c in range(150):
+            words = list(base)
+            for _ in range(c % 5 + (g % 2)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((1000 * g + c, " ".join(words)))
+    sets = {i: plain_shingles(t) for i, t in rows}
+    close = [(a, b) for a in sets for b in sets if a < b and a // 1000 == b // 1000 and (sets[a] == sets[b] or 1.25 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b]))]
+    top = roots(list(sets), close)
+    frame = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_one(spark, frame, SF).collect()}
+    assert set(top.values()) <= kept
+    assert len(kept) - len(set(top.values())) <= 0.02 * (len(rows) - len(set(top.values())))
