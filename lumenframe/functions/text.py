@@ -10,22 +10,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Endings that the stemmer tries in this order (fixed values).
+#: Endings that the stemmer takes off, one after the other (fixed values).
 SUFFIXES = ("ing", "ed", "ly", "s", "es", "ies")
 #: Signs of text decoded with the wrong charset (fixed values).
-MOJIBAKE = ("�", "Ã©", "Ã¨", "Ã¼", "â€™", "â€œ", "Â ")
+MOJIBAKE = ("\ufffd", "Ã©", "Ã¨", "Ã¼", "Ã¶", "Ã¤", "Â")
 #: Frame rates that clips are rounded to (fixed values).
 STANDARD_RATES = (23.976, 24.0, 25.0, 29.97, 30.0, 50.0, 59.94, 60.0)
 
 
 def stem(word: Column) -> Column:
-    """The word without the first fitting suffix, if more than two bytes stay before it."""
-    out = None
+    """The lower-cased word without each of the suffixes that it ends with in turn; three bytes of UTF-8 at least stay."""
+    # Three code points, or fewer that take three bytes.
+    least = "(?:.{3,}|.*[\\x{800}-\\x{10FFFF}].*|.*[\\x{80}-\\x{7FF}].+|.+[\\x{80}-\\x{7FF}].*)"
+    word = F.lower(word)
     for s in SUFFIXES:
-        fits = word.endswith(s) & (F.octet_length(word) > len(s) + 2)
-        cut = F.substr(word, F.lit(1), F.char_length(word) - len(s))
-        out = F.when(fits, cut) if out is None else out.when(fits, cut)
-    return out.otherwise(word)
+        word = F.regexp_replace(word, f"(?s)^({least}){s}$(?!\\n)", "$1")
+    return word
 
 
 def strip_tags(text: Column) -> Column:
@@ -63,7 +63,9 @@ def mask_words(text: Column, words: Sequence[str]) -> Column:
 
 
 def has_word(text: Column, words: Sequence[str]) -> Column:
-    """Whether one of the words stands in the text, whatever its case."""
+    """Whether one of the words stands in the text, whatever its case; false without words."""
+    if not words:
+        return F.when(text.isNotNull(), F.lit(False))
     return text.rlike("(?i)\\b(" + "|".join(re.escape(w) for w in words) + ")\\b")
 
 

@@ -71,7 +71,10 @@ def search_fields(df: DataFrame, fields: str, wanted: Mapping[str, str], terms:
 
 
 def best_alignment(query: Column, target: Column, bits: int = 64, steps: int = 256) -> Column:
-    """struct(similarity, offset): the best place of a query array of codes in a longer target; offsets go in steps of the span by steps."""
+    """struct(similarity, offset): the best place of a query array of codes in a target; offsets go in steps of the span by steps.
+
+    A target shorter than the query is compared with the query's beginning, an empty one has similarity 0. Null for an empty query.
+    """
     span = F.size(target) - F.size(query)
     step = F.greatest(F.lit(1), F.floor(span / steps).cast("int"))
 
@@ -80,7 +83,10 @@ def best_alignment(query: Column, target: Column, bits: int = 64, steps: int = 2
         return F.struct((1 - apart / (F.size(query) * F.lit(float(bits)))).alias("similarity"), (-o).alias("back"))
 
     best = F.array_max(F.transform(F.sequence(F.lit(0), span, step), at))
-    return F.when((span >= 0) & (F.size(query) > 0), F.struct(best["similarity"].alias("similarity"), (-best["back"]).alias("offset")))
+    met = F.aggregate(F.zip_with(F.slice(query, 1, F.size(target)), target, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, d: a + d)
+    near = F.when(F.size(target) > 0, 1 - met / (F.size(target) * F.lit(float(bits)))).otherwise(0.0)
+    short = F.struct(near.alias("similarity"), F.lit(0).alias("offset"))
+    return F.when(F.size(query) <= 0, None).when(span < 0, short).otherwise(F.struct(best["similarity"].alias("similarity"), (-best["back"]).alias("offset")))
 
 
 def colour_distance(colours: Column, r: float, g: float, b: float) -> Column:

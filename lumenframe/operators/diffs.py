@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Most columns of a pivoted table.
+MOST_KEYS = 10_000
+
+
 def changes(old: DataFrame, new: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """(key..., change): added, removed or modified rows; equal rows are left out, and nulls equal nulls."""
     key = list(key)
@@ -47,8 +51,11 @@ def crosswalk(rows: DataFrame, mapping: Mapping[str, str], fields: str) -> DataF
 def pivot_attributes(attributes: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """(item, key, value) as one row an item; the columns are the sorted union of the keys, missing ones null.
 
-    The keys form a header, so their number is bounded by what a table can hold; give them to save a pass.
+    The keys form a header: more than MOST_KEYS raise a ValueError. Give them to save a pass.
     """
     if keys is None:
-        keys = sorted(r["key"] for r in attributes.select("key").distinct().limit(10_000).collect())
+        found = attributes.select("key").distinct().limit(MOST_KEYS + 1).collect()
+        if len(found) > MOST_KEYS:
+            raise ValueError(f"more than {MOST_KEYS} keys")
+        keys = sorted(r["key"] for r in found)
     return attributes.groupBy("item").pivot("key", list(keys)).agg(F.first("value"))

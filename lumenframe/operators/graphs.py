@@ -11,7 +11,8 @@ from lumenframe.session import checkpointed
 def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1_000) -> DataFrame:
     """(seed, node, hops): what each of seeds(seed) reaches along edges(src, dst), with the fewest hops; the seed itself only round a cycle.
 
-    A frontier join a round, cut by checkpoints; nodes met before are left out, so cycles end.
+    A frontier join a round, cut by checkpoints; nodes met before are left out, so cycles end. Paths
+    longer than max_rounds raise.
     """
     e = checkpointed(edges.select("src", "dst").distinct())
     frontier = checkpointed(seeds.select("seed", F.col("seed").alias("node")).distinct())
@@ -25,6 +26,10 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1_000) -> Da
             break
         marked = frontier.withColumn("hops", F.lit(hop).cast("long"))
         seen = marked if seen is None else checkpointed(seen.unionAll(marked))
+    else:
+        more = frontier.join(e, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"))
+        if seen is not None and not more.join(seen, ["seed", "node"], "left_anti").isEmpty():
+            raise RuntimeError(f"paths of more than {max_rounds} hops")
     return seen if seen is not None else frontier.withColumn("hops", F.lit(0).cast("long"))
 
 
@@ -39,7 +44,10 @@ def tips(edges: DataFrame) -> DataFrame:
 
 
 def topological_levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(node, level) by peeling: roots have level 0, others one more than the last of their sources; nodes on or behind a cycle are left out."""
+    """(node, level) by peeling: roots have level 0, others one more than the last of their sources; nodes on or behind a cycle are left out.
+
+    More than max_rounds levels raise.
+    """
     left = checkpointed(edges.select("src", "dst").distinct())
     nodes = checkpointed(left.select(F.col("src").alias("node")).unionAll(left.select(F.col("dst").alias("node"))).distinct())
     out = None
@@ -52,6 +60,9 @@ def topological_levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         out = marked if out is None else out.unionAll(marked)
         nodes = checkpointed(nodes.join(free, "node", "left_anti"))
         left = checkpointed(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
+    else:
+        if not nodes.join(left.select(F.col("dst").alias("node")), "node", "left_anti").isEmpty():
+            raise RuntimeError(f"more than {max_rounds} levels")
     return out if out is not None else nodes.where("1 = 0").withColumn("level", F.lit(0).cast("long"))
 
 
@@ -108,8 +119,11 @@ def subtree_heights(parents: DataFrame) -> DataFrame:
     return parents.select("node").distinct().join(tall, "node", "left").select("node", F.coalesce("height", F.lit(0).cast("long")).alias("height"))
 
 
-def hot_path(calls: DataFrame, start: object, max_hops: int = 64) -> DataFrame:
-    """(hop, node): from start on, always to the callee of most time in calls(caller, callee, time); ties go to the smaller callee."""
+def hot_path(calls: DataFrame, start: object, max_hops: int = 1_000) -> DataFrame:
+    """(hop, node): from start on, always to the callee of most time in calls(caller, callee, time); ties go to the smaller callee.
+
+    The path ends before a node that is on it already; one of more than max_hops raises.
+    """
     best = calls.groupBy("caller", "callee").agg(F.sum("time").alias("time"))
     best = checkpointed(best.groupBy("caller").agg(F.min_by("callee", F.struct(-F.col("time"), "callee")).alias("callee")))
     at = best.where(F.col("caller") == start).select(F.lit(0).cast("long").alias("hop"), F.col("caller").alias("node"), F.array("caller").alias("path"))
@@ -119,5 +133,8 @@ def hot_path(calls: DataFrame, start: object, max_hops: int = 64) -> DataFrame:
         at = checkpointed(step.select(F.lit(hop).cast("long").alias("hop"), F.col("callee").alias("node"), F.concat("path", F.array("callee")).alias("path")))
         if at.isEmpty():
             break
-        out = out.unionAll(at)
+        out = checkpointed(out.unionAll(at)) if hop % 50 == 0 else out.unionAll(at)
+    else:
+        if not at.join(best, F.col("node") == F.col("caller")).where(~F.array_contains("path", F.col("callee"))).isEmpty():
+            raise RuntimeError(f"a path of more than {max_hops} hops")
     return out.select("hop", "node")

@@ -32,12 +32,14 @@ def collaborative(ratings: DataFrame, users: DataFrame, neighbours: int, n: int)
 
 
 def baseline(ratings: DataFrame) -> DataFrame:
-    """ratings with predicted: the global mean plus the user's and the item's mean deviations."""
-    mean = ratings.agg(F.avg("rating").alias("mu"))
-    rows = ratings.crossJoin(F.broadcast(mean))
-    users = rows.groupBy("user").agg(F.avg(F.col("rating") - F.col("mu")).alias("bu"))
-    items = rows.groupBy("item").agg(F.avg(F.col("rating") - F.col("mu")).alias("bi"))
-    return rows.join(users, "user").join(items, "item").select("user", "item", "rating", (F.col("mu") + F.col("bu") + F.col("bi")).alias("predicted"))
+    """ratings with predicted: the global mean plus the user's and the item's mean deviations, cut to 0 to 5; only ratings over 0 count."""
+    rated = ratings.where("rating > 0")
+    rows = ratings.crossJoin(F.broadcast(rated.agg(F.coalesce(F.avg("rating"), F.lit(0.0)).alias("mu"))))
+    users = rated.groupBy("user").agg(F.avg("rating").alias("mean_u"))
+    items = rated.groupBy("item").agg(F.avg("rating").alias("mean_i"))
+    bias = lambda c: F.coalesce(F.col(c) - F.col("mu"), F.lit(0.0))
+    predicted = F.least(F.greatest(F.col("mu") + bias("mean_u") + bias("mean_i"), F.lit(0.0)), F.lit(5.0))
+    return rows.join(users, "user", "left").join(items, "item", "left").select("user", "item", "rating", predicted.alias("predicted"))
 
 
 def combine(lists: Mapping[str, DataFrame], weights: Mapping[str, float], n: int) -> DataFrame:
@@ -95,8 +97,12 @@ def distribution_gap(actual: DataFrame, target: DataFrame, key: str) -> DataFram
 def retention(reach: DataFrame, segments: DataFrame) -> DataFrame:
     """(segment, start, stop, retention): share of reach(viewer, reach) that got to the end of each of the few segments."""
     totals = reach.agg(F.count("*").alias("_n"))
-    hits = segments.join(reach, F.col("reach") >= F.col("stop"), "left").groupBy("segment", "start", "stop").agg(F.count("reach").alias("_h"))
-    return hits.crossJoin(F.broadcast(totals)).where("_n > 0").select("segment", "start", "stop", (F.col("_h") / F.col("_n")).alias("retention"))
+    # The segments travel to the viewers, in one row, and never the other way round.
+    listed = F.broadcast(segments.agg(F.collect_list(F.struct("segment", "start", "stop")).alias("_s")))
+    passed = reach.crossJoin(listed).select(F.explode(F.filter("_s", lambda x: x["stop"] <= F.col("reach"))).alias("p"))
+    hits = passed.groupBy("p.segment", "p.start", "p.stop").agg(F.count("*").alias("_h"))
+    every = segments.select("segment", "start", "stop").join(F.broadcast(hits), ["segment", "start", "stop"], "left")
+    return every.crossJoin(F.broadcast(totals)).where("_n > 0").select("segment", "start", "stop", (F.coalesce("_h", F.lit(0)) / F.col("_n")).alias("retention"))
 
 
 def drop_offs(curve: DataFrame, order: str, value: str, least: float) -> DataFrame:

@@ -93,12 +93,19 @@ def mann_kendall(df: DataFrame, value: str, at: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """(bin, low, n) of an integer column: width is the range by the number of bins, rounded up; the last bin takes the rest."""
+    """(bin, high, n) of an integer column, for every bin, by its upper bound: width is the range by the number of bins, rounded up; the last bin takes the rest.
+
+    Equal values give one bin that ends at them; no values or no bins give none.
+    """
     ends = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo")) / F.lit(float(bins))), F.lit(1)).cast("long")
     placed = df.crossJoin(F.broadcast(ends.withColumn("_w", width)))
     number = F.least(F.floor((F.col(value) - F.col("_lo")) / F.col("_w")), F.lit(bins - 1)).cast("long")
-    return placed.groupBy(number.alias("bin"), (F.col("_lo") + number * F.col("_w")).cast("long").alias("low")).agg(F.count("*").alias("n"))
+    counts = placed.where(F.col(value).isNotNull()).groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
+    last = F.when(F.col("_lo") == F.col("_hi"), 0).otherwise(bins - 1)
+    every = ends.where(F.col("_lo").isNotNull() & F.lit(bins > 0)).withColumn("_w", width).withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    high = F.when(F.col("_lo") == F.col("_hi"), F.col("_hi")).otherwise(F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).cast("long")
+    return every.join(counts, "bin", "left").select("bin", high.alias("high"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def grouping_report(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

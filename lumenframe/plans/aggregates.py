@@ -234,7 +234,7 @@ QUERIES = {
         r as (select n, s, (n * (n - 1) * (2 * n + 5) - ties) / 18.0 variance from n, s, k)
         select n, s, round(variance, 6) variance, round(case when n < 4 or variance <= 0 then 0.0 else (s - sign(s)) / sqrt(variance) end, 6) z from r"""),
     "latency_histogram": (latency_histogram, """with v as (select floor(l_extendedprice)::bigint v from lineitem), e as (select min(v) lo, greatest(ceil((max(v) - min(v)) / 10.0), 1)::bigint w from v)
-        select least((v - lo) // w, 9) bin, lo + least((v - lo) // w, 9) * w low, count(*) n from v, e group by 1, 2"""),
+        select bin, lo + (bin + 1) * w high, count(v) n from e, unnest(range(10)) t(bin) left join v on least((v - lo) // w, 9) = bin group by 1, 2"""),
     "latency_summary": (latency_summary, """select l_returnflag, round(avg(l_extendedprice), 6) mean, round(stddev_samp(l_extendedprice), 6) deviation, sum((l_extendedprice > 50000)::bigint)::bigint violations,
         round(avg((l_extendedprice <= 50000)::int) * 100, 6) pct from lineitem group by 1"""),
     "throughput_speedup": (throughput_speedup, "select round(avg(l_quantity) filter (where l_returnflag = 'R') / avg(l_quantity) filter (where l_returnflag <> 'R'), 6) speedup from lineitem"),

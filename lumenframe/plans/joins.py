@@ -14,7 +14,7 @@ r6 = lambda c: F.round(c, 6)
 
 def rights_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of 30-day order windows of a customer that overlap; one class of priority meets every customer."""
-    rows = orders(spark, sf_dir).where("o_orderkey % 7 = 0")
+    rows = orders(spark, sf_dir)
     scope = F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 35 == 0), "*").otherwise(F.col("o_custkey").cast("string"))
     windows = rows.select(F.col("o_orderkey").alias("id"), scope.alias("scope"), F.col("d").alias("s"), (F.col("d") + 30).alias("e"))
     return intervals.wildcard_overlaps(windows, "scope", 30)
@@ -214,7 +214,7 @@ def hot_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "rights_overlaps": (rights_overlaps, f"""with {OD}, w as (select o_orderkey id, case when o_orderpriority = '1-URGENT' and o_orderkey % 35 = 0 then '*' else o_custkey::varchar end scope, d s, d + 30 e from od where o_orderkey % 7 = 0)
+    "rights_overlaps": (rights_overlaps, f"""with {OD}, w as (select o_orderkey id, case when o_orderpriority = '1-URGENT' and o_orderkey % 35 = 0 then '*' else o_custkey::varchar end scope, d s, d + 30 e from od)
         select x.id a, y.id b from w x join w y on x.id < y.id and (x.scope = y.scope or x.scope = '*' or y.scope = '*') and x.s < y.e and y.s < x.e"""),
     "overlap_counts": (overlap_counts, f"""with {OD} select x.o_orderkey id, count(*) n from od x join od y on x.o_custkey = y.o_custkey and x.o_orderkey <> y.o_orderkey and x.d < y.d + 20 and y.d < x.d + 20 group by 1"""),
     "asof_latest_event": (asof_latest_event, f"""with {EV}, c as (select user_id, t, arg_max(value, event_id) v from ev where event_type = 'click' group by 1, 2)

@@ -176,7 +176,7 @@ def mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems of the words of the parts."""
-    each = table(spark, sf_dir, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", F.lit("rings boxed slowly flies")), " ")).alias("word")).distinct()
+    each = table(spark, sf_dir, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", F.lit("rings boxed slowly flies process Reseed mixes")), " ")).alias("word")).distinct()
     return each.select("word", T.stem(F.col("word")).alias("stem"))
 
 
@@ -274,9 +274,11 @@ QUERIES = {
     "caption_stats": (caption_stats, """with c as (select role, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) w from conversations), r as (select *, case when w > 0 and length(text) > 0 then w / (length(text) * 60 / 1000.0::double) end rate from c)
         select role, sum(w)::bigint words, sum(length(regexp_replace(text, '\\s', '', 'g')))::bigint signs, round(avg(rate), 6) rate, sum((rate > 2.6)::bigint)::bigint fast from r group by 1"""),
     "profanity_mask": (profanity_mask, """select conv_id, turn, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\bthe\\b', '***', 'g'), '(?i)\\band\\b', '***', 'g'), '(?i)\\bidiot\\b', '*****', 'g')) digest from conversations where regexp_matches(text, '(?i)\\b(the|and|idiot)\\b')"""),
-    "mojibake": (mojibake, "select regexp_matches(text, '�|Ã©|Ã¨|Ã¼|â€™|â€œ|Â ') broken, count(*) n from documents group by 1"),
-    "stems": (stems, """with w as (select distinct unnest(string_split(p_name || ' rings boxed slowly flies', ' ')) word from part) select word, case when word like '%ing' and strlen(word) > 5 then word[:-4] when word like '%ed' and strlen(word) > 4 then word[:-3]
-        when word like '%ly' and strlen(word) > 4 then word[:-3] when word like '%s' and strlen(word) > 3 then word[:-2] else word end stem from w"""),
+    "mojibake": (mojibake, "select regexp_matches(text, '�|Ã©|Ã¨|Ã¼|Ã¶|Ã¤|Â') broken, count(*) n from documents group by 1"),
+    "stems": (stems, """with w as (select distinct unnest(string_split(p_name || ' rings boxed slowly flies process Reseed mixes', ' ')) word from part),
+        a as (select word, lower(word) x from w), b as (select word, case when x like '%ing' and strlen(x) > 5 then x[:-4] else x end x from a), c as (select word, case when x like '%ed' and strlen(x) > 4 then x[:-3] else x end x from b),
+        d as (select word, case when x like '%ly' and strlen(x) > 4 then x[:-3] else x end x from c), e as (select word, case when x like '%s' and strlen(x) > 3 then x[:-2] else x end x from d),
+        f as (select word, case when x like '%es' and strlen(x) > 4 then x[:-3] else x end x from e) select word, case when x like '%ies' and strlen(x) > 5 then x[:-4] else x end stem from f"""),
     "parsed_values": (parsed_values, "select p_partkey, case p_partkey % 3 when 0 then p_size * 1000000::bigint when 1 then p_size * 1000::bigint end bps, p_size * 16 width, p_size * 9 height from part"),
     "validators": (validators, """select regexp_matches(url, '^(?:https?|ftp)://[^\\s/]+(?:/\\S*)?$') url_ok, regexp_matches('info@' || regexp_extract(url, '^https?://([^/]+)', 1), '^[^@]+@[^@]+$') mail_ok, count(*) n from pages group by 1, 2"""),
     "file_sizes": (file_sizes, """with s as (select o_orderkey, floor(o_totalprice)::bigint * 37 b from orders) select o_orderkey, case when b >= 1073741824 then printf('%.2f GB', round(b / 1073741824.0::double, 2)) when b >= 1048576 then printf('%.2f MB', round(b / 1048576.0::double, 2))

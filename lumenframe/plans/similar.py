@@ -10,14 +10,14 @@ from lumenframe.functions import vectors as V
 from lumenframe.operators import recommend as R
 from lumenframe.operators import similarity as S
 from lumenframe.plans.common import DAY, EV, HOUR, OD, events, orders
-from lumenframe.session import table
+from lumenframe.session import checkpointed, table
 
 r6 = lambda c: F.round(c, 6)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return rows.where("vec_id < 5"), rows
+    return rows.where("vec_id % 20 = 0"), rows
 
 
 def _top(score, descending):
@@ -47,9 +47,9 @@ def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hamming_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors within ten signs of each of five."""
+    """Vectors within ten signs of each query."""
     codes = _codes(spark, sf_dir, 32)
-    return S.hamming_query(codes.where("vec_id < 5"), codes, "vec_id", "code", 10).select("query", "item", F.col("distance").cast("long").alias("distance"))
+    return S.hamming_query(codes.where("vec_id % 20 = 0"), codes, "vec_id", "code", 10).select("query", "item", F.col("distance").cast("long").alias("distance"))
 
 
 def ratio_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +67,15 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coefficients of the word sets of parts of one brand."""
-    rows = table(spark, sf_dir, "part").where("p_brand = 'Brand#2' and p_size <= 20").select(F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("w"))
-    a, b = rows.select(F.col("id").alias("a"), F.col("w").alias("wa")), rows.select(F.col("id").alias("b"), F.col("w").alias("wb"))
-    met = a.join(b, F.col("a") < F.col("b"))
+    """Coefficients of the word sets of all parts that share a word: a set is one class, under its least part, with the number of its parts."""
+    words = F.sort_array(F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")))
+    sets = checkpointed(table(spark, sf_dir, "part").select("p_partkey", words.alias("w")).groupBy("w").agg(F.min("p_partkey").alias("id"), F.count("*").alias("n")))
+    each = sets.select("id", F.explode("w").alias("word"))
+    met = each.select(F.col("id").alias("a"), "word").join(each.select(F.col("id").alias("b"), "word"), "word").where("a < b").select("a", "b").distinct()
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("w").alias(f"w{x}"), F.col("n").alias(f"n{x}"))
+    both = met.join(side("a"), "a").join(side("b"), "b")
     wa, wb = F.col("wa"), F.col("wb")
-    return met.select("a", "b", r6(V.jaccard(wa, wb)).alias("jaccard"), r6(V.dice(wa, wb)).alias("dice"), r6(V.overlap(wa, wb)).alias("least"), r6(V.cosine_sets(wa, wb)).alias("cosine"))
+    return both.select("a", "b", "na", "nb", r6(V.jaccard(wa, wb)).alias("jaccard"), r6(V.dice(wa, wb)).alias("dice"), r6(V.overlap(wa, wb)).alias("least"), r6(V.cosine_sets(wa, wb)).alias("cosine"))
 
 
 def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +105,7 @@ def user_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def baseline_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings with those that means predict."""
-    return R.baseline(_ratings(spark, sf_dir)).select("user", "item", r6("predicted").alias("predicted"))
+    return R.baseline(_ratings(spark, sf_dir).withColumn("rating", F.col("rating") / 20)).select("user", "item", r6("predicted").alias("predicted"))
 
 
 def hybrid_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,13 +148,18 @@ def ucb_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = rows.agg(F.count("*").alias("all"))
     by = rows.groupBy("k").agg(F.avg(F.col("value") / 500).alias("m"), F.count("*").alias("n"), F.sum((F.col("event_type") == "purchase").cast("long")).alias("hits")).crossJoin(F.broadcast(total))
     return by.select(
-        "k", r6(SC.upper_confidence(F.col("m"), F.col("n"), F.col("all"))).alias("ucb"), r6(SC.beta_mean(F.col("hits"), F.col("n") - F.col("hits"))).alias("beta"), r6(SC.trend_multiplier(F.col("n"), 10, 0.5, 1.4)).alias("trend")
+        "k", r6(SC.upper_confidence(F.col("m"), F.col("n"), F.col("all"))).alias("ucb"), r6(SC.beta_mean(F.col("hits"), F.col("n") - F.col("hits"))).alias("beta"), r6(SC.trend_multiplier(F.col("n"), 10, 0.5, 1.12)).alias("trend")
     )
 
 
+#: What the event types stand for.
+EVENT_SIGNALS = {"purchase": "completion", "signup": "bookmark", "view": "view", "click": "pause", "error": "skip"}
+
+
 def implicit_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings that events stand for."""
-    return events(spark, sf_dir).select("event_id", r6(SC.implicit_rating(F.col("event_type"), F.col("value") / 50)).alias("rating"))
+    signal = F.create_map(*[F.lit(x) for kv in EVENT_SIGNALS.items() for x in kv])
+    return events(spark, sf_dir).select("event_id", r6(SC.implicit_rating(F.try_element_at(signal, "event_type"), F.col("value") / 50)).alias("rating"))
 
 
 def trend_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +224,7 @@ def geo_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _D = "list_transform(x.embedding, lambda v: v::double) xa, list_transform(y.embedding, lambda v: v::double) ya"
-_VEC = f"p as (select x.vec_id as query, y.vec_id as item, {_D} from embeddings x join embeddings y on x.vec_id < 5 and x.vec_id <> y.vec_id)"
+_VEC = f"p as (select x.vec_id as query, y.vec_id as item, {_D} from embeddings x join embeddings y on x.vec_id % 20 = 0 and x.vec_id <> y.vec_id)"
 
 
 def _topk_sql(score: str, order: str) -> str:
@@ -236,30 +244,30 @@ QUERIES = {
     "pearson_topk": (pearson_topk, _topk_sql(_PEARSON, "desc")),
     "visual_topk": (visual_topk, _topk_sql("1 / (1 + list_distance(xa, ya))", "desc")),
     "hamming_pairs": (hamming_pairs, f"with {_CODE} select x.vec_id a, y.vec_id b, bit_count(xor(x.code, y.code))::bigint distance from c x join c y on x.vec_id < y.vec_id where bit_count(xor(x.code, y.code)) <= 4"),
-    "hamming_query": (hamming_query, f"with {_CODE} select x.vec_id as query, y.vec_id as item, bit_count(xor(x.code, y.code))::bigint distance from c x join c y on x.vec_id < 5 and x.vec_id <> y.vec_id where bit_count(xor(x.code, y.code)) <= 10"),
+    "hamming_query": (hamming_query, f"with {_CODE} select x.vec_id as query, y.vec_id as item, bit_count(xor(x.code, y.code))::bigint distance from c x join c y on x.vec_id % 20 = 0 and x.vec_id <> y.vec_id where bit_count(xor(x.code, y.code)) <= 10"),
     "ratio_matches": (ratio_matches, f"""with {_CODE}, d as (select x.vec_id as query, y.vec_id as item, bit_count(xor(x.code, y.code))::bigint d from c x join c y on x.vec_id % 10 = 0 and x.vec_id <> y.vec_id),
         r as (select *, row_number() over (partition by query order by d, item) r from d qualify r <= 2), p as (select query, max(item) filter (where r = 1) as item, max(d) filter (where r = 1) best, max(d) filter (where r = 2) as second from r group by 1)
         select query, item, best, second from p where best <= 14 and second > 0 and best < 0.95::double * second"""),
     "fuzzy_names": (fuzzy_names, """with a as (select distinct 'S' || regexp_extract(s_name, '#(\\d+)$', 1) a from supplier), b as (select distinct 'S' || regexp_extract(c_name, '#(\\d+)$', 1) b from customer)
         select a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) score from a, b where levenshtein(a, b) <= 1"""),
-    "set_similarity": (set_similarity, """with r as (select p_partkey id, list_distinct(string_split(p_name || ' ' || p_type, ' ')) w from part where p_brand = 'Brand#2' and p_size <= 20), p as (select x.id a, y.id b, x.w wa, y.w wb, len(list_intersect(x.w, y.w)) i from r x join r y on x.id < y.id)
-        select a, b, round(i / (len(wa) + len(wb) - i), 6) jaccard, round(2 * i / (len(wa) + len(wb)), 6) dice, round(i / least(len(wa), len(wb)), 6) as least, round(i / sqrt((len(wa) * len(wb))::double), 6) cosine from p"""),
+    "set_similarity": (set_similarity, """with r as (select min(p_partkey) id, count(*) n, list_sort(list_distinct(string_split(p_name || ' ' || p_type, ' '))) w from part group by w), p as (select x.id a, y.id b, x.n na, y.n nb, x.w wa, y.w wb, len(list_intersect(x.w, y.w)) i from r x join r y on x.id < y.id and list_has_any(x.w, y.w))
+        select a, b, na, nb, round(i / (len(wa) + len(wb) - i), 6) jaccard, round(2 * i / (len(wa) + len(wb)), 6) dice, round(i / least(len(wa), len(wb)), 6) as least, round(i / sqrt((len(wa) * len(wb))::double), 6) cosine from p"""),
     "exact_groups": (exact_groups, "select md5(text) digest, count(*) n, min(doc_id) as first from documents group by 1 having count(*) > 1"),
     "duplicate_stats": (duplicate_stats, """with g as (select md5(text) k, count(*) n, sum(n_chars) s, arg_min(n_chars, doc_id) f from documents group by 1) select sum(n)::bigint total, count(*) uniques, sum(s - f)::bigint wasted, round(count(*) / sum(n), 6) ratio from g"""),
     "user_cf_topk": (user_cf_topk, f"""with {_SIM}, t as (select u, o, round(sim, 9) sim from s qualify row_number() over (partition by u order by round(sim, 9) desc, o) <= 10), c as (select u, item, round(sum(sim * rating), 6) score from t join r on r."user" = t.o
         where not exists (select 1 from r q where q."user" = t.u and q.item = r.item) group by 1, 2) select u as "user", item, round(score, 4) score, row_number() over (partition by u order by score desc, item) as rank from c qualify rank <= 5"""),
     "user_similarity": (user_similarity, f"""with {_SIM} select u as "user", o as other, round(sim, 6) sim from s"""),
-    "baseline_ratings": (baseline_ratings, f"""with {_RATE}, m as (select avg(rating) mu from r), u as (select "user", avg(rating - mu) bu from r, m group by 1), i as (select item, avg(rating - mu) bi from r, m group by 1)
-        select "user", item, round(mu + bu + bi, 6) predicted from r join u using ("user") join i using (item), m"""),
+    "baseline_ratings": (baseline_ratings, f"""with {EV}, r as (select user_id as user, k item, avg(value) / 20 rating from ev group by 1, 2), m as (select avg(rating) mu from r where rating > 0), u as (select "user", avg(rating) bu from r where rating > 0 group by 1), i as (select item, avg(rating) bi from r where rating > 0 group by 1)
+        select "user", item, round(least(greatest(mu + coalesce(bu - mu, 0) + coalesce(bi - mu, 0), 0), 5), 6) predicted from r left join u using ("user") left join i using (item), m"""),
     "hybrid_combine": (hybrid_combine, f"""with {EV}, s as (select k item, round(0.7::double * count(*) + 0.3::double * max(value), 6) score from ev group by 1) select item, score, row_number() over (order by score desc, item) as rank from s order by score desc, item limit 12"""),
     "diversified": (diversified, """with r as (select p_partkey, p_type, p_retailprice, row_number() over (partition by p_type order by p_retailprice desc, p_partkey) i from part) select p_partkey, p_type, p_retailprice, round(p_retailprice * pow(0.9::double, i - 1), 6) adjusted from r order by adjusted desc, p_partkey limit 15"""),
     "freshness_rerank": (freshness_rerank, f"""with {OD}, m as (select max(d) as now, max(o_totalprice) as top from od), a as (select o_orderkey, (now - d)::double / 90 r, o_totalprice / top s from od, m)
-        select o_orderkey, round(s * 0.6::double + exp(-ln(2) * r) * 0.4::double, 6) blended, round(exp(-ln(2) * r), 6) exponential, round(greatest(1 - r / 2, 0), 6) linear, case when r < 1 then 1.0::double else 0.0::double end step, round(1 / (1 + log2(1 + r)), 6) logarithmic from a"""),
+        select o_orderkey, round(s * 0.6::double + exp(-ln(2) * r) * 0.4::double, 6) blended, round(exp(-ln(2) * r), 6) exponential, round(greatest(1 - r / 2, 0), 6) linear, case when r <= 1 then 1.0::double else 0.0::double end step, round(1 / (1 + log2(1 + r)), 6) logarithmic from a"""),
     "decay_scores": (decay_scores, f"""with {EV}, a as (select *, (max(t) over () - t) / {HOUR}.0::double h from ev) select event_id, round(exp(-ln(6) / 6 * h), 6) log_rate, round(greatest(1 - h / 100, 0), 6) linear, round(case when h < 24 then 1.0 when h < 168 then 0.5 else 0.1 end::double, 6) step,
         round(value / pow(h + 2, 1.8::double), 6) gravity, round(sign(floor(value) - 20) * greatest(log10(greatest(abs(floor(value) - 20), 1)), 1) + (t // 1000000 - 1114293600) / 45000, 6) hot from a"""),
     "ucb_scores": (ucb_scores, f"""with {EV}, b as (select k, avg(value / 500) m, count(*) n, sum((event_type = 'purchase')::bigint) hits from ev group by 1), a as (select count(*) c from ev)
-        select k, round(m + 1.4142135623730951::double * sqrt(ln(c) / n), 6) ucb, round((hits + 1) / (n + 2), 6) beta, round(case when n < 10 then 1.0 else least(1 + 0.5::double * log10(n / 10), 1.4::double) end, 6) trend from b, a"""),
-    "implicit_ratings": (implicit_ratings, """select event_id, round(least(case event_type when 'purchase' then 5.0 when 'signup' then 4.0 when 'view' then 3.0 when 'click' then 2.0 else 1.0 end::double * (value / 50), 5), 6) rating from events"""),
+        select k, round(m + 1.4142135623730951::double * sqrt(ln(c) / n), 6) ucb, round((hits + 1) / (n + 2), 6) beta, round(case when n < 10 then 1.0 else least(1 + 0.5::double * log10(n) / 10, 1.12::double) end, 6) trend from b, a"""),
+    "implicit_ratings": (implicit_ratings, """select event_id, round(least(case event_type when 'purchase' then 4.0 when 'signup' then 4.5 when 'view' then 2.0 when 'click' then 2.5 when 'error' then 1.0 end::double * least(greatest(value / 50, 0), 1), 5), 6) rating from events"""),
     "trend_hours": (trend_hours, f"""with {EV}, a as (select event_type, ((select max(t) // 1000000 from ev) - t // 1000000) // 3600 age from ev), c as (select event_type, age, count(*) n from a where age >= 0 and age < 24 group by 1, 2)
         select event_type, round(sum(n * exp(-ln(6) / 6 * age)), 6) decayed, round((coalesce(sum(n) filter (where age < 6), 0) - coalesce(sum(n) filter (where age >= 6 and age < 12), 0)) / 6.0::double, 6) velocity from c group by 1"""),
     "view_statistics": (view_statistics, f"with {EV} select k, count(*) views, count(distinct user_id) viewers, floor(sum(value) / count(*))::bigint mean_seconds, round(avg((event_type = 'purchase')::int), 6) completion from ev group by 1"),

@@ -166,7 +166,7 @@ def test_text(spark):
     assert one(spark, T.parse_bitrate(v), "1.5M") == 1_500_000 and one(spark, T.parse_bitrate(v), "fast") is None
     assert one(spark, T.file_size(v), 1536, "long") == "1.50 KB" and one(spark, T.standard_rate(v), 23.9, "double") == 23.976 and one(spark, T.standard_rate(v), 40.0, "double") == 40.0
     assert one(spark, T.route_params("/media/{id}/tags/{tag}", v), "/media/7/tags/x") == {"id": "7", "tag": "x"} and one(spark, T.route_params("/media/{id}", v), "/other") is None
-    assert one(spark, T.magic_format(v), bytearray(b"OggS...."), "binary") == "ogg" and one(spark, T.stem(v), "flies") == "flie"
+    assert one(spark, T.magic_format(v), bytearray(b"OggS...."), "binary") == "ogg" and [one(spark, T.stem(v), x) for x in ("flies", "running", "walked", "is", "process", "Reseed", "mixes", "éaed", "\u2019ed", "éed")] == ["flie", "runn", "walk", "is", "proc", "rese", "mixe", "éa", "\u2019", "éed"]
 
 
 def test_timecode(spark):
@@ -270,7 +270,7 @@ def test_analytics(spark):
     assert [(r["point"], r["share"], r["area"]) for r in curve.orderBy("point").collect()] == [(0, 1.0, 0.0), (1, 1.0, 5.0), (2, 0.5, 8.75)]
     row = frame(spark, [([1, 2], [9, 1, 2, 9], [])], "q array<long>, t array<long>, e array<long>")
     found = row.select(A.best_alignment(F.col("q"), F.col("t")).alias("x"), A.best_alignment(F.col("t"), F.col("q")).alias("y"), A.best_alignment(F.col("e"), F.col("t")).alias("z")).first()
-    assert (found["x"]["similarity"], found["x"]["offset"]) == (1.0, 1) and found["y"] is None and found["z"] is None
+    assert (found["x"]["similarity"], found["x"]["offset"]) == (1.0, 1) and (found["y"]["similarity"], found["y"]["offset"]) == (1 - 3 / 128, 0) and found["z"] is None
     shares = stats.proportional(frame(spark, [(1, 0.0), (2, -5.0)], "i long, w double"), "w", 10.0, uniform=True)
     assert [r["share"] for r in shares.collect()] == [5.0, 5.0]
 
@@ -314,3 +314,54 @@ def test_bucketed_joins_equal_naive_ones(spark):
     for r in intervals.as_of(points, facts, ["scope"], "t", "v", "n").collect():
         past = [f for f in known if f["scope"] == r["scope"] and f["t"] <= r["t"]]
         assert r["v"] == (max(past, key=lambda f: (f["t"], f["n"]))["v"] if past else None)
+
+
+def test_bounds_raise(spark, monkeypatch):
+    from lumenframe.operators import diffs, graphs
+
+    chain = frame(spark, [(i, i + 1) for i in range(12)], "src long, dst long")
+    calls = chain.selectExpr("src as caller", "dst as callee", "1 as time")
+    assert graphs.reachable(chain, frame(spark, [(0,)], "seed long"), 12).count() == 12 and graphs.topological_levels(chain, 13).count() == 13 and graphs.hot_path(calls, 0, 12).count() == 13
+    for run in (lambda: graphs.reachable(chain, frame(spark, [(0,)], "seed long"), 11), lambda: graphs.topological_levels(chain, 12), lambda: graphs.hot_path(calls, 0, 11)):
+        with pytest.raises(RuntimeError):
+            run()
+    monkeypatch.setattr(diffs, "MOST_KEYS", 2)
+    for n in (2, 3):
+        rows = frame(spark, [(1, f"k{i}", "v") for i in range(n)], "item long, key string, value string")
+        if n > 2:
+            with pytest.raises(ValueError, match="keys"):
+                diffs.pivot_attributes(rows)
+        else:
+            assert diffs.pivot_attributes(rows).columns == ["item", "k0", "k1"]
+
+
+def test_scores_at_their_edges(spark):
+    from lumenframe.functions import scores as SC
+
+    v = F.col("v")
+    waits = [one(spark, SC.retry_delay(v, 200, 1000, 5), i, "long") for i in range(7)]
+    assert waits == [200, 400, 800, 1000, 1000, 0, 0]
+    shaken = [one(spark, SC.retry_delay(v, 200, 10_000, 3, 0.5), i, "long") for i in range(4)]
+    assert all(w <= s < 1.5 * w for w, s in zip((200, 400, 800), shaken, strict=False)) and shaken[3] == 0 and 0 <= SC.jitter(0) < 1
+    assert [one(spark, SC.freshness(v, 10.0, "step"), x, "double") for x in (-1.0, 10.0, 10.5)] == [0.0, 1.0, 0.0] and one(spark, SC.freshness(v, 0.0, "linear"), 1.0, "double") == 0.0
+    assert [one(spark, SC.implicit_rating(v, F.lit(s)), x) for x, s in (("share", 2.0), ("view", 0.5), ("pause", -1.0), ("other", 1.0))] == [5.0, 1.0, 0.0, None]
+    assert [round(one(spark, SC.trend_multiplier(v, 100, 0.5, 2.0), x, "long"), 6) for x in (99, 100, 10**6)] == [1.0, 1.1, 1.3]
+    assert [one(spark, T.has_mojibake(v), x) for x in ("schÃ¶n", "Â", "â€™", "é")] == [True, True, False, False]
+    assert one(spark, T.has_word(v, []), "some text") is False and one(spark, T.has_word(v, ["text"]), "some text") is True
+
+
+def test_histogram_has_every_bin(spark):
+    values = frame(spark, [(x,) for x in (0, 1, 2, 99, 100, None)], "x long")
+    out = [tuple(r) for r in stats.histogram(values, "x", 4).orderBy("bin").collect()]
+    assert out == [(0, 25, 3), (1, 50, 0), (2, 75, 0), (3, 100, 2)]
+    assert [tuple(r) for r in stats.histogram(frame(spark, [(7,), (7,)], "x long"), "x", 4).collect()] == [(0, 7, 2)]
+    assert stats.histogram(values.where("x > 1000"), "x", 4).collect() == []
+
+
+def test_baseline_leaves_unrated_out(spark):
+    from lumenframe.operators import recommend
+
+    rows = frame(spark, [("a", "x", 5.0), ("a", "y", 4.0), ("b", "x", 5.0), ("b", "y", 0.0), ("c", "y", 0.0)], "user string, item string, rating double")
+    out = {(r["user"], r["item"]): round(r["predicted"], 6) for r in recommend.baseline(rows).collect()}
+    mu = 14 / 3
+    assert out == {("a", "x"): round(min(mu + 4.5 - mu + 5 - mu, 5), 6), ("a", "y"): round(4.5 + 4 - mu, 6), ("b", "x"): 5.0, ("b", "y"): round(5 + 4 - mu, 6), ("c", "y"): 4.0}
