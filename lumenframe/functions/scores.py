@@ -72,8 +72,9 @@ def beta_mean(hits: Column, misses: Column) -> Column:
 def implicit_rating(signal: Column, strength: Column) -> Column:
     """The base of the signal times its strength between 0 and 1, 5 at most; null for an unknown signal."""
     table = F.create_map(*[F.lit(x) for kv in SIGNALS.items() for x in kv])
-    held = F.least(F.greatest(strength, F.lit(0.0)), F.lit(1.0))
-    return F.when(strength.isNotNull(), F.least(F.try_element_at(table, signal) * held, F.lit(5.0)))
+    base = F.try_element_at(table, signal)
+    rating = base * F.least(F.greatest(strength, F.lit(0.0)), F.lit(1.0))
+    return F.when(base.isNotNull() & strength.isNotNull(), F.least(rating, F.lit(5.0)))
 
 
 def trend_multiplier(views: Column, least: int, weight: float, cap: float, base: float = 10.0) -> Column:
