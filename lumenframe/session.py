@@ -15,12 +15,22 @@ BROADCAST_ROWS = 500_000
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Python workers give large arrays back when they are freed, rather than hold on to them for the stages that follow.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 22), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Rows in an Arrow batch, if the session does not say: texts can be long.
+BATCH_ROWS = 2_000
+
+
 def attach(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from the driver's checkout (clusters use --py-files instead)."""
+    """Let Python workers import this package from the driver's checkout (clusters use --py-files instead), in bounded memory."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
