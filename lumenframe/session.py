@@ -16,7 +16,7 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 #: Python workers give large arrays back when they are freed, rather than hold on to them for the stages that follow.
-WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 22), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 22), "MALLOC_TRIM_THRESHOLD_": str(1 << 24), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Rows in an Arrow batch, if the session does not say: texts can be long.
 BATCH_ROWS = 2_000
 
