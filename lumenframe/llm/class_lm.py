@@ -48,7 +48,7 @@ _MARKS = frozenset(range(33, 48)) | frozenset(range(58, 65)) | frozenset(range(9
 #: Distinct words, or pairs, that a task holds before it passes them on.
 HELD = 1_000_000
 #: Tokens worked on at once; words outside the table that a task knows at once.
-CHUNK, FRESH = 1 << 20, 300_000
+CHUNK, FRESH = 1 << 18, 300_000
 
 
 def words(text: str | None) -> list[bytes]:

@@ -24,7 +24,7 @@ MAX_DOCS_PER_LANG = 3_000
 #: Most languages: each is a column of the matrix. More values mean that the labels are no languages.
 MAX_LANGS = 500
 #: Code points hashed at once; a longer text is scored piece by piece, so memory is bounded.
-SEGMENT = 1 << 17
+SEGMENT = 1 << 16
 UNDETERMINED = "und"
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint64)
