@@ -17,8 +17,6 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 #: Python workers give large arrays back when they are freed, rather than hold on to them for the stages that follow.
 WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 22), "MALLOC_TRIM_THRESHOLD_": str(1 << 24), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
-#: Rows in an Arrow batch, if the session does not say: texts can be long.
-BATCH_ROWS = 2_000
 
 
 def attach(spark: SparkSession) -> SparkSession:
@@ -29,8 +27,6 @@ def attach(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     for name, value in WORKER_MEMORY.items():
         env.setdefault(name, value)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own default
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
