@@ -145,13 +145,17 @@ def count_pairs(docs: DataFrame, exchanged: dict[bytes, int]) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Symbols(shared.value)
-        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        keys, counts, buffer = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
         for flat in known.chunks(text for frame in frames for text in frame["text"]):
             line = known.symbols(flat)
-            keys, counts = _merge(keys, counts, [line[:-1] * size + line[1:]])
-            if len(keys) > 2 * HELD:
-                yield pd.DataFrame({"a": keys // size, "b": keys % size, "n": counts})
-                keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            buffer.append(line[:-1] * size + line[1:])
+            if sum(map(len, buffer)) > 2 * HELD:
+                keys, counts = _merge(keys, counts, buffer)
+                buffer = []
+                if len(keys) > 2 * HELD:
+                    yield pd.DataFrame({"a": keys // size, "b": keys % size, "n": counts})
+                    keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        keys, counts = _merge(keys, counts, buffer)
         yield pd.DataFrame({"a": keys // size, "b": keys % size, "n": counts})
 
     pairs = docs.select("text").mapInPandas(run, "a int, b int, n long")
