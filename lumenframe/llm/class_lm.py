@@ -255,15 +255,18 @@ def exchange(pairs: DataFrame, n_words: int, classes: int = CLASSES, rounds: int
     return best[1], best[2]
 
 
+_CONTEXTS = pa.schema([("word", pa.string()), ("codes", pa.list_(pa.int32()))])
+
+
 def count_contexts(docs: DataFrame, exchanged: dict[bytes, int], of: np.ndarray) -> DataFrame:
-    """(word, context, n): how often every word outside the core stands in a context, combined within tasks only."""
+    """(word, codes): the contexts of every word outside the core, each as n * KINDS + context, combined within tasks only."""
     shared = docs.sparkSession.sparkContext.broadcast((exchanged, of))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, of = shared.value
         known = Symbols(number)
         buffer: list[np.ndarray] = []
-        for flat in known.chunks(text for frame in frames for text in frame["text"]):
+        for flat in known.chunks(text for batch in batches for text in batch.column(0).to_pylist()):
             context = of[known.symbols(flat[:-1])]
             rare = np.flatnonzero(flat[1:] >= known.first)
             buffer.append((flat[1:][rare] - known.first) * KINDS + context[rare])
@@ -273,17 +276,18 @@ def count_contexts(docs: DataFrame, exchanged: dict[bytes, int], of: np.ndarray)
         if buffer:
             yield flushed(known.names, buffer)
 
-    def flushed(names: list[bytes], buffer: list[np.ndarray]) -> pd.DataFrame:
+    def flushed(names: list[bytes], buffer: list[np.ndarray]) -> pa.RecordBatch:
         keys, n = np.unique(np.concatenate(buffer), return_counts=True)
-        word, where = np.unique(keys // KINDS, return_inverse=True)
-        spelled = np.array([names[i].decode("utf-8", "replace") for i in word.tolist()], dtype=object)
-        return pd.DataFrame({"word": spelled[where], "context": (keys % KINDS).astype(np.int32), "n": n})
+        word, first = np.unique(keys // KINDS, return_index=True)
+        spelled = pa.array([names[i].decode("utf-8", "replace") for i in word.tolist()], pa.string())
+        codes = pa.ListArray.from_arrays(np.append(first, len(keys)).astype(np.int32), pa.array((n * KINDS + keys % KINDS).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([spelled, codes], schema=_CONTEXTS)
 
-    return docs.select("text").mapInPandas(run, "word string, context int, n long")
+    return docs.select("text").mapInArrow(run, "word string, codes array<int>")
 
 
 def assign(contexts: DataFrame, joint: np.ndarray) -> DataFrame:
-    """Every word of contexts(word, context, n) with its count and its class: (word, n, class, null).
+    """Every word of contexts(word, codes) with its count and its class: (word, n, class, null).
 
     A word that occurs twice or more goes to the learned class that makes its occurrences most
     likely, one that occurs once to the class of its shape. Rows without a word have, for a part of
@@ -292,45 +296,46 @@ def assign(contexts: DataFrame, joint: np.ndarray) -> DataFrame:
     learned = joint[:, :CLASSES] + 0.5
     shared = contexts.sparkSession.sparkContext.broadcast((np.log(learned / learned.sum(axis=1, keepdims=True)), np.log(learned.sum(axis=0))))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, size = shared.value
         sums = np.zeros((KINDS, KINDS))
-        for frame in _whole_words(frames):
-            word, context, n = frame["word"].to_numpy(), frame["context"].to_numpy(), frame["n"].to_numpy(dtype=np.int64)
-            new = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            place = np.cumsum(np.r_[False, word[1:] != word[:-1]])
-            for at in range(0, len(new), 1 << 16):  # a matrix of words by contexts at a time
-                upto = min(at + (1 << 16), len(new))
-                rows = slice(new[at], new[upto] if upto < len(new) else len(word))
-                held = np.bincount((place[rows] - at) * KINDS + context[rows], weights=n[rows], minlength=(upto - at) * KINDS).reshape(-1, KINDS)
-                total, names = held.sum(axis=1), word[new[at:upto]]
-                cls = (held @ table - total[:, None] * size).argmax(axis=1)
-                once = np.flatnonzero(total == 1)
-                cls[once] = [CLASSES + shape(w.encode()) for w in names[once]]
-                np.add.at(sums.T, cls, held)
-                yield pd.DataFrame({"word": names, "n": total.astype(np.int64), "class": cls, "context": pd.Series(None, index=range(len(names)), dtype="Int32")})
+        for names, held in _by_word(batches):
+            total = held.sum(axis=1)
+            cls = (held @ table - total[:, None] * size).argmax(axis=1)
+            once = np.flatnonzero(total == 1)
+            cls[once] = [CLASSES + shape(w.encode()) for w in names[once]]
+            np.add.at(sums.T, cls, held)
+            yield rows(names, total, cls, None)
         context, cls = np.nonzero(sums)
-        yield pd.DataFrame({"word": pd.Series(None, index=range(len(cls)), dtype=object), "n": sums[context, cls].astype(np.int64), "class": cls, "context": context})
-
-    # Summed where they are dealt to, so that a word has KINDS rows at most however many tasks have seen it.
-    summed = contexts.repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
-    return summed.sortWithinPartitions("word").mapInPandas(run, "word string, n long, class int, context int")
-
-
-def _whole_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of a partition that is sorted by word, cut only between words."""
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        if not len(frame):
-            continue
-        word = frame["word"].to_numpy()
-        cut = int(np.argmax(word == word[-1]))
-        if cut or (held and held[-1]["word"].iloc[-1] != word[-1]):
-            yield pd.concat([*held, frame.iloc[:cut]], ignore_index=True)
-            held = []
-        held.append(frame.iloc[cut:])
-    if held:
-        yield pd.concat(held, ignore_index=True)
+        yield rows(None, sums[context, cls], cls, context)
+
+    def rows(names: np.ndarray | None, n: np.ndarray, cls: np.ndarray, context: np.ndarray | None) -> pa.RecordBatch:
+        word = pa.nulls(len(n), pa.string()) if names is None else pa.array(names, pa.string())
+        place = pa.nulls(len(n), pa.int32()) if context is None else pa.array(context.astype(np.int32))
+        return pa.RecordBatch.from_arrays([word, pa.array(n.astype(np.int64)), pa.array(cls.astype(np.int32)), place], ["word", "n", "class", "context"])
+
+    return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, n long, class int, context int")
+
+
+def _by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of a partition that is sorted by word, with their tokens by context; a word has one vector here however many tasks have seen it."""
+    last, sums = None, None
+    for batch in (part.slice(at, 1 << 14) for part in batches for at in range(0, part.num_rows, 1 << 14)):
+        word = np.array(batch.column(0).to_pylist(), dtype=object)
+        starts = np.r_[True, word[1:] != word[:-1]]
+        names, place = word[starts], np.cumsum(starts) - 1
+        codes = batch.column(1).flatten().to_numpy().astype(np.int64)
+        place = np.repeat(place, batch.column(1).value_lengths().to_numpy())
+        held = np.bincount(place * KINDS + codes % KINDS, weights=codes // KINDS, minlength=len(names) * KINDS).reshape(-1, KINDS)
+        if last is not None and names[0] == last:
+            held[0] += sums
+        elif last is not None:
+            names, held = np.append([last], names), np.vstack([sums, held])
+        last, sums = names[-1], held[-1].copy()
+        if len(names) > 1:
+            yield names[:-1], held[:-1]
+    if last is not None:
+        yield np.array([last], dtype=object), sums[None]
 
 
 class Model:
