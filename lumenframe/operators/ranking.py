@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators.order import positions
+from lumenframe.operators.similarity import fuzzy_names
 from lumenframe.session import broadcast_if_small
 
 #: Words that the tokenizer drops (fixed values).
@@ -112,15 +114,12 @@ def autocomplete(vocab: DataFrame, prefix: str, k: int) -> DataFrame:
 
 
 def suggest(vocab: DataFrame, asked: DataFrame, distance: int = 2) -> DataFrame:
-    """(word, term, score): terms of vocab within an edit distance of asked(word), the word itself left out.
+    """(word, term, score): terms of vocab within an edit distance of asked(word), each once, the word itself left out.
 
-    Candidates meet by length bands and the words of a query are few, so that side is broadcast once it is counted; score is
-    1 less the distance by the longer length.
+    Words and terms meet by the pieces of similarity.fuzzy_names; score is 1 less the distance by the longer length.
     """
-    rows = vocab.join(broadcast_if_small(asked, 10_000), F.abs(F.length("term") - F.length("word")) <= distance)
-    d = F.levenshtein(F.col("word"), F.col("term"))
-    found = rows.withColumn("_d", d).where((F.col("_d") <= distance) & (F.col("term") != F.col("word")))
-    return found.select("word", "term", (1 - F.col("_d") / F.greatest(F.length("word"), F.length("term"))).alias("score"))
+    met = fuzzy_names(asked.select(F.col("word").alias("a")), vocab.select(F.col("term").alias("b")), distance)
+    return met.where("a <> b").select(F.col("a").alias("word"), F.col("b").alias("term"), "score")
 
 
 def auto_correct(vocab: DataFrame, asked: DataFrame, distance: int = 2) -> DataFrame:
@@ -136,12 +135,18 @@ def expand_synonyms(query: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def interleave(lists: Sequence[DataFrame], score: str, tie: str) -> DataFrame:
-    """Round-robin union of ranked lists, without removing repeats: item columns with place from 1."""
-    ranked = None
+    """Round-robin union of ranked lists, without removing repeats: item columns with place from 1.
+
+    Before the row at position p of a list stand the first p - 1 rows of every list and the p-th of the lists before it.
+    """
+    sizes = [df.count() for df in lists]
+    out = None
     for i, df in enumerate(lists):
-        one = df.withColumns({"_pos": F.row_number().over(Window.orderBy(F.desc(score), tie)), "_src": F.lit(i)})
-        ranked = one if ranked is None else ranked.unionByName(one)
-    return ranked.withColumn("place", F.row_number().over(Window.orderBy("_pos", "_src"))).drop("_pos", "_src")
+        p = F.col("place")
+        earlier = [F.least(p - 1, F.lit(n)) for n in sizes] + [(p <= n).cast("long") for n in sizes[:i]]
+        one = positions(df, "place", F.desc(score), tie).withColumn("place", sum(earlier, F.lit(1)))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def field_boost(df: DataFrame, fields: str, boosts: Mapping[str, float], score: str) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from lumenframe.operators.order import positions, range_parts
+
 #: How a percentile p (0 to 100) of n sorted values picks an index from 0.
 INDEX_RULES = {
     "nearest": lambda n, p: F.greatest(F.ceil(n * p / 100.0) - 1, F.lit(0)),
@@ -75,14 +77,33 @@ def tukey_outliers(df: DataFrame, value: str, by: Sequence[str] = (), least: int
     return joined.where((F.col("_n") >= least) & over(1.5)).withColumn("severity", F.when(over(3.0), "extreme").otherwise("mild")).drop("_n", "_q")
 
 
-def mann_kendall(df: DataFrame, value: str, at: str) -> DataFrame:
-    """One row (n, s, variance, z) of the trend test over (at, value); ties of value correct the variance.
+def _concordance(rows: DataFrame) -> DataFrame:
+    """One row (s): the sum of sign(later v - earlier v) over the pairs of rows(a, v) with different a.
 
-    The pairs are taken over rows of an aggregated series (hours, days), whose number does not grow with the events.
+    Two values first differ at one bit of their ranks, so a pair is counted at that bit, among the rows of equal higher bits: rows by
+    logarithm of the values. Such a group is cut into ranges of a; what stands in earlier ranges is known from their totals.
     """
+    ranks = positions(rows.select("v").distinct(), "r", "v")
+    top = ranks.count()
+    ranked = range_parts(rows, "a").join(ranks, "v")
+    bits = F.explode(F.sequence(F.lit(0), F.lit(max(0, top.bit_length() - 1)))).alias("b")
+    each = ranked.select("a", "_part", "r", bits).select("a", "_part", "b", F.expr("shiftright(r, b + 1)").alias("g"), F.expr("shiftright(r, b) & 1").alias("one"))
+    counts = each.groupBy("b", "g", "_part", "a").agg(F.sum("one").alias("ones"), F.sum(1 - F.col("one")).alias("zeros"))
+    inside = Window.partitionBy("b", "g", "_part").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("b", "g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+    def crossed(df: DataFrame, frame: WindowSpec) -> DataFrame:
+        before = {c: F.coalesce(F.sum(c).over(frame), F.lit(0)) for c in ("ones", "zeros")}
+        return df.select((F.col("ones") * before["zeros"] - F.col("zeros") * before["ones"]).alias("s"))
+
+    totals = counts.groupBy("b", "g", "_part").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    return crossed(counts, inside).unionAll(crossed(totals, over)).agg(F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("s"))
+
+
+def mann_kendall(df: DataFrame, value: str, at: str) -> DataFrame:
+    """One row (n, s, variance, z) of the trend test over (at, value); ties of value correct the variance. Rows with a null take no part."""
     rows = df.select(F.col(at).alias("a"), F.col(value).alias("v")).where("a is not null and v is not null")
-    pairs = rows.alias("x").join(rows.alias("y"), F.col("x.a") < F.col("y.a"))
-    s = pairs.agg(F.coalesce(F.sum(F.signum(F.col("y.v") - F.col("x.v"))), F.lit(0.0)).cast("long").alias("s"))
+    s = _concordance(rows)
     n = rows.agg(F.count("*").alias("n"))
     t = F.col("t").cast("double")
     ties = rows.groupBy("v").agg(F.count("*").alias("t")).agg(F.sum(t * (t - 1) * (2 * t + 5)).alias("ties"))

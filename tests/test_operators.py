@@ -365,3 +365,53 @@ def test_baseline_leaves_unrated_out(spark):
     out = {(r["user"], r["item"]): round(r["predicted"], 6) for r in recommend.baseline(rows).collect()}
     mu = 14 / 3
     assert out == {("a", "x"): round(min(mu + 4.5 - mu + 5 - mu, 5), 6), ("a", "y"): round(4.5 + 4 - mu, 6), ("b", "x"): 5.0, ("b", "y"): round(5 + 4 - mu, 6), ("c", "y"): 4.0}
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_trend_counts_every_pair(spark):
+    rows = [(i * 37 % 53, (i * i * 29) % 17 - 5) for i in range(120)] + [(None, 1), (3, None)]
+    plain = [r for r in rows if None not in r]
+    want = sum((y[1] > x[1]) - (y[1] < x[1]) for x in plain for y in plain if x[0] < y[0])
+    out = stats.mann_kendall(spark.createDataFrame(rows, "a int, v int"), "v", "a").first()
+    assert (out["n"], out["s"]) == (len(plain), want)
+    none = stats.mann_kendall(spark.createDataFrame([], "a int, v int"), "v", "a").first()
+    assert (none["n"], none["s"], none["z"]) == (0, 0, 0.0)
+
+
+def test_interleaved_lists_of_any_length(spark):
+    sizes, lists = [5, 0, 9, 2], []
+    for i, n in enumerate(sizes):
+        lists.append([(100 * i + j, float((j * 7) % 5)) for j in range(n)])
+    ranked = [sorted(rows, key=lambda r: (-r[1], r[0])) for rows in lists]
+    want = [rows[p][0] for p in range(max(sizes)) for rows in ranked if p < len(rows)]
+    out = ranking.interleave([spark.createDataFrame(rows, "id long, s double") for rows in lists], "s", "id")
+    assert [r["id"] for r in out.orderBy("place").collect()] == want
+    assert sorted(r["place"] for r in out.collect()) == list(range(1, 17))
+
+
+def test_suggestions_lose_nothing(spark):
+    terms = ["", "a", "ab", "their", "tier", "thier", "ion", "tion", "nation", "with", "white", "whit", "éa", "their"]
+    asked = ["thier", "tion", "wiht", "a", "zzzzzz"]
+    want = {(w, t) for w in asked for t in terms if w != t and _edits(w, t) <= 2}
+    out = ranking.suggest(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(w,) for w in asked], "word string")).collect()
+    assert {(r["word"], r["term"]) for r in out} == want and len(out) == len(want)
+    assert all(math.isclose(r["score"], 1 - _edits(r["word"], r["term"]) / max(len(r["word"]), len(r["term"]))) for r in out)
+
+
+def test_ratio_of_the_two_nearest(spark):
+    rows = [(i, (i * 2654435761) % (1 << 32)) for i in range(60)] + [(100, 5), (101, 5), (102, 4)]
+    want = set()
+    for q, c in rows:
+        (best, item), (second, _) = sorted((bin(c ^ d).count("1"), i) for i, d in rows if i != q)[:2]
+        if best <= 12 and second > 0 and best < 0.95 * second:
+            want.add((q, item, best, second))
+    codes = spark.createDataFrame(rows, "id long, code long")
+    assert want and {tuple(r) for r in similarity.ratio_match(codes, codes, "id", "code", 12, 0.95).collect()} == want
