@@ -5,8 +5,9 @@ Each is bounded by the rows of one key (a frame, a user, a track), which is the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -167,12 +168,12 @@ def nearest_tour(points: DataFrame) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id").reset_index(drop=True)
-        left, order = list(range(1, len(rows))), [0]
-        gap: Callable = lambda a, b: sum((x - y) ** 2 for x, y in zip(rows["v"][a], rows["v"][b], strict=True))
-        while left:
-            best = min(left, key=lambda j: (gap(order[-1], j), rows["id"][j]))
-            left.remove(best)
-            order.append(best)
+        v, order = np.array(rows["v"].tolist(), dtype=float), [0]
+        met = np.zeros(len(rows), dtype=bool)
+        for _ in range(len(rows) - 1):
+            met[order[-1]] = True
+            gap = ((v - v[order[-1]]) ** 2).sum(axis=1)
+            order.append(int(np.where(met, np.inf, gap).argmin()))
         return pd.DataFrame({"path": rows["path"][0], "id": rows["id"][order].to_numpy(), "place": range(len(order))})
 
     return points.groupBy("path").applyInPandas(run, "path long, id long, place long")

@@ -172,16 +172,39 @@ def sketch_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("event_type").agg(F.percentile_approx("value", [0.5, 0.95, 0.99], 10000).alias("p")).select("event_type", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"))
 
 
+def _fold(rows: str, key: str, order: str, first: str, step: str, out: str, state: str) -> str:
+    """SQL of a fold: rows of a key o in order, each with the state that step makes of it and the state r before."""
+    return f"""with recursive {EV}, i as ({rows}), o as (select *, row_number() over (partition by {key} order by {order}) rn from i),
+        r as (select o.*, {first} from o where rn = 1 union all select o.*, {step} from r join o on o.{key} = r.{key} and o.rn = r.rn + 1) select {out} from r {state}"""
+
+
+_REQUESTS = "select user_id as \"user\", event_id as id, t / 1e6 as tm from ev"
+_NEXT = "case " + " ".join(f"when {{s}} = '{was}' and o.event = '{e}' then '{now}'" for (was, e), now in TRANSITIONS.items()) + " else {s} end"
+_STATES = ("select user_id as key, event_id as id, t as tm, event_type as event from ev", "key", "tm, id", _NEXT.format(s="'new'") + " as state", _NEXT.format(s="r.state"))
+_TOKENS = "least(2e0, r.tokens + (o.tm - r.tm) * (1 / 86400e0))"
+_RECENT = "list_filter(r.accepted, lambda x: o.tm - x < 172800e0)"
+_CUT = "r.size >= 2 and o.distance > 60"
+
 QUERIES = {
-    "token_bucket": (token_bucket, None),
-    "sliding_quota": (sliding_quota, None),
+    "token_bucket": (token_bucket, _fold(_REQUESTS, '"user"', "tm, id", "true as allowed, 1e0 as tokens", f"{_TOKENS} >= 1, {_TOKENS} - ({_TOKENS} >= 1)::int", '"user", id, allowed', "")),
+    "sliding_quota": (sliding_quota, _fold(
+        _REQUESTS, '"user"', "tm, id", "'allow' as decision, [tm] as accepted, 0 as denied",
+        f"case when len({_RECENT}) < 2 then 'allow' when r.denied < 1 then 'throttle' else 'reject' end, case when len({_RECENT}) < 2 then list_append({_RECENT}, o.tm) else {_RECENT} end, case when len({_RECENT}) < 2 then 0 else r.denied + 1 end",
+        '"user", id, decision', "",
+    )),
     "box_suppression": (box_suppression, None),
-    "merged_tracks": (merged_tracks, None),
-    "smoothed_levels": (smoothed_levels, None),
-    "run_states": (run_states, None),
-    "scaled_fleet": (scaled_fleet, None),
+    "merged_tracks": (merged_tracks, _fold(
+        "select conv_id as track, turn as id, turn * 100 as s, turn * 100 + length(text) as e, role as source from conversations", "track", "s, source, id", "true as kept, e as upto",
+        "o.s >= r.upto, case when o.s >= r.upto then o.e else r.upto end", "track, id", "where kept",
+    )),
+    "smoothed_levels": (smoothed_levels, _fold("select user_id as channel, event_id as i, value as level from ev", "channel", "i", "case when level > 0 then 0.5e0 else 0.1e0 end * level as now",
+        "r.now + case when o.level > r.now then 0.5e0 else 0.1e0 end * (o.level - r.now)", "channel, i, round(now, 6) smooth", "")),
+    "run_states": (run_states, _fold(*_STATES, "key, id, state", "")),
+    "scaled_fleet": (scaled_fleet, _fold("select user_id as fleet, event_id as i, value as load from ev", "fleet", "i", "case when load > 80 then 2 else 1 end::bigint as size",
+        "case when o.load > 80 then least(5, r.size + 1) when o.load < 20 then greatest(1, r.size - 1) else r.size end", "fleet, i, size", "")),
     "nearest_tour": (nearest_tour, None),
-    "scene_groups": (scene_groups, None),
+    "scene_groups": (scene_groups, _fold("select user_id as video, event_id as i, value as distance from ev", "video", "i", "0::bigint as scene, 1 as size",
+        f"r.scene + ({_CUT})::int, case when {_CUT} then 1 else r.size + 1 end", "video, i, scene", "")),
     "fingerprints": (fingerprints, None),
     "caption_round_trip": (caption_round_trip, """select conv_id, row_number() over (partition by conv_id order by turn) as n, turn * 1000 as start_ms, md5(regexp_replace(text, '\\s+', ' ', 'g')) digest from conversations"""),
     "playlists": (playlists, """select p_brand, md5('#EXTM3U' || chr(10) || string_agg('#EXTINF:' || p_size || ',' || p_name || chr(10) || 'part/' || p_partkey, chr(10) order by p_partkey) || chr(10)) digest from part group by 1"""),
@@ -191,7 +214,7 @@ QUERIES = {
         select user_id, min(t) start_us, count(*) n from s group by user_id, x"""),
     "stream_dedup": (stream_dedup, "select event_id, user_id from events"),
     "stream_alerts": (stream_alerts, "select event_id, value from events where value > 150"),
-    "stream_states": (stream_states, None),
+    "stream_states": (stream_states, _fold(*_STATES, "key as user_id, arg_max(state, rn) as state, max(rn) as n", "group by key")),
     "kmeans": (kmeans, None),
     "als": (als, None),
     "sketch_percentiles": (sketch_percentiles, None),
