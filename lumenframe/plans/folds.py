@@ -205,7 +205,8 @@ QUERIES = {
     "nearest_tour": (nearest_tour, None),
     "scene_groups": (scene_groups, _fold("select user_id as video, event_id as i, value as distance from ev", "video", "i", "0::bigint as scene, 1 as size",
         f"r.scene + ({_CUT})::int, case when {_CUT} then 1 else r.size + 1 end", "video, i, scene", "")),
-    "fingerprints": (fingerprints, None),
+    "fingerprints": (fingerprints, """select page_id, lower(lpad(to_hex(list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(string_split(url, ''), lambda c: ord(c)::hugeint)),
+        lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint)::ubigint), 16, '0')) digest from pages"""),
     "caption_round_trip": (caption_round_trip, """select conv_id, row_number() over (partition by conv_id order by turn) as n, turn * 1000 as start_ms, md5(regexp_replace(text, '\\s+', ' ', 'g')) digest from conversations"""),
     "playlists": (playlists, """select p_brand, md5('#EXTM3U' || chr(10) || string_agg('#EXTINF:' || p_size || ',' || p_name || chr(10) || 'part/' || p_partkey, chr(10) order by p_partkey) || chr(10)) digest from part group by 1"""),
     "stream_tumbling": (stream_tumbling, f"with {EV} select t // {DAY} as day, event_type, count(*) n, round(sum(value), 6) total from ev group by 1, 2"),

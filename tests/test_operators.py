@@ -415,3 +415,21 @@ def test_ratio_of_the_two_nearest(spark):
             want.add((q, item, best, second))
     codes = spark.createDataFrame(rows, "id long, code long")
     assert want and {tuple(r) for r in similarity.ratio_match(codes, codes, "id", "code", 12, 0.95).collect()} == want
+
+
+def test_digests_by_plain_loops(spark):
+    def fnv(data, h):
+        for b in data:
+            h = ((h ^ b) * 0x100000001B3) % (1 << 64)
+        return h
+
+    texts = [None, "", "é", *("x" * (i % 23) + str(i) for i in range(40)), "long " * 300]
+    rows = spark.createDataFrame([(i, t, None if t is None else t.encode()) for i, t in enumerate(texts)], "i int, t string, b binary").coalesce(1)
+    for r in rows.select("t", T.fnv1a("t").alias("f"), T.content_id("b").alias("c")).collect():
+        if r["t"] is None:
+            assert r["f"] is None and r["c"] is None
+            continue
+        data = r["t"].encode()
+        assert r["f"] == f"{fnv(data, 0xCBF29CE484222325):016x}"
+        lanes = (fnv(data[::2], 0xCBF29CE484222325), fnv(data[1::2], 0xAF63DC4C8601EC8C))
+        assert r["c"] == b"".join(x.to_bytes(8, "little") for x in lanes).hex()
