@@ -433,3 +433,28 @@ def test_digests_by_plain_loops(spark):
         assert r["f"] == f"{fnv(data, 0xCBF29CE484222325):016x}"
         lanes = (fnv(data[::2], 0xCBF29CE484222325), fnv(data[1::2], 0xAF63DC4C8601EC8C))
         assert r["c"] == b"".join(x.to_bytes(8, "little") for x in lanes).hex()
+
+
+def test_tours_and_boxes_by_plain_loops(spark):
+    points = [(p, 10 * i + p, [float((i * 7 + p) % 11), float((i * 5) % 3)]) for p in (1, 2) for i in range(20)]
+    want = set()
+    for path in (1, 2):
+        left = {i: v for p, i, v in points if p == path}
+        now = min(left)
+        for place in range(20):
+            v = left.pop(now)
+            want.add((path, now, place))
+            now = min(left, key=lambda i, v=v: (math.dist(v, left[i]) ** 2, i), default=None)
+    assert {tuple(r) for r in folds.nearest_tour(spark.createDataFrame(points, "path long, id long, v array<double>")).collect()} == want
+    alone = folds.nearest_tour(spark.createDataFrame([(3, 7, [1.0])], "path long, id long, v array<double>")).collect()
+    assert [tuple(r) for r in alone] == [(3, 7, 0)]
+
+    boxes = [(f, i, float(i * 13 % 40), float(i * 7 % 30), 12, 9, float(i * 31 % 17)) for f in (0, 1) for i in range(30)]
+    cells = {(f, i): {(a, b) for a in range(int(x), int(x) + w) for b in range(int(y), int(y) + h)} for f, i, x, y, w, h, _ in boxes}
+    kept = []
+    for f, i, *_, _score in sorted(boxes, key=lambda b: (-b[6], b[1])):
+        mine = cells[f, i]
+        if all(g != f or len(mine & cells[g, j]) / len(mine | cells[g, j]) <= 0.3 for g, j in kept):
+            kept.append((f, i))
+    rows = spark.createDataFrame([(f, i, x, y, float(w), float(h), s) for f, i, x, y, w, h, s in boxes], "frame long, id long, x double, y double, w double, h double, score double")
+    assert {(r["frame"], r["id"]) for r in folds.suppress_overlaps(rows, 0.3).collect()} == set(kept)
