@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dup
-from lumenframe.session import attach, shared_folder
+from lumenframe.session import attach, checkpointed, release, shared_folder
 
 #: Near copies: words of a shingle and Jaccard similarity of the shingle sets.
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
@@ -51,8 +51,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8), that of the smallest doc_id."""
     attach(spark)
+    release(spark)
     rows = packed(docs).withColumn("r", F.xxhash64("text"))
     stays = near_dup.representatives(rows, NEAR_WORDS, NEAR_SIMILARITY).select(F.col("doc_id").alias("stay_id"), F.col("r").alias("stay_r"))
+    stays = checkpointed(stays)
+    release(spark)
     met = rows.join(stays, (F.col("r") == F.col("stay_r")) & F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
     return unpacked(met.dropDuplicates(["doc_id", "r"]), docs)
 

@@ -12,6 +12,10 @@ Lists of more than MEMBERS sets are those of large groups of near copies. They a
 as that would take a square number of pairs: each member is proposed with the members next to it by
 size and with the list's hub, the set of the most common shingles, which is the text that the others
 are copies of if that is there. All proposals are verified; their components hold the group.
+
+A pair is verified only if the sketches of its sets allow it. A sketch has the parity of the number
+of shingles in each of BITS slots; every slot that differs is a shingle that only one set has, so
+pairs too far apart are told without the sets, and no other pair is.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators.components import connected_components
-from lumenframe.session import broadcast_if_small, checkpointed
+from lumenframe.session import broadcast_if_small, checkpointed, release
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -35,6 +39,8 @@ HELD = 1_000_000
 KNOWN = 1 << 18
 #: A longer list is not enumerated; places up to which its members are proposed with each other then.
 MEMBERS, PLACES = 16, 8
+#: Slots of a sketch.
+BITS = 1024
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], dtype=np.uint64)
 
 
@@ -68,16 +74,22 @@ def simhash(found: np.ndarray) -> int:
     return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(found), bitorder="little").view("<i8")[0])
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of BITS slots."""
+    return np.packbits((np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def keys(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs(doc_id, text) with k, the node of text, and fp, the SimHash of its shingle set."""
+    """docs(doc_id, text) with k, the node of text, fp, the SimHash of its shingle set, n, the set's size, and its sketch."""
 
-    @F.pandas_udf("k long, fp long")
+    @F.pandas_udf("k long, fp long, n int, sketch binary")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in texts:
             found = [shingles(x, words) for x in series]
-            yield pd.DataFrame({"k": [key(x) for x in found], "fp": [simhash(x) for x in found]}, dtype="int64")
+            numbers = pd.DataFrame({"k": [key(x) for x in found], "fp": [simhash(x) for x in found], "n": [len(x) for x in found]}, dtype="int64")
+            yield numbers.assign(sketch=pd.Series([sketch(x) for x in found], dtype=object))
 
-    return docs.select("doc_id", "text", run("text").alias("s")).select("doc_id", "text", "s.k", "s.fp")
+    return docs.select("doc_id", "text", run("text").alias("s")).select("doc_id", "text", "s.*")
 
 
 def frequent(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -184,11 +196,54 @@ def candidates(lists: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return tallied.where(F.col("proposed") | (F.col("c") + untold >= least)).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity."""
+def _apart(m: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Most shingles that only one of two sets of these sizes has if they have the similarity; -1 if no such sets can."""
+    both = np.ceil(similarity * (m + n) / (1 + similarity) - 1e-6)
+    return np.where(both <= np.minimum(m, n), m + n - 2 * both, -1)
+
+
+def _slots(sketches: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(-1, BITS // 64)
+
+
+def allowed(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) that the sketches of nodes(k, n, sketch) allow to have the similarity."""
+
+    @F.pandas_udf("boolean")
+    def near(m: pd.Series, n: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(np.bitwise_count(_slots(x) ^ _slots(y)).sum(axis=1) <= _apart(m.to_numpy(), n.to_numpy(), similarity))
+
+    one, two = (nodes.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").where(near("na", "nb", "sa", "sb")).select("a", "b")
+
+
+def _table(needed: DataFrame) -> np.ndarray:
+    """Bits that tell almost all longs r that needed(r) lacks, and none that it has: 16 or more for each r up to 2**23 of them."""
+    bits = 1 << max(16, min(27, int(16 * max(1, needed.count()) - 1).bit_length()))
+    place = F.col("r").bitwiseAND(F.lit(bits - 1))
+    bit = F.expr("shiftleft(1L, cast(r & 63 as int))")
+    rows = needed.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(bits // 64, dtype=np.int64)
+    table[rows["w"].to_numpy()] = rows["bits"].to_numpy()
+    return table.view(np.uint64)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of nodes(k, r) whose sets have the similarity; r is xxhash64 of one text of the node, the only one whose set is made."""
+    needed = checkpointed(pairs.select(F.col("a").alias("k")).unionAll(pairs.select("b")).distinct().join(nodes.select("k", "r"), "k").select("r"))
+    shared = docs.sparkSession.sparkContext.broadcast(_table(needed))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = shared.value
+        seen: set[int] = set()  # copies within a task go out once
         for frame in frames:
+            r = frame["r"].to_numpy(dtype=np.int64).view(np.uint64)
+            place = r & np.uint64(64 * len(table) - 1)
+            frame = frame[(table[place >> np.uint64(6)] >> (r & np.uint64(63))) & np.uint64(1) == 1].drop_duplicates("r")
+            frame = frame[np.array([x not in seen for x in frame["r"].tolist()], dtype=bool)]
+            if len(seen) > HELD:
+                seen.clear()
+            seen.update(frame["r"].tolist())
             found = [shingles(x, words) for x in frame["text"]]
             yield pd.DataFrame({"k": pd.Series([key(x) for x in found], dtype="int64"), "s": pd.Series([x.tobytes() for x in found], dtype=object)})
 
@@ -201,16 +256,20 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, similarity:
             out.append(both / (len(p) + len(q) - both))
         return pd.Series(out, dtype=float)
 
-    needed = checkpointed(pairs.select(F.col("a").alias("k")).unionAll(pairs.select("b")).distinct())
-    sets = docs.select("text").mapInPandas(run, "k long, s binary").join(broadcast_if_small(needed), "k", "left_semi")
+    sets = docs.select("text", F.xxhash64("text").alias("r")).mapInPandas(run, "k long, s binary")
     sets = checkpointed(sets.dropDuplicates(["k"]))
     met = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
     return checkpointed(met.where(jaccard("x", "y") >= similarity - 1e-9).select("a", "b"))
 
 
-def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, proposed: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) of nodes of docs(text) that have the similarity, from the lists and from the pairs (a, b) of proposed."""
-    found = candidates(postings(docs, words, similarity), similarity)
+def links(docs: DataFrame, nodes: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, proposed: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) of nodes(k, r, n, sketch) of docs(text) that have the similarity, from the lists and from the pairs (a, b) of proposed."""
+    lists = postings(docs, words, similarity)
+    release(docs.sparkSession)
+    found = candidates(lists, similarity)
     if proposed is not None:
         found = found.unionAll(proposed.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
-    return verified(checkpointed(found), docs, words, similarity)
+    found = checkpointed(allowed(found, nodes, similarity))
+    del lists
+    release(docs.sparkSession)
+    return verified(found, docs, nodes, words, similarity)

@@ -203,14 +203,14 @@ def representatives(docs: DataFrame, words: int = 3, similarity: float | None =
         nodes = checkpointed(marked.groupBy("k").agg(F.min(place).alias("least")))
         roots = connected_components(links(nodes.select(F.col("k").alias("fp"))))
     else:
-        marked = near_copies.keys(docs, words).select("doc_id", F.xxhash64("text").alias("r"), "k", "fp")
-        nodes = checkpointed(marked.groupBy("k").agg(F.min(place).alias("least"), F.min("fp").alias("fp")))
+        marked = near_copies.keys(docs, words).select("doc_id", F.xxhash64("text").alias("r"), "k", "fp", "n", "sketch")
+        nodes = checkpointed(marked.groupBy("k").agg(F.min(place).alias("least"), *[F.min(c).alias(c) for c in ("fp", "n", "sketch")]))
         heads = checkpointed(nodes.groupBy("fp").agg(F.min("k").alias("k")))
         same = nodes.select("fp", F.col("k").alias("b")).join(heads.withColumnRenamed("k", "a"), "fp").select("a", "b").where("a <> b")
         ends = links(heads.select("fp"))
         met = ends.join(heads.select(F.col("fp").alias("a"), F.col("k").alias("ka")), "a").join(heads.select(F.col("fp").alias("b"), F.col("k").alias("kb")), "b")
         proposed = checkpointed(same.unionAll(met.select("ka", "kb")))
-        roots = connected_components(near_copies.links(docs, words, similarity, proposed))
+        roots = connected_components(near_copies.links(docs, nodes.select("k", "least.r", "n", "sketch"), words, similarity, proposed))
     rooted = nodes.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("least", F.coalesce("root", "k").alias("root"))
     return rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.r")
 

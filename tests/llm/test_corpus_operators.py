@@ -395,3 +395,25 @@ def test_pipeline_finds_large_groups_of_near_copies(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.keep_one(spark, frame, SF).collect()}
     assert set(top.values()) <= kept
     assert len(rows) - len(kept) >= 0.9 * (len(rows) - len(set(top.values())))
+
+
+def test_sketches_and_tables_reject_no_pair_and_no_text(spark):
+    from lumenframe.llm import near_copies
+
+    rng = np.random.default_rng(6)
+    pairs, sets, near = [], [], []
+    for i in range(300):
+        a = rng.integers(1 << 63, size=rng.integers(1, 400), dtype=np.uint64)
+        b = np.unique(np.r_[a[: max(1, int(len(a) * rng.uniform(0.5, 1)))], rng.integers(1 << 63, size=rng.integers(0, 1 + len(a) // 4), dtype=np.uint64)])
+        sets += [np.unique(a), b]
+        same = len(np.intersect1d(*sets[-2:], assume_unique=True))
+        pairs.append((2 * i, 2 * i + 1))
+        near.append(same >= 0.8 * (len(sets[-1]) + len(sets[-2]) - same))
+    nodes = spark.createDataFrame([(i, len(x), near_copies.sketch(x)) for i, x in enumerate(sets)], "k long, n int, sketch binary")
+    left = {tuple(r) for r in near_copies.allowed(spark.createDataFrame(pairs, "a long, b long"), nodes).collect()}
+    assert {p for p, n in zip(pairs, near, strict=True) if n} <= left and len(left) < 1.3 * sum(near)
+    r = rng.integers(-(1 << 63), (1 << 63) - 1, size=5000)
+    table = near_copies._table(spark.createDataFrame([(int(x),) for x in r], "r long"))
+    place = r.view(np.uint64) & np.uint64(64 * len(table) - 1)
+    assert ((table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).all()
+    assert sum(int(x).bit_count() for x in table) <= 5000 <= 64 * len(table) // 12
