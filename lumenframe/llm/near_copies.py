@@ -8,10 +8,12 @@ so the index holds only these, and no pair is lost. The order puts shingles that
 which keeps lists short; how well their number is known changes the cost, never the result. Pairs of
 a list are tallied, dropped where the tally proves them too far apart, and verified on the sets.
 
-Lists of more than MEMBERS sets are those of large groups of near copies. They are not enumerated,
-as that would take a square number of pairs: each member is proposed with the members next to it by
-size and with the list's hub, the set of the most common shingles, which is the text that the others
-are copies of if that is there. All proposals are verified; their components hold the group.
+Lists of more than MEMBERS sets are those of large groups of near copies. At first they are not
+enumerated, as that would take a square number of pairs: each member is proposed with the members
+next to it by size and with the list's hub, the set of the most common shingles, which is the text
+that the others are copies of if that is there. Components of what that links are then compared
+exactly (across()): members of a long list that stand in different components meet in cells of
+bounded size, all of them, while members of one component need no more links.
 
 A pair is verified only if the sketches of its sets allow it. A sketch has the parity of the number
 of shingles in each of BITS slots; every slot that differs is a shingle that only one set has, so
@@ -37,8 +39,10 @@ SIMILARITY = 0.8
 HELD = 1_000_000
 #: Most shingles whose frequency the order knows.
 KNOWN = 1 << 18
-#: A longer list is not enumerated; places up to which its members are proposed with each other then.
+#: A longer list is not enumerated at once; places up to which its members are proposed with each other then.
 MEMBERS, PLACES = 16, 8
+#: Members of a long list on one side of a cell, and pairs that a cell proposes at most for two components, round by round: in the last one all.
+CELL, ROUNDS = 512, (16, 1024, None)
 #: Slots of a sketch.
 BITS = 1024
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], dtype=np.uint64)
@@ -163,8 +167,8 @@ def postings(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     return checkpointed(beside.where((F.col("least") != F.col("most")) & ~F.col("before").eqNullSafe(F.col("k"))).select("h", "k", "n", "common"))
 
 
-def candidates(lists: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of nodes, a < b, of lists(h, k, n, common) that may have the similarity."""
+def candidates(lists: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes, a < b, of lists(h, k, n, common) that may have the similarity: all of the short lists, some of the long ones; and the long lists (h, k)."""
 
     def beside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -179,7 +183,7 @@ def candidates(lists: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     short = met.where(F.col("members") <= MEMBERS).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("s"))
     each = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, MEMBERS), lambda y: F.struct(x["k"].alias("a"), y["k"].alias("b"), x["n"].alias("m"), y["n"].alias("n")))))
     pairs = short.select(F.explode(each).alias("p")).select("p.*", F.lit(False).alias("proposed"))
-    long_ = met.where(F.col("members") > MEMBERS)
+    long_ = checkpointed(met.where(F.col("members") > MEMBERS).select("h", "k", "n", "hub"))
     near = long_.select("h", "k", "n").repartitionByRange("h", "n", "k").sortWithinPartitions("h", "n", "k").mapInPandas(beside, "x long, y long, m int, n int")
     ends = near.unionAll(long_.select("k", "hub.k", "n", "hub.n")).where("x <> y")
     turned = F.col("x") < F.col("y")
@@ -193,7 +197,7 @@ def candidates(lists: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     more = broadcast_if_small(checkpointed(long_.groupBy("k").agg(F.count("*").alias("l"))))
     tallied = tallied.join(more.select(F.col("k").alias("a"), F.col("l").alias("la")), "a", "left").join(more.select(F.col("k").alias("b"), F.col("l").alias("lb")), "b", "left")
     untold = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
-    return tallied.where(F.col("proposed") | (F.col("c") + untold >= least)).select("a", "b")
+    return tallied.where(F.col("proposed") | (F.col("c") + untold >= least)).select("a", "b"), long_.select("h", "k")
 
 
 def _apart(m: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
@@ -206,6 +210,40 @@ def _slots(sketches: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(-1, BITS // 64)
 
 
+def _met(cells: pd.DataFrame, similarity: float, most: int | None) -> pd.DataFrame:
+    """The pairs (a, b, cut) of whole cells, as across() describes them; rows of a cell are neighbours."""
+    of, side, root, k = cells[["h", "i", "j"]].to_numpy(), cells["side"].to_numpy(), cells["root"].to_numpy(), cells["k"].to_numpy()
+    n, bits = cells["n"].to_numpy().astype(np.int64), _slots(cells["sketch"])
+    new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]).any(axis=1)])
+    a, b, cut = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=bool)]
+    for start, end in zip(new, np.r_[new[1:], len(of)], strict=True):
+        one, two = start + np.flatnonzero(side[start:end] == 0), start + np.flatnonzero(side[start:end] == 1)
+        own = of[start, 2] == -1  # here, the others of the cell meet each other as well
+        two = np.r_[one, two] if own else two
+        found = []
+        for at in range(0, len(one), 64):
+            i, j = one[at : at + 64], two[at + 1 :] if own else two
+            differ = np.bitwise_count(bits[i][:, None] ^ bits[j][None, :]).sum(axis=2, dtype=np.int64)
+            near = (differ <= _apart(n[i][:, None], n[j][None, :], similarity)) & (root[i][:, None] != root[j][None, :])
+            x, y = np.nonzero(np.triu(near) if own else near)
+            found.append((i[x], j[y], differ[x, y] / (n[i[x]] + n[j[y]])))
+        if not found:
+            continue
+        i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
+        more = np.zeros(len(i), dtype=bool)
+        if most is not None and len(i) > most:
+            ends = np.stack([np.minimum(root[i], root[j]), np.maximum(root[i], root[j])], axis=1)
+            _, which, counts = np.unique(ends, axis=0, return_inverse=True, return_counts=True)
+            order = np.lexsort((far, which))
+            rank = np.arange(len(i)) - (np.cumsum(counts) - counts)[which[order]]
+            order = order[rank < most]
+            i, j, more = i[order], j[order], counts[which[order]] > most
+        a.append(np.minimum(k[i], k[j]))
+        b.append(np.maximum(k[i], k[j]))
+        cut.append(more)
+    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "cut": np.concatenate(cut)})
+
+
 def allowed(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) that the sketches of nodes(k, n, sketch) allow to have the similarity."""
 
@@ -217,6 +255,55 @@ def allowed(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(one, "a").join(two, "b").where(near("na", "nb", "sa", "sb")).select("a", "b")
 
 
+def across(crowded: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, most: int | None = None) -> DataFrame:
+    """Pairs (a, b, cut), a < b, of members of a list of crowded(h, k) that stand in different components of roots(node, root), if their sketches allow the similarity.
+
+    A list's largest component is dealt to cells apart from the others, as its members need not meet
+    each other: a cell holds at most some CELL members of the others and as many of that component, or
+    of the others again. Lists of the same members count once. A cell gives out at most `most` pairs of
+    two components, those of least distance, all marked as cut if it had more; None: every pair.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for frame in frames:
+            if held is not None and len(held):
+                frame = pd.concat([held, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            of = frame[["h", "i", "j"]].to_numpy()
+            rest = (of != of[-1]).any(axis=1)
+            cut = int(np.flatnonzero(rest)[-1]) + 1 if rest.any() else 0
+            held = frame.iloc[cut:]
+            if cut:
+                yield _met(frame.iloc[:cut], similarity, most)
+        if held is not None and len(held):
+            yield _met(held, similarity, most)
+
+    rooted = crowded.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("h", "k", F.coalesce("root", "k").alias("root"))
+    hashes = [F.bit_xor(F.xxhash64("k", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    lists = rooted.groupBy("h", "root").agg(F.count("*").alias("c"), *hashes)
+    lists = lists.groupBy("h").agg(F.sum("c").alias("members"), F.max(F.struct("c", "root")).alias("main"), *[F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)])
+    lists = lists.where(F.col("members") > F.col("main.c")).groupBy("x0", "x1", "members").agg(F.min(F.struct("h", "main")).alias("one"))
+    cells = lambda x: F.ceil(x / CELL).cast("int")
+    lists = checkpointed(lists.select("one.h", F.col("one.main.root").alias("main"), cells(F.col("one.main.c")).alias("d"), cells(F.col("members") - F.col("one.main.c")).alias("u")))
+    dealt = rooted.join(broadcast_if_small(lists), "h").withColumn("side", (F.col("root") == F.col("main")).cast("int"))
+    dealt = dealt.withColumn("at", F.pmod(F.xxhash64("k", F.lit(2)), F.when(F.col("side") == 1, F.col("d")).otherwise(F.col("u"))).cast("int"))
+    # Cells (i, j) of two blocks i < j of the others; cells (i, -1 - j) of block i of the others and block j of the main component.
+    cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    at = F.col("at")
+    others = F.concat(
+        F.transform(upto(F.col("d")), lambda j: cell(at, -1 - j, 0)),
+        F.transform(F.filter(upto(F.col("u")), lambda j: j > at), lambda j: cell(at, j, 0)),
+        F.transform(F.filter(upto(F.col("u")), lambda i: i < at), lambda i: cell(i, at, 1)),
+    )
+    main = F.transform(upto(F.col("u")), lambda i: cell(i, -1 - at, 1))
+    dealt = dealt.select("h", "k", "root", F.explode(F.when(F.col("side") == 1, main).otherwise(others)).alias("c")).select("h", "c.*", "k", "root")
+    dealt = dealt.join(nodes.select("k", "n", "sketch"), "k").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    return dealt.mapInPandas(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+
+
 def _table(needed: DataFrame) -> np.ndarray:
     """Bits that tell almost all longs r that needed(r) lacks, and none that it has: 16 or more for each r up to 2**23 of them."""
     bits = 1 << max(16, min(27, int(16 * max(1, needed.count()) - 1).bit_length()))
@@ -263,13 +350,28 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int = W
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, proposed: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) of nodes(k, r, n, sketch) of docs(text) that have the similarity, from the lists and from the pairs (a, b) of proposed."""
+    """Links (a, b) of nodes(k, r, n, sketch) of docs(text) whose components are those of all pairs of the similarity.
+
+    They come from the lists and from the pairs (a, b) of proposed. Long lists are completed in rounds:
+    each compares the components that the links so far leave apart, and the last one cuts nothing.
+    """
     lists = postings(docs, words, similarity)
     release(docs.sparkSession)
-    found = candidates(lists, similarity)
+    found, crowded = candidates(lists, similarity)
     if proposed is not None:
         found = found.unionAll(proposed.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
     found = checkpointed(allowed(found, nodes, similarity))
     del lists
     release(docs.sparkSession)
-    return verified(found, docs, nodes, words, similarity)
+    out = verified(found, docs, nodes, words, similarity)
+    if crowded.isEmpty():
+        return out
+    for most in ROUNDS:
+        release(docs.sparkSession)
+        more = checkpointed(across(crowded, connected_components(out), nodes, similarity, most))
+        if more.isEmpty():
+            break
+        out = checkpointed(out.unionAll(verified(more.select("a", "b"), docs, nodes, words, similarity)).distinct())
+        if more.where("cut").isEmpty():
+            break
+    return out

@@ -397,6 +397,46 @@ def test_pipeline_finds_large_groups_of_near_copies(spark):
     assert len(rows) - len(kept) >= 0.9 * (len(rows) - len(set(top.values())))
 
 
+def test_pipeline_loses_no_link_in_long_lists(spark, monkeypatch):
+    """Texts made of passages that many share: their pairs meet in long lists only; with cells of a few members and a round that cuts."""
+    import corpus_pipeline
+    from lumenframe.llm import near_copies
+
+    rng = random.Random(5)
+    passages = [" ".join(f"p{p}w{i}" for i in range(60)) for p in range(14)]
+    rows = [(i, " ".join(passages[p] for p in sorted(rng.sample(range(14), 10)))) for i in range(90)]
+    sets = {i: plain_shingles(t) for i, t in rows}
+    close = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or 1.25 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b]))]
+    left = set(roots(list(sets), close).values())
+    assert 10 < len(left) < 80
+    frame = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(near_copies, "CELL", 7)
+    monkeypatch.setattr(near_copies, "ROUNDS", (1, None))
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one(spark, frame, SF).collect()} == left
+
+
+def test_components_that_long_lists_leave_apart_are_compared(spark):
+    """All pairs of two components in a list: none lost in cells, few of each two components if told so, and none within a component."""
+    from lumenframe.llm import near_copies
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(1 << 63, size=200, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[i % 20 :], rng.integers(1 << 63, size=i % 7 * 8, dtype=np.uint64)]) for i in range(1300)]
+    root = [-1 if i < 600 else i // 2 for i in range(1300)]
+    nodes = spark.createDataFrame([(i, len(x), near_copies.sketch(x)) for i, x in enumerate(sets)], "k long, n int, sketch binary")
+    crowded = spark.createDataFrame([(h, i) for h in range(2) for i in range(1300) if h < 1 or i > 590], "h long, k long")
+    labels = spark.createDataFrame([(i, r) for i, r in enumerate(root)], "node long, root long")
+    all_, some = ([tuple(r) for r in near_copies.across(crowded, labels, nodes, 0.8, most).collect()] for most in (None, 2))
+    assert len(set(all_)) == len(all_) and all(a < b and root[a] != root[b] and not cut for a, b, cut in all_)
+    found = {(a, b) for a, b, _ in all_}
+    for a in range(0, 1300, 13):
+        for b in range(a + 1, 1300):
+            same = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if root[a] != root[b] and same >= 0.8 * (len(sets[a]) + len(sets[b]) - same):
+                assert (a, b) in found
+    assert {(a, b) for a, b, _ in some} < found and any(cut for *_, cut in some) and {(root[a], root[b]) for a, b, _ in some} == {(root[a], root[b]) for a, b in found}
+
+
 def test_sketches_and_tables_reject_no_pair_and_no_text(spark):
     from lumenframe.llm import near_copies
 
