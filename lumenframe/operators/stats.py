@@ -7,6 +7,7 @@ rows share is one row of the window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -40,6 +41,40 @@ def percentile(df: DataFrame, value: str, p: float, rule: str = "nearest", by: S
     return placed.where(F.col("_upto") > index).groupBy(*by).agg(F.min("_v").alias("percentile")).where("percentile is not null")
 
 
+#: Shares of the rows on either side of a rank that exact_quantiles() counts, far over the error of the sketch that finds them.
+BRACKET, ACCURACY = 0.002, 10_000
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list]:
+    """For each column the ceil(q n)-th smallest of its n values, for each q of shares; None if there is no value. Nulls take no part.
+
+    A sketch only brackets a rank. What lies under the bracket is counted, and only the values inside it
+    are counted one by one; should a bracket miss its rank, all values are. df is read a few times.
+    """
+    return {c: _ranked(df.select(F.col(c).alias("v")).where("v is not null"), shares) for c in columns}
+
+
+def _ranked(values: DataFrame, shares: Sequence[float]) -> list:
+    ends = sorted({min(max(e, 0.0), 1.0) for q in shares for e in (q - BRACKET, q + BRACKET)})
+    total, least, most, near = values.agg(F.count("v"), F.min("v"), F.max("v"), F.percentile_approx("v", ends, ACCURACY)).first()
+    if not total:
+        return [None] * len(shares)
+    near = dict(zip(ends, near, strict=True))
+    ranks = [max(1, total - math.floor(total - q * total)) for q in shares]
+    brackets = [(near[min(max(q - BRACKET, 0.0), 1.0)], near[min(max(q + BRACKET, 0.0), 1.0)]) for q in shares]
+    for tried in (brackets, [(least, most)] * len(shares)):
+        low = [F.lit(a) for a, _ in tried]
+        under = values.agg(*[F.count(F.when(F.col("v") < x, 1)) for x in low]).first()
+        inside = F.array_compact(F.array(*[F.when((F.col("v") >= x) & (F.col("v") <= F.lit(b)), i) for i, (x, (_, b)) in enumerate(zip(low, tried, strict=True))]))
+        counts = values.select("v", F.explode(inside).alias("i")).groupBy("i", "v").agg(F.count("*").alias("n"))
+        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("v")))
+        want = F.element_at(F.array(*[F.lit(r - u).cast("long") for r, u in zip(ranks, under, strict=True)]), F.col("i") + 1)
+        found = {r["i"]: r["v"] for r in upto.where((F.col("upto") >= want) & (F.col("upto") - F.col("n") < want)).select("i", "v").collect()}
+        if len(found) == len(shares):
+            return [found[i] for i in range(len(shares))]
+    raise RuntimeError("values changed while they were ranked")
+
+
 def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., n, total, mean, low, high, spread): spread is the population standard deviation; an empty whole gives zeros."""
     v = F.col(value)

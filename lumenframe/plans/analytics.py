@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.vectors import sign_bits
 from lumenframe.operators import analytics as A
-from lumenframe.operators import recommend
+from lumenframe.operators import recommend, stats
 from lumenframe.plans.common import EV, HOUR, events
-from lumenframe.session import table
+from lumenframe.session import checkpointed, table
 
 r6 = lambda c: F.round(c, 6)
 
@@ -92,11 +92,11 @@ def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loyalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quartiles of the users by recency, frequency and value, and their sum; the bounds come from a mergeable sketch, not from a global sort."""
-    rows = events(spark, sf_dir).groupBy("user_id").agg(F.max("t").alias("r"), F.count("*").alias("f"), F.round(F.sum("value"), 6).alias("m"))
-    bounds = rows.agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 100_000).alias(f"_{c}") for c in "rfm"])
-    q = lambda c: sum(((F.col(c) > F.col(f"_{c}")[i]).cast("long") for i in range(3)), F.lit(1).cast("long"))
-    out = rows.crossJoin(F.broadcast(bounds)).select("user_id", q("r").alias("recency"), q("f").alias("frequency"), q("m").alias("monetary"))
+    """Quartiles of the users by recency, frequency and value, and their sum; the bounds are exact and come without a global sort."""
+    rows = checkpointed(events(spark, sf_dir).groupBy("user_id").agg(F.max("t").alias("r"), F.count("*").alias("f"), F.round(F.sum("value"), 6).alias("m")))
+    bounds = stats.exact_quantiles(rows, ["r", "f", "m"], [0.25, 0.5, 0.75])
+    q = lambda c: sum(((F.col(c) > F.lit(bound)).cast("long") for bound in bounds[c]), F.lit(1).cast("long"))
+    out = rows.select("user_id", q("r").alias("recency"), q("f").alias("frequency"), q("m").alias("monetary"))
     return out.withColumn("score", F.col("recency") + F.col("frequency") + F.col("monetary"))
 
 

@@ -458,3 +458,15 @@ def test_tours_and_boxes_by_plain_loops(spark):
             kept.append((f, i))
     rows = spark.createDataFrame([(f, i, x, y, float(w), float(h), s) for f, i, x, y, w, h, s in boxes], "frame long, id long, x double, y double, w double, h double, score double")
     assert {(r["frame"], r["id"]) for r in folds.suppress_overlaps(rows, 0.3).collect()} == set(kept)
+
+
+def test_exact_quantiles_of_many_values(spark):
+    """Ranks among more distinct values than a sketch keeps apart, with ties, nulls and few values."""
+    n = 150_001
+    rows = spark.range(n).select(F.expr("id * 7919 % 150001").alias("a"), F.expr("if(id % 5 = 0, null, id div 1000)").alias("b"), F.lit(None).cast("double").alias("c")).repartition(16)
+    b = sorted(i // 1000 for i in range(n) if i % 5)
+    rank = lambda m, q: math.ceil(m * q) - 1
+    found = stats.exact_quantiles(rows, ["a", "b", "c"], [0.1, 0.25, 0.5, 0.75])
+    assert found == {"a": [rank(n, q) for q in (0.1, 0.25, 0.5, 0.75)], "b": [b[rank(len(b), q)] for q in (0.1, 0.25, 0.5, 0.75)], "c": [None] * 4}
+    few = frame(spark, [(3.5,), (1.0,), (2.0,)], "x double")
+    assert stats.exact_quantiles(few, ["x"], [0.0, 0.5, 1.0]) == {"x": [1.0, 2.0, 3.5]}
