@@ -143,9 +143,9 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last state of each user of a stream."""
-    name, place = _place(spark)
+    _, place = _place(spark)
     rows = _stream(spark, sf_dir).select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), "event_type")
-    out = windows.to_table(stateful.state_machine(rows, TRANSITIONS, "new", {"won"}), name, place, "update")
+    out = windows.to_parquet(stateful.state_machine(rows, TRANSITIONS, "new", {"won"}), f"{place}-out", place)
     return out.groupBy("user_id").agg(F.max_by("state", "n").alias("state"), F.max("n").alias("n"))
 
 

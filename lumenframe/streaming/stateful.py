@@ -31,15 +31,23 @@ def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:
 
 
 def state_machine(events: DataFrame, transitions: Mapping[tuple[str, str], str], start: str, terminal: set[str]) -> DataFrame:
-    """(user_id, state, n): the state of each user after a batch, over a stream (user_id, event_id, at, event_type)."""
+    """(user_id, state, n): the state of each user after a batch, over a stream (user_id, event_id, at, event_type); n counts the user's events so far.
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, n = state.get if state.exists else (start, 0)
-        for frame in frames:
-            for event in frame.sort_values(["at", "event_id"])["event_type"]:
-                now = now if now in terminal else transitions.get((now, event), now)
-                n += 1
-        state.update((now, n))
-        yield pd.DataFrame({"user_id": [key[0]], "state": [now], "n": [n]})
+    Files come in any order, and a batch may come in several frames, so an event can arrive after later
+    ones: the state of a user holds all of its events, and each batch folds them in the order of at and event_id.
+    """
 
-    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, state string, n long", "state string, n long", "update", GroupStateTimeout.NoTimeout)
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = [(at, i, kind) for frame in frames for at, i, kind in zip(frame["at"].tolist(), frame["event_id"].tolist(), frame["event_type"].tolist(), strict=True)]
+        rows = sorted([*zip(*state.get, strict=True), *rows] if state.exists else rows, key=lambda r: (r[0] != r[0], r[0], r[1]))
+        now = start
+        for _, _, event in rows:
+            if now in terminal:
+                break
+            now = transitions.get((now, event), now)
+        state.update(tuple(list(x) for x in zip(*rows, strict=True)))
+        yield pd.DataFrame({"user_id": [key[0]], "state": [now], "n": [len(rows)]})
+
+    return events.groupBy("user_id").applyInPandasWithState(
+        run, "user_id long, state string, n long", "at array<double>, event_id array<long>, event_type array<string>", "append", GroupStateTimeout.NoTimeout
+    )

@@ -59,3 +59,15 @@ def test_alignments_of_all_vectors(spark, tmp_path):
     found = {r["vec_id"]: (r["similarity"], r["place"]) for r in QUERIES["alignments"](spark, str(tmp_path)).collect()}
     ids = [r["vec_id"] for r in rows.collect()]
     assert sorted(found) == sorted([*ids, *(i + 1000 for i in ids)]) and all(found[i] == found[i + 1000] for i in ids)
+
+
+def test_stream_states_of_files_in_any_order(spark, tmp_path):
+    """Users whose events lie in many files, later ones in files that are read first."""
+    rows = spark.read.parquet(f"{SF}/events.parquet").toPandas().sort_values("ts", ascending=False)
+    for i in range(6):
+        spark.createDataFrame(rows.iloc[i * 170 : (i + 1) * 170]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = QUERIES["stream_states"](spark, str(tmp_path))
+    want = con.execute(SQL["stream_states"]).fetchall()
+    assert len(want) == 15 and sorted(map(tuple, got.select("user_id", "state", "n").collect())) == sorted(want)
