@@ -470,3 +470,22 @@ def test_exact_quantiles_of_many_values(spark):
     assert found == {"a": [rank(n, q) for q in (0.1, 0.25, 0.5, 0.75)], "b": [b[rank(len(b), q)] for q in (0.1, 0.25, 0.5, 0.75)], "c": [None] * 4}
     few = frame(spark, [(3.5,), (1.0,), (2.0,)], "x double")
     assert stats.exact_quantiles(few, ["x"], [0.0, 0.5, 1.0]) == {"x": [1.0, 2.0, 3.5]}
+
+
+def test_nearest_by_blocks(spark, monkeypatch):
+    """Blocks give what the column expressions give: ties, copies, vectors of other lengths, nulls and infinities."""
+    import random
+
+    rng = random.Random(5)
+    some = [[round(rng.gauss(0, 1), 1) for _ in range(4)] for _ in range(90)]
+    odd = [[0.0] * 4, None, [1.0, 2.0], [1.0, None, 0.0, 2.0], [float("inf"), 0.0, 0.0, 1.0], [1e200, 0.0, 0.0, 1.0], [2.0] * 4]
+    rows = frame(spark, list(enumerate([*some, *some[:40], *some[:40], *odd])), "id long, v array<double>")
+    for score, descending in ((V.cosine, True), (V.pearson, True), (V.l2, False), (V.l2_likeness, True), (V.l1, False)):
+        got = similarity.nearest(rows.where("id % 3 = 0 or id > 169"), rows, "id", "v", 5, score, descending)
+        plan = got._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan
+        found = sorted(repr(tuple(r)) for r in got.collect())
+        with monkeypatch.context() as m:
+            m.setattr(similarity, "KERNELS", {})
+            want = sorted(repr(tuple(r)) for r in similarity.nearest(rows.where("id % 3 = 0 or id > 169"), rows, "id", "v", 5, score, descending).collect())
+        assert len(want) > 200 and found == want, score
