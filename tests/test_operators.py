@@ -489,3 +489,20 @@ def test_nearest_by_blocks(spark, monkeypatch):
             m.setattr(similarity, "KERNELS", {})
             want = sorted(repr(tuple(r)) for r in similarity.nearest(rows.where("id % 3 = 0 or id > 169"), rows, "id", "v", 5, score, descending).collect())
         assert len(want) > 200 and found == want, score
+
+
+def test_hamming_of_wide_codes(spark):
+    """Codes of 64 bits, copies and negative ones among them, against all pairs; every pair once."""
+    import random
+
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    codes = [c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(8))) for c in base for _ in range(8)] + base[:3] * 2 + [0, (1 << 64) - 1]
+    rows = [(i, c - (1 << 64) if c >= 1 << 63 else c) for i, c in enumerate(codes)]
+    df = frame(spark, rows, "id long, code long")
+    far = lambda i, j: bin(codes[i] ^ codes[j]).count("1")
+    pairs = similarity.hamming_pairs(df, "id", "code", 64, 6)
+    assert sorted(map(tuple, pairs.collect())) == [(i, j, far(i, j)) for i in range(len(codes)) for j in range(i + 1, len(codes)) if far(i, j) <= 6]
+    met = similarity.hamming_query(df.where("id % 5 = 0"), df, "id", "code", 30)
+    assert sorted(map(tuple, met.collect())) == [(i, j, far(i, j)) for i in range(0, len(codes), 5) for j in range(len(codes)) if i != j and far(i, j) <= 30]
+    assert "MapInArrow" in met._jdf.queryExecution().toString() and "zip_with" not in pairs._jdf.queryExecution().toString()
