@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.vectors import sign_bits
 from lumenframe.operators import media as M
 from lumenframe.operators import stats
+from lumenframe.operators.similarity import nearest_assets as nearest_by_asset
 from lumenframe.plans.common import DAY, EV, OD, events, orders
 from lumenframe.session import table
 
@@ -77,9 +78,8 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least distance of each label to each query."""
     rows = table(spark, sf_dir, "embeddings")
-    q = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    d = F.aggregate(F.zip_with("q", "embedding", lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda a, x: a + x)
-    return M.best_distance_per_asset(q, rows, "label", F.sqrt(d), 12.0).withColumn("distance", r6("distance"))
+    out = nearest_by_asset(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", "label", 12.0)
+    return out.select("query", F.col("asset").alias("label"), r6("distance").alias("distance"))
 
 
 def relinked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -506,3 +506,24 @@ def test_hamming_of_wide_codes(spark):
     met = similarity.hamming_query(df.where("id % 5 = 0"), df, "id", "code", 30)
     assert sorted(map(tuple, met.collect())) == [(i, j, far(i, j)) for i in range(0, len(codes), 5) for j in range(len(codes)) if i != j and far(i, j) <= 30]
     assert "MapInArrow" in met._jdf.queryExecution().toString() and "zip_with" not in pairs._jdf.queryExecution().toString()
+
+
+def test_nearest_assets_by_blocks(spark):
+    """The least distance of each asset, one of them null, with odd vectors, against plain loops."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", "c", None]), [rng.gauss(0, 2) for _ in range(3)]) for i in range(120)]
+    rows += [(120, "d", rows[0][2]), (121, "e", [1.0, None, 0.0]), (122, "a", None), (123, "f", [1e150, 0.0, 0.0]), (124, "g", [1e120, 0.0, 0.0]), (125, "h", [0.0, 0.0])]
+    df = frame(spark, rows, "id long, asset string, v array<double>")
+    want = {}
+    usual = [r for r in rows if r[2] and len(r[2]) == 3 and None not in r[2]]
+    for q in usual:
+        for r in usual:
+            far = math.dist(q[2], r[2])
+            if q[0] % 2 == 0 and far <= 5.0:
+                want[q[0], r[1]] = min(far, want.get((q[0], r[1]), 9.0))
+    out = similarity.nearest_assets(df.where("id % 2 = 0"), df, "id", "v", "asset", 5.0)
+    found = {(r["query"], r["asset"]): r["distance"] for r in out.collect()}
+    assert found.keys() == want.keys() and all(math.isclose(found[k], want[k], abs_tol=1e-12) for k in want)
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
