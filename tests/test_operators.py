@@ -527,3 +527,27 @@ def test_nearest_assets_by_blocks(spark):
     found = {(r["query"], r["asset"]): r["distance"] for r in out.collect()}
     assert found.keys() == want.keys() and all(math.isclose(found[k], want[k], abs_tol=1e-12) for k in want)
     assert "MapInArrow" in out._jdf.queryExecution().toString()
+
+
+def test_fuzzy_names_of_common_beginnings(spark):
+    """Numbered names meet by rests that few share: no piece that all have in common."""
+    n = 3000
+    left, right = spark.range(0, n, 7).select(F.format_string("S%09d", "id").alias("a")), spark.range(n).select(F.format_string("S%09d", "id").alias("b"))
+    out = similarity.fuzzy_names(left, right, 1)
+    edits = lambda x: {x[:i] + c + x[i + 1 :] for i in range(1, 10) for c in "0123456789"}
+    want = {(f"S{i:09d}", y) for i in range(0, n, 7) for y in edits(f"S{i:09d}") if int(y[1:]) < n}
+    found = [(r["a"], r["b"]) for r in out.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert "_h" in out._jdf.queryExecution().toString()  # they met by the substring S0000 before
+
+
+def test_fuzzy_names_of_any_length(spark, monkeypatch):
+    """Short names, long ones, and those at the bound between them."""
+    import random
+
+    rng = random.Random(3)
+    monkeypatch.setattr(similarity, "RESTS", 81)  # 9 signs at two edits
+    names = {"".join(rng.choice("ab") for _ in range(n)) for n in (0, 1, 7, 8, 9, 10, 11, 12) for _ in range(14)}
+    left, right = frame(spark, [(x,) for x in sorted(names)], "a string"), frame(spark, [(x,) for x in sorted(names)], "b string")
+    found = [(r["a"], r["b"]) for r in similarity.fuzzy_names(left, right, 2).collect()]
+    assert len(found) == len(set(found)) and set(found) == {(a, b) for a in names for b in names if _edits(a, b) <= 2}
