@@ -551,3 +551,18 @@ def test_fuzzy_names_of_any_length(spark, monkeypatch):
     left, right = frame(spark, [(x,) for x in sorted(names)], "a string"), frame(spark, [(x,) for x in sorted(names)], "b string")
     found = [(r["a"], r["b"]) for r in similarity.fuzzy_names(left, right, 2).collect()]
     assert len(found) == len(set(found)) and set(found) == {(a, b) for a in names for b in names if _edits(a, b) <= 2}
+
+
+def test_wildcard_links_count_the_pairs(spark):
+    """Numbers of links against the pairs of plain loops: wildcards, null scopes, touching, equal and empty intervals."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["*", "a", "b", "c", None]), s := rng.randrange(40), s + rng.choice((0, 3, 7, 7, 20))) for i in range(160)]
+    live = [r for r in rows if r[2] < r[3]]
+    pairs = {(x[0], y[0]) for x in live for y in live if x[0] < y[0] and x[2] < y[3] and y[2] < x[3] and ("*" in (x[1], y[1]) or x[1] is not None and x[1] == y[1])}
+    df = frame(spark, rows, "id long, scope string, s long, e long")
+    found = [tuple(r) for r in intervals.wildcard_overlaps(df, "scope", 8).collect()]
+    assert len(found) == len(pairs) and set(found) == pairs
+    want = {i: (min(r[0] for r in rows if r[1:] == (c, s, e)), sum(i in p for p in pairs)) for i, c, s, e in rows}
+    assert {r["id"]: (r["class"], r["n"]) for r in intervals.wildcard_links(df, "scope").collect()} == want

@@ -71,3 +71,10 @@ def test_stream_states_of_files_in_any_order(spark, tmp_path):
     got = QUERIES["stream_states"](spark, str(tmp_path))
     want = con.execute(SQL["stream_states"]).fetchall()
     assert len(want) == 15 and sorted(map(tuple, got.select("user_id", "state", "n").collect())) == sorted(want)
+
+
+def test_rights_overlaps_of_all_urgent_orders(spark, duck):
+    """Links of every urgent order, counted pair by pair."""
+    pairs = """with w as (select o_orderkey id, case when o_orderpriority = '1-URGENT' then '*' else o_custkey::varchar end scope, epoch_us(o_orderdate) // 86400000000 s from orders)
+        select x.id, count(y.id) n from w x left join w y on x.id <> y.id and (x.scope = y.scope or '*' in (x.scope, y.scope)) and abs(x.s - y.s) < 30 group by 1"""
+    assert {tuple(r) for r in QUERIES["rights_overlaps"](spark, SF).select("id", "n").collect()} == set(duck.execute(pairs).fetchall())
