@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lumenframe.session import checkpointed
 
 
+#: Rows of a frontier up to which it is broadcast; larger joins are shuffled, so that what the driver gets does not grow with the graph.
+FRONTIER = 5_000
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1_000) -> DataFrame:
     """(seed, node, hops): what each of seeds(seed) reaches along edges(src, dst), with the fewest hops; the seed itself only round a cycle.
 
@@ -16,19 +20,18 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1_000) -> Da
     """
     e = checkpointed(edges.select("src", "dst").distinct())
     frontier = checkpointed(seeds.select("seed", F.col("seed").alias("node")).distinct())
-    seen = None
+    size, seen = frontier.count(), None
+    ahead = lambda: (F.broadcast(frontier) if size <= FRONTIER else frontier.hint("merge")).join(e, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"))
+    unseen = lambda new: new if seen is None else new.join(seen.hint("merge"), ["seed", "node"], "left_anti")
     for hop in range(1, max_rounds + 1):
-        new = frontier.join(e, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        if seen is not None:
-            new = new.join(seen, ["seed", "node"], "left_anti")
-        frontier = checkpointed(new)
-        if frontier.isEmpty():
+        frontier = checkpointed(unseen(ahead().distinct()))
+        size = frontier.count()
+        if not size:
             break
         marked = frontier.withColumn("hops", F.lit(hop).cast("long"))
         seen = marked if seen is None else checkpointed(seen.unionAll(marked))
     else:
-        more = frontier.join(e, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"))
-        if seen is not None and not more.join(seen, ["seed", "node"], "left_anti").isEmpty():
+        if seen is not None and not unseen(ahead()).isEmpty():
             raise RuntimeError(f"paths of more than {max_rounds} hops")
     return seen if seen is not None else frontier.withColumn("hops", F.lit(0).cast("long"))
 
@@ -87,9 +90,9 @@ def ready(jobs: DataFrame, needs: DataFrame) -> DataFrame:
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends in nodes(node)."""
-    inside = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
-    return inside.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+    """Edges with both ends in nodes(node); neither side is broadcast."""
+    inside = edges.join(nodes.select(F.col("node").alias("src")).hint("merge"), "src", "left_semi")
+    return inside.join(nodes.select(F.col("node").alias("dst")).hint("merge"), "dst", "left_semi").select("src", "dst")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

@@ -566,3 +566,16 @@ def test_wildcard_links_count_the_pairs(spark):
     assert len(found) == len(pairs) and set(found) == pairs
     want = {i: (min(r[0] for r in rows if r[1:] == (c, s, e)), sum(i in p for p in pairs)) for i, c, s, e in rows}
     assert {r["id"]: (r["class"], r["n"]) for r in intervals.wildcard_links(df, "scope").collect()} == want
+
+
+def test_reachable_without_broadcasts(spark, monkeypatch):
+    """Frontiers over the bound are shuffled and give the same; what induced() joins is not broadcast."""
+    edges = frame(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (1, 4), (4, 5), (7, 8), (2, 2)], "src long, dst long")
+    seeds = frame(spark, [(1,), (7,), (5,)], "seed long")
+    want = [(1, 1, 3), (1, 2, 1), (1, 3, 2), (1, 4, 1), (1, 5, 2), (7, 8, 1)]
+    for most in (0, 1, graphs.FRONTIER):
+        monkeypatch.setattr(graphs, "FRONTIER", most)
+        assert sorted(map(tuple, graphs.reachable(edges, seeds).collect())) == want
+    inside = graphs.induced(edges, frame(spark, [(1,), (2,), (4,)], "node long"))
+    assert sorted(map(tuple, inside.collect())) == [(1, 2), (1, 4), (2, 2)]
+    assert "Broadcast" not in inside._jdf.queryExecution().executedPlan().toString()
