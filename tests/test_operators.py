@@ -579,3 +579,15 @@ def test_reachable_without_broadcasts(spark, monkeypatch):
     inside = graphs.induced(edges, frame(spark, [(1,), (2,), (4,)], "node long"))
     assert sorted(map(tuple, inside.collect())) == [(1, 2), (1, 4), (2, 2)]
     assert "Broadcast" not in inside._jdf.queryExecution().executedPlan().toString()
+
+
+def test_checkpoints_in_loops_forget_huge_estimates(spark):
+    """Estimated sizes multiply from join to join: after some dozens of rounds they are numbers of more bits than there can be."""
+    from lumenframe.session import checkpointed
+
+    rows = frame(spark, [(1, 2), (3, 4)], "a long, b long").coalesce(1)
+    for _ in range(12):
+        other = rows.select("a", F.col("b").alias("c")).hint("broadcast")
+        rows = checkpointed(rows.join(other, "a").select("a", F.col("c").alias("b")))
+        assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
+    assert sorted(map(tuple, rows.collect())) == [(1, 2), (3, 4)]
